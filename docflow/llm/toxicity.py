@@ -103,8 +103,8 @@ def _votes(rows: list[tuple[int, list[int], list[int]]], entries: list[str]) ->
         v[i, owner[held]] = 1
         v[i, 2 * LEXICONS] = len(held) >= 2
         v[i, [2 * LEXICONS + 1 + k for k in shown]] = 1
-        v[i, -2] = -(stem[held].all() if held else True)
-        v[i, -1] = -((~stem[held]).all() if held else True)
+        v[i, -2] = -int(stem[held].all())
+        v[i, -1] = -int((~stem[held]).all())
     return v, names
 
 
