@@ -49,11 +49,21 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self._kept: dict[tuple[int, int], bool] = {}
-        # A word's prefix may be a token that BPE would not build; only those that encode to themselves can be states.
-        self.stable = {i for t, i in self.ids.items() if self._merge(t) == [i]}
+        rank_of = lambda t: self.parts[t][2] if t in self.parts else -1
+        self.grows = all(rank_of(a) < r and rank_of(b) < r for a, b, r in self.parts.values())
+        # A token that BPE would not build of its own bytes is no state.
+        self.stable: set[int] = set()
+        for i in sorted(self.bytes, key=lambda i: len(self.bytes[i])):
+            if i in self.parts:
+                a, b, _ = self.parts[i]
+                kept = a in self.stable and b in self.stable and not self._crossed(a, b, inner=True) if self.grows else self._merge(self.bytes[i]) == [i]
+            else:
+                kept = len(self.bytes[i]) == 1
+            if kept:
+                self.stable.add(i)
 
     def _merge(self, word: bytes) -> list[int]:
-        """The encoding by merges in order of rank; used to look at single tokens and pairs."""
+        """The encoding by merges in order of rank; only for vocabularies whose merges don't grow in rank, and for tests."""
         own = [self.ids[word[k : k + 1]] for k in range(len(word))]
         while len(own) > 1:
             r, k = min((self.rank.get(p, 1 << 60), k) for k, p in enumerate(zip(own, own[1:])))  # noqa: B905
@@ -62,12 +72,33 @@ class Vocabulary:
             own[k : k + 2] = [self.ids[self.bytes[own[k]] + self.bytes[own[k + 1]]]]
         return own
 
+    def _crossed(self, left: int, right: int, inner: bool = False) -> bool:
+        """Whether a merge across the border comes before those that build the two tokens; with inner, their own merge doesn't count.
+
+        Back in time from the finished tokens: x and y are the pieces at the border, until is when each is used up.
+        The younger piece is taken apart, at equal rank the right one, as BPE merges the leftmost pair first.
+        """
+        x, y, x_until, y_until, parts, rank = left, right, 1 << 60, 1 << 60, self.parts, self.rank
+        while True:
+            r = rank.get((x, y))
+            if r is not None and r < x_until and r <= y_until and not inner:
+                return True
+            inner = False
+            a, b = parts.get(x), parts.get(y)
+            if a is None and b is None:
+                return False
+            if b is None or a is not None and a[2] > b[2]:
+                x, x_until = a[1], a[2]
+            else:
+                y, y_until = b[0], b[2]
+
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE encodes the bytes of the two tokens as just these two."""
         if (known := self._kept.get((left, right))) is None:
-            if len(self._kept) > 2_000_000:
+            if len(self._kept) > 1_000_000:
                 self._kept.clear()
-            self._kept[left, right] = known = self._merge(self.bytes[left] + self.bytes[right]) == [left, right]
+            known = not self._crossed(left, right) if self.grows else self._merge(self.bytes[left] + self.bytes[right]) == [left, right]
+            self._kept[left, right] = known
         return known
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
@@ -128,6 +159,18 @@ class Encoder:
         return [[int(i) for w in s for i in self.known[w][1].split(",")] for s in split]
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(text: str) -> Encoder:
+    """The worker's encoder; one is kept from task to task."""
+    key = hash(text)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(Vocabulary(text))
+    return _ENCODERS[key]
+
+
 def _strings(batch: pa.RecordBatch) -> list[str]:
     data, offsets = raw(batch.column("_text"))
     body = data.tobytes()
@@ -150,7 +193,7 @@ def with_tokens(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     added = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")] if digests else [("token_ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(text))
+        encoder = _encoder(text)
         for batch in slices(batches, "_text"):
             split = [encoder.words(t) for t in _strings(batch)]
             encoder.learn(set().union(*split))
@@ -178,7 +221,7 @@ def decode_ids(ids: DataFrame, path: str, column: str = "token_ids") -> DataFram
     text = vocabulary_text(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(text)
+        v = _encoder(text).vocabulary
         for batch in batches:
             own = pa.array([v.decode(i or []).decode("utf-8", "replace") for i in batch.column(column).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "decoded"])

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import fold_of, raw, slices, table
 
@@ -143,7 +144,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
             names_kept = [name for name in batch.schema.names if name != "_text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], [*names_kept, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 

@@ -3,6 +3,7 @@ correlations, and a linear classifier trained on the posterior labels."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import checkpoint, fold_of, raw, slices, table
 
@@ -19,7 +21,8 @@ SAMPLE = 20_000  # labelled rows that train the classifier, about
 ENTRIES = 4_000  # lexicon entries, at most
 STEMS = (4, 5, 6)  # letters of a stem
 LEXICONS = 12  # voters that share the words, and as many that share the stems
-LEAST = 3  # toxic texts that an entry must be in
+CHANCE = 1e-8  # an entry found only in toxic texts must be less likely than this by chance
+SURE = 0.8  # share of toxic texts among those that hold an entry, at least, by its lower bound
 THRESHOLD = 0.7
 MEMO = 400_000  # tokens whose entries a worker remembers
 _PIECE = re.compile(r"[^\W\d_]+")
@@ -74,8 +77,25 @@ def lexicon(sample: DataFrame) -> list[str]:
     n, z = F.col("bad") + F.col("good"), 1.64
     share = F.col("bad") / n
     low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    rows = counts.where(F.col("bad") >= LEAST).withColumn("low", low).where("low > 0.5").orderBy(F.desc("low"), "entry").limit(ENTRIES)
-    return [r["entry"] for r in rows.collect()]
+    prior = sample.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
+    if not prior or prior == 1:
+        return []
+    least = max(3, math.ceil(math.log(CHANCE) / math.log(prior)))
+    rows = counts.where(F.col("bad") >= least).withColumn("low", low).where(F.col("low") > SURE - 0.3).orderBy(F.desc("low"), "entry").limit(2 * ENTRIES).collect()
+    of_words: dict[str, list[int]] = {}  # what the words of a stem explain
+    for r in rows:
+        if not r["entry"].endswith("*"):
+            for e in entries_of(r["entry"])[1:]:
+                of_words.setdefault(e, [0, 0])
+                of_words[e][0] += r["bad"]
+                of_words[e][1] += r["good"]
+    kept = []
+    for r in rows:
+        bad, good = (r[k] - of_words.get(r["entry"], (0, 0))[j] for j, k in enumerate(("bad", "good")))
+        more = not r["entry"].endswith("*") or (bad >= least and bad > SURE * (bad + max(good, 0))) or bad + good <= 0 < len(of_words.get(r["entry"], ()))
+        if more and r["low"] > (SURE if r["entry"].endswith("*") else SURE - 0.3):
+            kept.append(r["entry"])
+    return kept[:ENTRIES]
 
 
 def _evidence(sample: DataFrame, entries: list[str]) -> list[tuple[int, list[int], list[int]]]:
@@ -204,7 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
-    schema = docs.schema.add("score", "double").add("predicted", "int")
+    schema = StructType([*docs.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
