@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import checkpoint, fold_of, raw, slices, table
+from .common import checkpoint, fold_of, let, raw, slices, table
 
 SAMPLE = 20_000  # labelled rows that train the classifier, about
 ENTRIES = 4_000  # lexicon entries, at most
@@ -53,13 +53,19 @@ class Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Distinct texts of about `most` labelled documents with their label, chosen by a hash of the id. An id with several labels counts as toxic if one is."""
+    """Texts of about `most` labelled documents with their label, chosen by a hash of the id; of copies and most near copies, one.
+
+    Near copies are those with the same least hash of three words. An id with several labels counts as toxic if one is.
+    """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     found = marked.count()
     if found > most:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / found * (1 << 30)))
     rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(marked), "doc_id").select(F.col("text").cast("binary").alias("_text"), "toxic")
-    return checkpoint(rows.withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_h"]).drop("_h"))
+    three = lambda w: F.array_min(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    words = F.split(F.col("_text").cast("string"), r"\s+")
+    least = let(words, lambda w: F.when(F.size(w) >= 3, three(w)).otherwise(F.xxhash64(F.array_join(w, " "))))
+    return checkpoint(rows.withColumn("_h", least).dropDuplicates(["_h"]).drop("_h"))
 
 
 def lexicon(sample: DataFrame) -> list[str]:
@@ -192,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     last = np.append(z[order][1:] != z[order][:-1], True)
     f1 = np.where(last, 2 * hits / (np.arange(1, len(z) + 1) + gold.sum()), 0)
     best = int(np.argmax(f1))
-    cut = (z[order][best] + (z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1)) / 2
+    cut = 0.3 * z[order][best] + 0.7 * (z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1)
     bias = w[-1] - cut + np.log(THRESHOLD / (1 - THRESHOLD))
     return Model(dict(zip(entries, w.tolist(), strict=False)), dict(zip(PATTERNS, w[len(entries) : -1].tolist(), strict=True)), float(bias), dict(zip(names, accuracy.tolist(), strict=True)), corr)
 
