@@ -100,7 +100,7 @@ def _scan(groups: int):
     return run
 
 
-def _settle(key, batch: pa.Table) -> pa.Table:
+def _settle(key, batch):
     """Intervals of the windows of one group that an earlier document has too."""
     if key[0].as_py() < 0:
         return batch.select(["doc_id", "first", "last"])
