@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
