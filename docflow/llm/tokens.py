@@ -9,7 +9,7 @@ import numpy as np
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-_FAR = np.cumprod(np.full(1024, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
+_FAR = np.cumprod(np.concatenate([[1], np.full(1023, 0xD6E8FEB86659FD93, np.uint64)]).astype(np.uint64), dtype=np.uint64)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 
 #: White space of ASCII, and everything of ASCII but letters and digits.
