@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import raw, slices, table
 
-MEMO = 300_000  # words whose encoding a worker remembers
+MEMO = 60_000  # words whose encoding a worker remembers
 #: Fixed values of the byte-level vocabulary: its pre-token pattern, and the bytes that stand for themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -95,7 +95,7 @@ class Vocabulary:
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE encodes the bytes of the two tokens as just these two."""
         if (known := self._kept.get((left, right))) is None:
-            if len(self._kept) > 1_000_000:
+            if len(self._kept) > 200_000:
                 self._kept.clear()
             known = not self._crossed(left, right) if self.grows else self._merge(self.bytes[left] + self.bytes[right]) == [left, right]
             self._kept[left, right] = known
@@ -194,7 +194,7 @@ def with_tokens(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(text)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 1 << 20):
             split = [encoder.words(t) for t in _strings(batch)]
             encoder.learn(set().union(*split))
             rows = []

@@ -140,7 +140,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 1 << 20):
             rows = []
             for text in _strings(batch):
                 tree = Tree(encoder, text)

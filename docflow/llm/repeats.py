@@ -65,7 +65,7 @@ def _scan(groups: int):
     """Rows (key, doc_id, first, last, blob): intervals that a slice settles itself, and blobs of the rest by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 16 << 20):
+        for batch in slices(batches, "_text", 4 << 20):
             data, offsets = raw(batch.column("_text"))
             ids, _ = ids_of(batch.column("doc_id"))
             w = words(data, offsets, SPACE)

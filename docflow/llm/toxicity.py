@@ -24,7 +24,7 @@ LEXICONS = 12  # voters that share the words, and as many that share the stems
 CHANCE = 1e-8  # an entry found only in toxic texts must be less likely than this by chance
 SURE = 0.8  # share of toxic texts among those that hold an entry, at least, by its lower bound
 THRESHOLD = 0.7
-MEMO = 400_000  # tokens whose entries a worker remembers
+MEMO = 100_000  # tokens whose entries a worker remembers
 _PIECE = re.compile(r"[^\W\d_]+")
 _ADDRESS = (" you ", " your ", " du ", " ihr ", " tu ", " vous ", " eres ", " usted ")
 #: Pattern voters: each says toxic or nothing.
