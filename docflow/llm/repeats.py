@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, ids_of, partitions, raw, slices, table
+from .common import checkpoint, ids_of, partitions, raw, slices, table
 from .tokens import SPACE, Words, hashes, windows, words
 
 WINDOW = 13
 GROUP_BYTES = 8 << 20  # text whose windows make about one group of hashes
-SMALL = 400_000  # documents with repeats that may be broadcast (some 30 bytes each)
+SMALL_BYTES = 24 << 20  # repeated intervals that may be broadcast
 
 
 def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
@@ -114,15 +114,40 @@ def _settle(key, batch):
     return pa.table({"doc_id": pa.array(doc, pa.int64()), "first": pa.array(a, pa.int64()), "last": pa.array(z, pa.int64())})
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge each document's intervals that meet or overlap, as words: windows of far apart groups make one interval."""
+    for batch in batches:
+        lists = batch.column("spans")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0)) // 2)
+        base = row << 32
+        first, last = flat[0::2] + base, flat[1::2] + base
+        order = np.argsort(first, kind="stable")
+        first, reach, row = first[order], np.maximum.accumulate(last[order]), row[order]
+        cut = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1] + WINDOW])) if len(first) else np.zeros(0, np.int64)
+        end = np.append(cut[1:], len(first)) - 1 if len(cut) else cut
+        pairs = np.stack([first[cut], reach[end]], 1) - (row[cut] << 32)[:, None]
+        edges = 2 * np.searchsorted(row[cut], np.arange(batch.num_rows + 1))
+        spans = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(pairs.ravel().astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), spans], ["doc_id", "spans"])
+
+
+def _broadcast(spans: DataFrame) -> DataFrame:
+    """Mark spans for broadcast if all rows and their lists together are small; else a join shuffles them."""
+    rows, values = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    return F.broadcast(spans) if 64 * rows + 4 * (values or 0) <= SMALL_BYTES else spans
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): for each document with repeats, the flat list first, last, first, last ... of its repeated windows' first words, not merged."""
+    """(doc_id, spans): for each document with repeats, the flat list first, last, first, last ... of the first words of its repeated windows, merged where words meet."""
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("_text"))
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     groups = max(4 * partitions(spark), size // GROUP_BYTES + 1)
     found = docs.mapInArrow(_scan(groups), "key bigint, doc_id bigint, first bigint, last bigint, blob binary")
     spans = found.groupBy("key").applyInArrow(_settle, "doc_id bigint, first bigint, last bigint")
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans"))
+    lists = spans.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array(F.col("first").cast("int"), F.col("last").cast("int")))).alias("spans"))
+    return lists.mapInArrow(_merged, "doc_id bigint, spans array<int>")
 
 
 def _covered(w: Words, rows: int, lists: pa.Array) -> np.ndarray:
@@ -146,7 +171,7 @@ def removed(docs: DataFrame, texts: bool = False) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     spans = checkpoint(repeated_windows(docs))
-    rows = docs.withColumn("_text", F.col("text").cast("binary")).drop("text").join(broadcast_if_small(spans, SMALL), "doc_id", "left")
+    rows = docs.withColumn("_text", F.col("text").cast("binary")).drop("text").join(_broadcast(spans), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
