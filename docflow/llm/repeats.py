@@ -23,11 +23,6 @@ GROUP_BYTES = 8 << 20  # text whose windows make about one group of hashes
 SMALL_BYTES = 24 << 20  # repeated intervals that may be broadcast
 
 
-def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
-    """values grouped by their (ascending) row as an Arrow list column of the rows that have any, and those rows."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
-
-
 def _blob(h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> bytes:
     """Hashes, documents and positions of windows in order of document: 8 bytes and about one more each after compression."""
     cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
