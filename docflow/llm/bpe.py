@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import raw, slices, table
 
-MEMO = 60_000  # words whose encoding a worker remembers
+MEMO = 40_000  # words after which a worker sets its memo aside; it keeps the last two, so that frequent words stay
 #: Fixed values of the byte-level vocabulary: its pre-token pattern, and the bytes that stand for themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,7 +38,6 @@ class Vocabulary:
         to_byte = _byte_of_character()
         self.ids = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.bytes = {i: t for t, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # by token: the pair that merges into it, and its rank
         for r, m in enumerate(spec["model"]["merges"]):
@@ -48,7 +47,9 @@ class Vocabulary:
             self.parts.setdefault(self.ids[a + b], (*pair, r))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
-        self._kept: dict[tuple[int, int], bool] = {}
+        self.size = {i: len(t) for t, i in self.ids.items()}
+        self.width = max(self.bytes) + 1
+        self._kept: dict[int, bool] = {}  # by left * width + right
         rank_of = lambda t: self.parts[t][2] if t in self.parts else -1
         self.grows = all(rank_of(a) < r and rank_of(b) < r for a, b, r in self.parts.values())
         # A token that BPE would not build of its own bytes is no state.
@@ -61,6 +62,11 @@ class Vocabulary:
                 kept = len(self.bytes[i]) == 1
             if kept:
                 self.stable.add(i)
+        # States of the walk over a word's bytes: the beginnings of tokens, the empty one first.
+        self._begins = sorted({t[:k] for t in self.ids for k in range(len(t) + 1)})
+        self._state_of = {t: k for k, t in enumerate(self._begins)}
+        self._ends: list[tuple[int, ...] | None] = [None] * len(self._begins)
+        self._next: dict[int, int] = {}
 
     def _merge(self, word: bytes) -> list[int]:
         """The encoding by merges in order of rank; only for vocabularies whose merges don't grow in rank, and for tests."""
@@ -94,32 +100,61 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE encodes the bytes of the two tokens as just these two."""
-        if (known := self._kept.get((left, right))) is None:
+        key = left * self.width + right
+        if (known := self._kept.get(key)) is None:
             if len(self._kept) > 200_000:
                 self._kept.clear()
             known = not self._crossed(left, right) if self.grows else self._merge(self.bytes[left] + self.bytes[right]) == [left, right]
-            self._kept[left, right] = known
+            self._kept[key] = known
         return known
 
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte: the longest beginning of a token that the bytes so far end in. Its tokens are found on the first visit."""
+        own = self._begins[state] + bytes((byte,))
+        while own not in self._state_of:
+            own = own[1:]
+        to = self._state_of[own]
+        if self._ends[to] is None:
+            found = (self.ids.get(own[k:]) for k in range(len(own)))
+            self._ends[to] = tuple(t for t in found if t is not None and t in self.stable)
+        if len(self._next) > 400_000:
+            self._next.clear()
+        self._next[state << 8 | byte] = to
+        return to
+
     def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Encodings of distinct words. The stack holds the last token at each byte of the path from the root to the current node."""
+        """Encodings of distinct words.
+
+        The stacks hold, at each byte of the path from the root to the current node, the last token and the state that
+        tells which tokens end there (longest first), so that no others are tried.
+        """
         out, stack, before = {}, [], b""
-        ids, apart, stable, longest, bytes_of = self.ids, self.apart, self.stable, self.longest, self.bytes
+        apart, kept, width, step, following, ends, size = self.apart, self._kept, self.width, self._step, self._next, self._ends, self.size
+        states = [0]
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del stack[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and token in stable and (start == 0 or apart(stack[start - 1], token)):
+            del stack[shared:], states[shared + 1 :]
+            state = states[-1]
+            for end, byte in enumerate(word[shared:], shared + 1):
+                to = following.get(state << 8 | byte)
+                state = step(state, byte) if to is None else to
+                states.append(state)
+                for token in ends[state]:
+                    start = end - size[token]
+                    if not start:
+                        stack.append(token)
+                        break
+                    left = stack[start - 1]
+                    known = kept.get(left * width + token)
+                    if apart(left, token) if known is None else known:
                         stack.append(token)
                         break
             found, at = [], len(word)
             while at:
                 found.append(stack[at - 1])
-                at -= len(bytes_of[stack[at - 1]])
+                at -= size[stack[at - 1]]
             out[word], before = tuple(found[::-1]), word
         return out
 
@@ -135,6 +170,7 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens and special tokens of the text, in order."""
@@ -145,9 +181,15 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Add the words that aren't known: (number of tokens, ids with commas, decoded bytes) of each."""
         if len(self.known) > MEMO:
-            self.known.clear()
-        v = self.vocabulary
-        fresh = {w: w.encode() for w in words if w not in self.known}
+            self.old, self.known = self.known, {}
+        v, fresh = self.vocabulary, {}
+        for w in words:
+            if w in self.known:
+                continue
+            if w in self.old:
+                self.known[w] = self.old[w]
+            else:
+                fresh[w] = w.encode()
         found = v.encode_words([b for w, b in fresh.items() if w not in v.special])
         for w, b in fresh.items():
             ids = (v.special[w],) if w in v.special else found[b]

@@ -19,9 +19,9 @@ LEAST = 32  # characters of context encoded beside an edit at first; doubled unt
 class Tree:
     """Pre-tokens of a text in blocks, with sums of characters and tokens over blocks (a Fenwick tree of each)."""
 
-    def __init__(self, encoder: Encoder, text: str):
+    def __init__(self, encoder: Encoder, text: str, words: list[str] | None = None):
         self.encoder, self.text = encoder, text
-        words = encoder.words(text)
+        words = encoder.words(text) if words is None else words
         encoder.learn(set(words))
         self.blocks = [words[k : k + BLOCK] for k in range(0, len(words), BLOCK)]
         self.encoded = len(words)  # pre-tokens encoded so far, to show what edits save
@@ -141,9 +141,11 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in slices(batches, "_text", 1 << 20):
-            rows = []
-            for text in _strings(batch):
-                tree = Tree(encoder, text)
+            texts, rows = _strings(batch), []
+            split = [encoder.words(t) for t in texts]
+            encoder.learn(set().union(*split))
+            for text, words in zip(texts, split, strict=True):
+                tree = Tree(encoder, text, words)
                 before, encoded = tree.total, tree.encoded
                 for start, end, new in edits_of(text):
                     start, end = min(start, len(tree.text)), min(end, len(tree.text))
