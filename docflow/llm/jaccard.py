@@ -1,10 +1,11 @@
 """N-gram Jaccard join by chosen paths.
 
 Each text is a set of its five-word shingles, embedded as SIZE tokens (i, least hash under function i), whose overlap
-estimates the Jaccard similarity. A run splits the texts by paths of tokens: a path goes on with each token of the text
-that a hash of (path, token) samples, 1 / THRESHOLD of them a step on average, and with the least if it samples none. Buckets of few texts are compared pair by
-pair; larger ones split further, and what stays together at the last depth, as large groups of near copies do, is cut
-into chunks that all hold the bucket's leader. Runs repeat until the target recall. Candidate pairs are checked exactly.
+estimates the Jaccard similarity. A run splits the texts by paths of DEPTH tokens: a path goes on with each token of the
+text that a hash of (path, token) samples, 1 / THRESHOLD of them a step on average, and with the least if it samples
+none. Runs repeat until the target recall. All pairs of a bucket are checked exactly, on the shingles themselves; a pair
+that meets in several buckets counts in the one of the least path. Large buckets are compared block by block, each block
+with every other. A bucket gives each text's number of links and a star for its components, so pairs are never rows.
 """
 
 from __future__ import annotations
@@ -24,11 +25,10 @@ from .tokens import PUNCTUATION, fold, hashes, mix, windows, words
 WORDS = 5
 THRESHOLD = 0.8
 SIZE = 64  # tokens of the embedding; a bit set of used ones fits 64 bits
-MARGIN = 0.15  # three standard deviations of the estimate
 RECALL = 0.99  # of pairs right at the threshold, by the runs together
-BUCKET = 64  # texts compared pair by pair
-ALL_PAIRS = 12  # buckets up to this size return all pairs, larger ones a spanning forest of the likest
-DEPTHS = (3, 2, 2)  # tokens of a path at first, and at each further split
+DEPTH = 3  # tokens of a path
+BLOCK = 1024  # texts of a large bucket that are compared with another block's at once
+BLOCK_BYTES = 8 << 20  # and of their shingles
 SMALL = 1_000_000  # ids that may be broadcast
 
 _U = np.uint64
@@ -61,8 +61,18 @@ def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return s, row, count, h
 
 
+def _sign(h: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the sequence of words of each row, 0 of a row without words."""
+    at, some = np.cumsum(count) - count, np.flatnonzero(count > 0)
+    place = np.arange(len(h), dtype=np.uint64) - np.repeat(at, count).astype(np.uint64)
+    sign = np.zeros(len(count), np.int64)
+    if len(some):
+        sign[some] = mix(np.add.reduceat(h * mix(place * _U(2) + _U(seed << 40)), at[some])).view(np.int64)
+    return sign
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, s1, s2, sketch): a hash of 128 bits of the sequence of words, and 16 bits of each token. Null for texts without words."""
+    """(doc_id, s1, s2, n_words, sketch): a hash of 128 bits of the sequence of words, and 16 bits of each token. Null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -72,21 +82,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             matrix = np.empty((len(some), SIZE), np.uint16)
             for k in range(SIZE if len(some) else 0):
                 matrix[:, k] = mix(np.minimum.reduceat(s * _MULTIPLY[k] + _ADD[k], first)) & _U(0xFFFF)
-            at = np.cumsum(count) - count
-            place = np.arange(len(h), dtype=np.uint64) - np.repeat(at, count).astype(np.uint64)
-            signs = []
-            for seed in (1, 2):
-                value = h * mix(place * _U(2) + _U(seed << 40))
-                sign = np.zeros(n, np.int64)
-                if len(some):
-                    sign[some] = mix(np.add.reduceat(value, at[some])).view(np.int64)
-                signs.append(pa.array(sign, mask=count == 0))
+            signs = [pa.array(_sign(h, count, seed), mask=count == 0) for seed in (1, 2)]
             blobs = np.full(n, None, object)
             blobs[some] = [m.tobytes() for m in matrix]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *signs, pa.array(blobs.tolist(), pa.binary())], ["doc_id", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *signs, pa.array(count, pa.int64()), pa.array(blobs.tolist(), pa.binary())], ["doc_id", "s1", "s2", "n_words", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "doc_id bigint, s1 bigint, s2 bigint, sketch binary")
+    return rows.mapInArrow(run, "doc_id bigint, s1 bigint, s2 bigint, n_words bigint, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -113,162 +115,156 @@ def _start(runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 2048) for k in range(0, batch.num_rows, 2048)):
-                token, ids = _tokens(_matrix(part.column("sketch"))), ids_of(part.column("rep"))[0]
+                token = _tokens(_matrix(part.column("sketch")))
+                ids, size = (ids_of(part.column(c))[0] for c in ("node", "n_words"))
                 for r in range(runs):
                     n = len(ids)
-                    path, used, row = _extend(np.full(n, mix(np.array([r + 1], np.uint64))[0]), np.zeros(n, np.uint64), np.arange(n), token, DEPTHS[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(used.view(np.int64)), pa.array(ids[row])], ["path", "used", "rep"])
+                    path, _, row = _extend(np.full(n, mix(np.array([r + 1], np.uint64))[0]), np.zeros(n, np.uint64), np.arange(n), token, DEPTH)
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[row]), pa.array(size[row])], ["path", "node", "n_words"])
 
     return run
 
 
-def _further(steps: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 8192) for k in range(0, batch.num_rows, 8192)):
-                ids = ids_of(part.column("rep"))[0]
-                path, used = (ids_of(part.column(c))[0].view(np.uint64) for c in ("path", "used"))
-                path, used, row = _extend(path, used, np.arange(len(ids)), _tokens(_matrix(part.column("sketch"))), steps)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(used.view(np.int64)), pa.array(ids[row])], ["path", "used", "rep"])
+def buckets(reps: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(path, node, blocks): the texts of each path that several of reps (node, n_words, sketch) share, and how many blocks the bucket is cut into."""
+    paths = reps.select("node", "n_words", "sketch").mapInArrow(_start(runs_for(recall, DEPTH)), "path bigint, node bigint, n_words bigint")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_words") * 4 / BLOCK_BYTES))
+    counts = paths.groupBy("path").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1").drop("n")
+    return checkpoint(paths.select("path", "node").join(counts, "path"))
 
-    return run
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, rep, shingles): the distinct shingles' lower 32 bits, ascending. node is the text's s1."""
+    for batch in slices(batches, "_text"):
+        s, row, count, h = _shingles(*raw(batch.column("_text")))
+        s = s.astype(np.uint32)
+        order = np.lexsort((s, row))
+        s, row = s[order], row[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] != s[:-1])]) if len(s) else np.zeros(0, bool)
+        s, row = s[new], row[new]
+        edge = np.searchsorted(row, np.arange(batch.num_rows + 1)) * 4
+        body = s.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(_sign(h, count, 1)), batch.column("doc_id"), pa.array([body[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["node", "rep", "shingles"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each bucket; rows come in order of bucket, and one may go on in the next batch."""
+    """Links of each unit; rows come in order of unit, and one may go on in the next batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
+        ends = [tuple(held[-1].column(c)[-1].as_py() for c in ("path", "unit"))] if held else []
         held.append(batch)
+        key = [ids_of(batch.column(c))[0] for c in ("path", "unit")]
+        if ends and ends[0] == (key[0][-1], key[1][-1]):
+            continue  # still the same unit
         whole = pa.Table.from_batches(held).combine_chunks()
-        key = np.stack([ids_of(whole.column(c).combine_chunks())[0] for c in ("path", "chunk")], 1)
-        start = int(np.flatnonzero((key == key[-1]).all(1))[0])  # the last bucket may not be whole
+        path, unit = (ids_of(whole.column(c).combine_chunks())[0] for c in ("path", "unit"))
+        start = int(np.flatnonzero((path == path[-1]) & (unit == unit[-1]))[0])  # the last unit may not be whole
         if start:
-            yield from _pairs(whole.slice(0, start))
+            yield _links(whole.slice(0, start))
         held = whole.slice(start).to_batches()
     if held:
-        yield from _pairs(pa.Table.from_batches(held))
+        yield _links(pa.Table.from_batches(held))
 
 
-def _pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _links(rows: pa.Table) -> pa.RecordBatch:
+    """(node, a, b, links) of each text with links in a unit: its id, the id of one text of its component, the number of its links."""
     rows = rows.combine_chunks()
-    path, chunk, ids = (ids_of(rows.column(c).combine_chunks())[0] for c in ("path", "chunk", "rep"))
-    m = _matrix(rows.column("sketch").combine_chunks())
-    cut = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (chunk[1:] != chunk[:-1])]))
-    sizes = np.diff(np.append(cut, len(ids)))
-    left = np.repeat(cut + sizes, sizes) - np.arange(len(ids))  # rows of the bucket from here on
-    size_of = np.repeat(sizes, sizes)
-    a, b, like = [], [], []
-    for d in range(1, int(sizes.max())):
-        i = np.flatnonzero(left > d)
-        i = i[ids[i] != ids[i + d]]
-        for k in range(0, len(i), 65536):
-            part = i[k : k + 65536]
-            same = (m[part] == m[part + d]).sum(1)
-            kept = same >= (THRESHOLD - MARGIN) * SIZE
-            a.append(part[kept])
-            b.append(part[kept] + d)
-            like.append(same[kept])
-    a, b, like = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, like))
-    every = size_of[a] <= ALL_PAIRS
-    out = [(a[every], b[every])]
-    order = np.flatnonzero(~every)[np.argsort(-like[~every], kind="stable")]
-    up = list(range(len(ids))) if len(order) else []
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    tree = []
-    for x, y, k in zip(a[order].tolist(), b[order].tolist(), order.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            up[p] = q
-            tree.append(k)
-    out.append((a[tree], b[tree]))
-    x, y = (np.concatenate([o[k] for o in out]).astype(np.int64) for k in (0, 1))
-    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
-
-
-def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(a, b): pairs of reps (rep, sketch) that some run brings together and whose tokens agree well enough."""
-    frontier, out = reps.mapInArrow(_start(runs_for(recall, DEPTHS[0])), "path bigint, used bigint, rep bigint"), []
-    for steps in (*DEPTHS[1:], 0):
-        counts = frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-        alive = checkpoint(frontier.join(counts, "path"))
-        large = alive.where(f"n > {BUCKET}")
-        if not steps or large.isEmpty():
-            out.append(alive)
-            break
-        out.append(alive.where(f"n <= {BUCKET}"))
-        frontier = large.select("path", "used", "rep").join(reps.select("rep", "sketch"), "rep").mapInArrow(_further(steps), "path bigint, used bigint, rep bigint")
-    buckets = out[0]
-    for more in out[1:]:
-        buckets = buckets.unionByName(more)
-    chunks = F.ceil(F.col("n") / BUCKET)
-    own = F.array(F.pmod(F.xxhash64("rep", "path"), chunks))
-    chunk = F.explode(F.when(F.col("n") <= BUCKET, F.array(F.lit(0).cast("bigint"))).when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0).cast("bigint"), chunks - 1)).otherwise(own))
-    rows = buckets.select("path", "rep", chunk.alias("chunk")).join(reps.select("rep", "sketch"), "rep")
-    dealt = rows.repartition(partitions(reps.sparkSession), "path", "chunk").sortWithinPartitions("path", "chunk", "rep")
-    return dealt.select("path", "chunk", "rep", "sketch").mapInArrow(_compare, "a bigint, b bigint").distinct()
+    columns = {c: rows.column(c).combine_chunks() for c in rows.column_names}
+    path, unit, block, node, rep = (ids_of(columns[c])[0] for c in ("path", "unit", "block", "node", "rep"))
+    body, edge = raw(columns["shingles"])
+    shingles, edge = np.frombuffer(body.tobytes(), np.uint32), edge // 4
+    lists = columns["paths"]
+    met, seen = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    cut = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (unit[1:] != unit[:-1]), [True]]))
+    out = []
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        second = lo + int(np.searchsorted(block[lo:hi], block[hi - 1]))  # blocks of a unit are two, or one compared with itself
+        if hi - lo < 2 or (second == lo and columns["pair"][lo].as_py()):
+            continue
+        earlier = [met[seen[k] : seen[k + 1]] for k in range(lo, hi)]
+        earlier = [p[p < path[lo]] for p in earlier]
+        link, root = _unit(shingles[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo], earlier, rep[lo:hi], second - lo)
+        some = np.flatnonzero(link)
+        out.append((lo + some, lo + root[some], link[some]))
+    at, root, link = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
+    return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(rep[at]), pa.array(rep[root]), pa.array(link)], ["node", "a", "b", "links"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, shingles): the distinct shingles' lower 32 bits, ascending."""
-    for batch in slices(batches, "_text"):
-        s, row, _, _ = _shingles(*raw(batch.column("_text")))
-        s = s.astype(np.uint32)
-        order = np.lexsort((s, row))
-        s, row = s[order], row[order]
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] != s[:-1])]) if len(s) else np.zeros(0, bool)
-        s, row = s[new], row[new]
-        edge = np.searchsorted(row, np.arange(batch.num_rows + 1)) * 4
-        body = s.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([body[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
+def _unit(shingles: np.ndarray, first: np.ndarray, earlier: list[np.ndarray], rep: np.ndarray, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of links of each text to others of the unit, and a text of its component. From second on texts are of the other block; 0 if there is one block only.
 
-
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, like = [], []
-        for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            j = both / max(len(x) + len(y) - both, 1)
-            if j >= THRESHOLD:
-                kept.append(k)
-                like.append(j)
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "b")] + [pa.array(like, pa.float64())], ["a", "b", "jaccard"])
-
-
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, jaccard): the pairs whose shingle sets have a Jaccard similarity of THRESHOLD or more."""
-    needed = checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    A pair that shares a path of the lists earlier is left to that path's bucket. Texts of one id (rep) aren't compared.
+    """
+    n, size = len(first) - 1, np.diff(first)
+    links, root = np.zeros(n, np.int64), np.arange(n)
+    before = np.concatenate([[0], np.cumsum([len(p) for p in earlier])])
+    paths, path = np.unique(np.concatenate(earlier), return_inverse=True)
+    values, code = np.unique(shingles, return_inverse=True)
+    of_path, of_text = np.zeros(len(paths), bool), np.zeros(len(values), bool)
+    for x in range(second or n - 1):
+        y0 = second or x + 1
+        own = path[before[x] : before[x + 1]]
+        of_path[own] = True
+        shared = np.concatenate([[0], np.cumsum(of_path[path[before[y0] :]])])
+        of_path[own] = False
+        at = before[y0:] - before[y0]
+        y = y0 + np.flatnonzero((shared[at[1:]] == shared[at[:-1]]) & (rep[y0:] != rep[x]) & (np.minimum(size[y0:], size[x]) >= THRESHOLD * np.maximum(size[y0:], size[x]) - 1e-6))
+        if not len(y):
+            continue
+        own = code[first[x] : first[x + 1]]
+        of_text[own] = True
+        start = np.cumsum(size[y]) - size[y]
+        hits = of_text[code[np.arange(int(size[y].sum())) + np.repeat(first[y] - start, size[y])]]
+        of_text[own] = False
+        both = np.add.reduceat(hits, start, dtype=np.int64)
+        y = y[both / (size[x] + size[y] - both) >= THRESHOLD]
+        if len(y):
+            links[x] += len(y)
+            links[y] += 1
+            joined = np.append(root[y], root[x])
+            if (joined != joined[0]).any():
+                to = np.arange(n)
+                to[joined] = joined.min()
+                root = to[root]
+    return links, root
+
+
+def links(docs: DataFrame, met: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, a, b, links) of the texts that the buckets met bring together with others of a Jaccard similarity of THRESHOLD or more.
+
+    A text comes once for each unit in which it has links: links is their number, and a and b, the ids of the text and of one that a chain of links joins it to, make a graph of the same components.
+    """
+    paths = met.groupBy("node").agg(F.collect_list("path").alias("paths"))
+    needed = checkpoint(reps.select("node", F.col("rep").alias("doc_id")).join(met.select("node"), "node", "left_semi"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("_text")).where("_text is not null").dropna(subset=["doc_id"])
-    sets = texts.join(broadcast_if_small(needed, SMALL), "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary")
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    return first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").mapInArrow(_exact, "a bigint, b bigint, jaccard double").dropDuplicates(["a", "b"])
+    sets = texts.join(broadcast_if_small(needed.select("doc_id").distinct(), SMALL), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, rep bigint, shingles binary")
+    own = needed.withColumnRenamed("doc_id", "rep").join(sets, ["node", "rep"]).dropDuplicates(["node"]).join(paths, "node")
+    block = F.pmod(F.xxhash64("node", "path"), F.col("blocks"))
+    dealt = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    unit = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    dealt = dealt.select("path", "node", unit.alias("unit"), "block", (F.floor(unit / F.col("blocks")) != unit % F.col("blocks")).alias("pair"))
+    rows = dealt.join(own, "node").repartition(partitions(docs.sparkSession), "path", "unit").sortWithinPartitions("path", "unit", "block", "node")
+    return rows.select("path", "unit", "block", "pair", "node", "rep", "paths", "shingles").mapInArrow(_compare, "node bigint, a bigint, b bigint, links bigint")
 
 
 def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, rep_id, n_copies, n_links) of each document.
 
     class_id is the least id of those that links connect; rep_id the least id with the same sequence of words (case and
-    punctuation aside), n_copies how many have it, n_links the links found of that text to different ones. In buckets of
-    more than ALL_PAIRS texts, only the links of a spanning forest count. Null, empty and wordless texts are like no
+    punctuation aside), n_copies how many have it, n_links the links found of that text to different ones. Null, empty and wordless texts are like no
     other and are their own class, as are rows without an id (class null). Rows that share an id are one node of the links.
     """
     base = checkpoint(sketches(docs))
     texts = base.where("s1 is not null and doc_id is not null")
     groups = texts.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     groups = checkpoint(groups)
-    reps = checkpoint(texts.join(groups.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"]))
-    found = checkpoint(links(docs, checkpoint(candidates(reps, recall))))
-    degree = found.select(F.col("a").alias("rep")).unionAll(found.select("b")).groupBy("rep").agg(F.count("*").alias("links"))
+    reps = checkpoint(texts.join(groups.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").select(F.col("s1").alias("node"), F.col("doc_id").alias("rep"), "n_words", "sketch").dropDuplicates(["node"]))
+    found = checkpoint(links(docs, buckets(reps, recall), reps))
+    degree = found.groupBy(F.col("node").alias("s1")).agg(F.sum("links").alias("links"))
     roots = components(found).select(F.col("node").alias("rep"), "root")
-    whole = groups.join(roots, "rep", "left").join(degree, "rep", "left")
+    whole = groups.join(roots, "rep", "left").join(degree, "s1", "left")
     rows = base.select("doc_id", "s1", "s2").join(whole, ["s1", "s2"], "left")
     return rows.select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("class_id"), F.coalesce("rep", "doc_id").alias("rep_id"),

@@ -175,6 +175,39 @@ def test_jaccard(spark, odd, texts):
     assert jaccard.similar(odd.limit(0)).count() == 0
 
 
+def variants(n, source, seed, edits):
+    """n texts of 300 words, each the source with some words changed."""
+    import random
+
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        w = [f"{source}{i}" for i in range(300)]
+        for e in range(rng.choice(edits)):
+            w[rng.randrange(300)] = f"{source}x{k}y{e}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [1024])
+def test_jaccard_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    every = dict(enumerate(variants(40, "a", 1, (3, 4)) + variants(150, "b", 2, (3, 4, 5, 6))))
+    words = {i: t.split() for i, t in every.items()}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    true, classes = dict.fromkeys(every, 0), {i: i for i in every}
+    for a in every:
+        for b in range(a):
+            both = len(shingles[a] & shingles[b])
+            if both / (len(shingles[a]) + len(shingles[b]) - both) >= 0.8:
+                true[a], true[b] = true[a] + 1, true[b] + 1
+                joined = {classes[a], classes[b]}
+                classes = {i: min(joined) if c in joined else c for i, c in classes.items()}
+    got = {r["doc_id"]: r for r in jaccard.similar(spark.createDataFrame(list(every.items()), "doc_id long, text string")).collect()}
+    assert all(got[i]["n_links"] <= true[i] for i in every)
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * sum(true.values())
+    assert {i: got[i]["class_id"] for i in every} == classes
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
