@@ -188,7 +188,7 @@ def variants(n, source, seed, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [1024])
+@pytest.mark.parametrize("block", [1024, 16])
 def test_jaccard_large_groups(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     every = dict(enumerate(variants(40, "a", 1, (3, 4)) + variants(150, "b", 2, (3, 4, 5, 6))))
