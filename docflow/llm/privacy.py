@@ -1,9 +1,9 @@
 """Personal data: base patterns, and terms that corpus co-occurrence shows to reveal a protected entity. Built-in functions only.
 
-An entity is a value of a base pattern. How much a term t that stands near entities discloses of entity c is their
-pointwise mutual information over the documents, as a share of what c itself tells: PMI(t, c) / IC(c). It is 1 if the
-term never occurs without the entity. In documents that hold an entity, terms from DISCLOSURE on are generalised with
-it; terms that few documents hold beside it say too little and stay.
+An entity is a value of a base pattern. How much a term t discloses of entity c is their pointwise mutual information
+over the documents, as a share of what c itself tells: PMI(t, c) / IC(c). It is 1 if the term never occurs without the
+entity. Documents are rows in all counts, and a term occurs with an entity if one document holds both, wherever. Terms
+from DISCLOSURE on are generalised in every document; terms that few texts hold with the entity say too little and stay.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpoint, let, table
 
-NEAR = 6  # terms before and after an entity that may reveal it
 DISCLOSURE = 0.9
-SUPPORT = 3  # different texts in which the term stands near the entity, at least
-LETTERS = 4  # of a term, at least
-CONTEXT = 200  # characters looked at on either side for those terms
+SUPPORT = 3  # different texts that hold the term and the entity, at least
+LETTERS = 2  # of a term, at least; all its characters are letters
 SMALL = 200_000  # rows that may be broadcast
 
 #: The base patterns. Starts are pinned to where a match can begin at all, which keeps long runs linear.
@@ -32,7 +30,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-_TERM = rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{LETTERS},}}+(?![\p{{L}}\p{{N}}])"
+_TERM = rf"^\p{{L}}{{{LETTERS},}}$"
 
 
 def _digits(value: Column) -> Column:
@@ -94,60 +92,62 @@ def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.reverse(text)).alias("b"))
 
 
+def _terms(text: Column, spans: Column) -> Column:
+    """The different terms of the text in lower case; what the spans cover holds none."""
+    bare = F.when(F.size(spans) == 0, text).otherwise(redacted(text, spans, dict.fromkeys(MASKS, " ")))
+    return F.filter(F.array_distinct(F.split(F.lower(bare), r"[^\p{L}\p{N}]+")), lambda t: t.rlike(_TERM))
+
+
 def revealing_terms(docs: DataFrame) -> DataFrame:
-    """(key, terms): for the texts (by hash) that hold entities, the terms near them that disclose one of them.
+    """(term): the terms that disclose an entity.
 
-    docs has text and spans. Candidates are terms near an entity in SUPPORT different texts. Every term is counted over
-    the whole corpus, combined within each task before the shuffle, so that this work grows with the words alone and not
-    with the candidates, which become more as entities recur.
+    docs has text and base spans. Candidates are all terms of the documents that hold an entity of SUPPORT different
+    texts. Every term is counted over the whole corpus, combined within each task before the shuffle, so that this work
+    grows with the words alone.
     """
-    held = docs.where(F.size("spans") > 0)
+    held = docs.where(F.size("spans") > 0).select(_key(F.col("text")).alias("key"), "text", "spans")
     n = docs.count()
-    before = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - (CONTEXT - 1), F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-    after = lambda s: F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT))
-    terms = lambda t: F.regexp_extract_all(t, F.lit(_TERM), F.lit(0))
-    near = lambda s: F.array_distinct(F.concat(F.slice(F.reverse(terms(F.lower(before(s)))), 1, NEAR), F.slice(terms(F.lower(after(s))), 1, NEAR)))
-    entity = F.explode(F.transform("spans", lambda s: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), near(s).alias("near"))))
-    pairs = held.select(_key(F.col("text")).alias("key"), entity.alias("e")).select("key", "e.entity", "e.near").groupBy("key", "entity").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    pairs = checkpoint(pairs)
-    each = pairs.select("key", "entity", F.explode("near").alias("term"))
-    together = checkpoint(each.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT))
-    found = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    counts = found.groupBy("term").agg(F.count("*").alias("with_term"))
-    holders = pairs.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))))
+    pairs = checkpoint(held.select("key", entity.alias("entity")).groupBy("key", "entity").agg(F.count("*").alias("copies")))
+    holders = checkpoint(pairs.groupBy("entity").agg(F.sum("copies").alias("with_entity"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"))
+    pairs = checkpoint(pairs.join(broadcast_if_small(holders.select("entity"), SMALL), "entity"))
+    texts = held.join(broadcast_if_small(pairs.select("key").distinct(), SMALL), "key", "left_semi").dropDuplicates(["key"])
+    each = pairs.join(texts, "key").select("entity", "copies", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
+    together = checkpoint(each.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"))
+    counts = docs.select(F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     scored = together.join(counts, "term").join(holders, "entity")
     total = F.lit(float(max(n, 1)))
     pmi = F.log(F.col("both") * total / (F.col("with_term") * F.col("with_entity")))
     information = F.log(total / F.col("with_entity"))
-    strong = checkpoint(scored.where((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term"))
-    hits = pairs.select("key", "entity").join(broadcast_if_small(strong, SMALL), "entity")
-    return checkpoint(hits.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    return checkpoint(scored.where((information > 0) & (pmi >= DISCLOSURE * information - 1e-9)).select("term").distinct())
 
 
 def find(docs: DataFrame) -> DataFrame:
     """docs with spans: array<struct<kind, start, end, value>> of the base spans and those of revealing terms (kind term), by kind, then start.
 
     Starts count from 0, ends are exclusive, both in code points. A null text is empty and has no spans. Columns stay;
-    docs must not already have spans. Rows that repeat count as one text in the statistics of entities. Terms are
-    looked up only in documents that hold an entity; the others pass without a join.
+    docs must not already have spans. Revealing terms are found in every document that holds them, with or without an
+    entity; documents without any pass without a shuffle while few texts hold one.
     """
-    found = docs.withColumn("spans", base_spans(F.coalesce("text", F.lit(""))))
-    terms = revealing_terms(found.select(F.coalesce("text", F.lit("")).alias("text"), "spans"))
-    own = found.where(F.size("spans") > 0).withColumn("_key", _key(F.col("text")))
-    own = own.join(broadcast_if_small(terms, SMALL), F.col("_key") == F.col("key"), "left")
+    found = docs.withColumn("spans", base_spans(F.coalesce("text", F.lit("")))).withColumn("_key", _key(F.coalesce("text", F.lit(""))))
+    strong = revealing_terms(found.select(F.coalesce("text", F.lit("")).alias("text"), "spans"))
+    each = found.where("text is not null").select(F.col("_key").alias("key"), F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
+    terms = checkpoint(each.join(broadcast_if_small(strong, SMALL), "term").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    keys = broadcast_if_small(terms.select("key"), SMALL)
+    own = found.join(keys, F.col("_key") == F.col("key"), "left_semi").join(terms, F.col("_key") == F.col("key"))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     typed = F.transform(_located(F.col("text"), pattern), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    own = own.withColumn("spans", F.when(F.size("terms") > 0, F.concat("spans", typed)).otherwise(F.col("spans"))).select(*docs.columns, "spans")
-    return own.unionByName(found.where(F.size("spans") == 0))
+    own = own.withColumn("spans", F.concat("spans", typed)).select(*docs.columns, "spans")
+    return own.unionByName(found.join(keys, F.col("_key") == F.col("key"), "left_anti").select(*docs.columns, "spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
+def redacted(text: Column, spans: Column, masks: dict[str, str] = MASKS) -> Column:
     """The text with each stretch that spans cover replaced by the mask of its first span; spans of several kinds that overlap make one stretch."""
-    masks = F.create_map(*[F.lit(x) for pair in MASKS.items() for x in pair])
+    mask_of = F.create_map(*[F.lit(x) for pair in masks.items() for x in pair])
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), masks[s["kind"]])).otherwise(state["out"])
+        out = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), mask_of[s["kind"]])).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))

@@ -99,6 +99,20 @@ def test_privacy(spark, odd, docs, texts):
     assert out[9] == "nothing here" and "[EMAIL]" in out[0] and "Zorblax" not in out[0] and "filler0" in out[0]
 
 
+def test_privacy_counts_rows(spark):
+    texts = [f"variant{i} holds Quorvex beside q@mail.org" for i in range(3) for _ in range(50)] + [f"other{i} text" for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not privacy.sanitise(rows).where("text like '%Quorvex%'").count()
+
+
+def test_privacy_whole_documents(spark):
+    far = " ".join(["filling"] * 60)
+    texts = [f"Quorvex or Bo heads letter{i} {far} signed q@mail.org" for i in range(20)] + ["seen without it: QUORVEX", "filling"] + [f"other{i} text with or filling" for i in range(3000)]
+    out = {r["doc_id"]: r["text"] for r in privacy.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(out[i] == f"[TERM] or [TERM] [TERM] letter{i} {far} [TERM] [EMAIL]" for i in range(20))
+    assert out[20] == "seen without it: [TERM]" and out[21] == "filling" and out[22] == texts[22]
+
+
 def test_html(spark):
     page = "<html><head><title>T{i}</title></head><body><div class=x1><a>Home{k}</a></div><div id=main1><h2>Head {i}</h2><p>Text &amp; more {i}<p>Second\n line {i}</div><ul><li>Same</li></ul><form>no</form><div class='reader-comments'>c{i}</div></body></html>"
     rows = [(i, "http://h.org/x", page.replace("{i}", str(i)).replace("{k}", "")) for i in range(12)] + [(90, None, None), (91, "http://q.org", "<article><h1>A&nbsp;b</h1><div class=ad>z</div><p>c<br>d<script>x</script></article><nav>n</nav>"), (92, "u", "")]
