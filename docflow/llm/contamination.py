@@ -54,25 +54,32 @@ class Canonical:
         unit = (units[at] == self.plain) & after
         self.slot = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0)))
         self.template = np.where(self.slot > 0, _TYPES[np.maximum(self.slot, 1) - 1], self.plain)
+        self.cased = np.where(self.slot == 2, self.plain, self.template)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first word, is template) of the windows: of the template, where it isn't mostly slots, and of the words with only numbers and units replaced."""
+        """(hash, first word, is template) of the windows: of the template, where it isn't mostly slots, of the words with only numbers and units replaced, and where those are many, of the words as they stand."""
         w = self.words
         t, at = windows(self.template, w, WINDOW)
         filled = np.concatenate([[0], np.cumsum(self.slot > 0)])
         kept = filled[at + WINDOW] - filled[at] <= MOST_SLOTS if len(at) else np.zeros(0, bool)
-        cased = np.where((self.slot == 1) | (self.slot == 3), self.template, self.plain)
-        p, _ = windows(cased, w, WINDOW)
+        p, _ = windows(self.cased, w, WINDOW)
         numbers = np.concatenate([[0], np.cumsum((self.slot == 1) | (self.slot == 3))])
-        kept_p = numbers[at + WINDOW] - numbers[at] <= MOST_SLOTS if len(at) else kept
-        return np.concatenate([t[kept], mix(p[kept_p] + np.uint64(1))]), np.concatenate([at[kept], at[kept_p]]), np.concatenate([np.ones(int(kept.sum()), bool), np.zeros(int(kept_p.sum()), bool)])
+        many = numbers[at + WINDOW] - numbers[at] if len(at) else np.zeros(0, np.int64)
+        kept_p, verbatim = many <= MOST_SLOTS, many >= MOST_SLOTS  # the first word may be a unit in one text only
+        v, _ = windows(self.plain, w, WINDOW)
+        kinds = (np.full(int(k.sum()), t) for k, t in ((kept, True), (kept_p, False), (verbatim, False)))
+        return np.concatenate([t[kept], mix(p[kept_p] + np.uint64(1)), mix(v[verbatim] + np.uint64(2))]), np.concatenate([at[kept], at[kept_p], at[verbatim]]), np.concatenate([*kinds])
+
+    def forms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words with all slots replaced, with only numbers and units, and as they stand."""
+        return self.template, self.cased, self.plain
 
     def token(self, k: int) -> bytes:
         return self.low[self.words.start[k] : self.words.end[k]].tobytes()
 
 
 def _index(rows: list[tuple[int, str]]) -> dict:
-    """Windows of the items, by hash, and what is needed to compare slots. Items shorter than a window are looked up whole, by padding."""
+    """Windows of the items, by hash, and what is needed to compare slots. Items shorter than a window are looked up whole, in each of forms() that isn't mostly slots."""
     texts = [t.encode() for _, t in rows]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     c = Canonical(np.frombuffer(b"".join(texts), np.uint8), offsets)
@@ -80,12 +87,26 @@ def _index(rows: list[tuple[int, str]]) -> dict:
     item = c.words.doc[at] if len(at) else at
     order = np.argsort(h, kind="stable")
     n = np.diff(c.words.first)
-    short = {}
-    for k in np.flatnonzero((n > 0) & (n < WINDOW)):
-        short.setdefault(int(n[k]), {}).setdefault(tuple(c.plain[c.words.first[k] : c.words.first[k + 1]].tolist()), []).append(int(k))
+    short: dict[tuple[int, int], dict[int, list[int]]] = {}
+    for size in np.unique(n[(n > 0) & (n < WINDOW)]).tolist():
+        for form, values in enumerate(c.forms()):
+            h_short, at_short = windows(values, c.words, size)
+            for value, first in zip(h_short.tolist(), at_short.tolist(), strict=True):
+                k = int(c.words.doc[first])
+                if n[k] == size and int((values[first : first + size] != c.plain[first : first + size]).sum()) * WINDOW <= MOST_SLOTS * size:
+                    short.setdefault((form, size), {}).setdefault(value, []).append(k)
     return {"ids": [r[0] for r in rows], "hash": h[order], "at": (at - c.words.first[item])[order], "item": item[order], "words": n, "tokens": [[c.token(j) for j in range(c.words.first[k], c.words.first[k + 1])] for k in range(len(rows))], "slots": [c.slot[c.words.first[k] : c.words.first[k + 1]].tolist() for k in range(len(rows))], "short": short}
 
 
+def _consistent(pairing: list[tuple[bytes, bytes]]) -> int:
+    """How many of the pairs of fillers follow the most frequent mapping, both ways."""
+    forth, back = {}, {}
+    for a, b in pairing:
+        forth.setdefault(a, Counter())[b] += 1
+        back.setdefault(b, Counter())[a] += 1
+    return sum(forth[a].most_common(1)[0][0] == b and back[b].most_common(1)[0][0] == a for a, b in pairing)
+
+
 def _matches(c: Canonical, index: dict) -> Iterator[tuple[int, int, int, float, float]]:
     """(row, item, windows matched, share of the item's words covered, share of consistent slots) of each text and item that share a window."""
     h, at, _ = c.windows()
@@ -101,11 +122,7 @@ def _matches(c: Canonical, index: dict) -> Iterator[tuple[int, int, int, float,
         covered = sorted({a + d for a in starts for d in range(WINDOW)})
         base = int(c.words.first[row]) + shift
         pairing = [(index["tokens"][item][p], c.token(base + p)) for p in covered if index["slots"][item][p]]
-        forth, back = {}, {}
-        for a, b in pairing:
-            forth.setdefault(a, Counter())[b] += 1
-            back.setdefault(b, Counter())[a] += 1
-        good = sum(forth[a].most_common(1)[0][0] == b and back[b].most_common(1)[0][0] == a for a, b in pairing)
+        good = _consistent(pairing)
         if not pairing or good >= SLOTS * len(pairing):
             own = found.setdefault((row, item), {})
             for p in covered:
@@ -118,20 +135,21 @@ def _matches(c: Canonical, index: dict) -> Iterator[tuple[int, int, int, float,
             run = run + 1 if p == before + 1 else 1
             longest, before = max(longest, run), p
         yield row, item, longest, len(own) / int(index["words"][item]), good / slots if slots else 1.0
-    for n, entries in index["short"].items():  # whole short items, word by word
-        if len(c.plain) >= n:
-            heads = {k[0] for k in entries}
-            for k in np.flatnonzero(np.isin(c.plain, np.array(list(heads), np.uint64))):
-                if k + n <= c.words.first[c.words.doc[k] + 1]:
-                    for item in entries.get(tuple(c.plain[k : k + n].tolist()), ()):
-                        yield int(c.words.doc[k]), item, n, 1.0, 1.0
+    for (form, n), entries in index["short"].items():  # whole short items
+        h, at = windows(c.forms()[form], c.words, n)
+        for k in np.flatnonzero(np.isin(h, np.array(list(entries), np.uint64))):
+            for item in entries[int(h[k])]:
+                pairing = [(index["tokens"][item][p], c.token(int(at[k]) + p)) for p in range(n) if index["slots"][item][p]]
+                good = _consistent(pairing)
+                if good >= SLOTS * len(pairing):
+                    yield int(c.words.doc[at[k]]), item, n, 1.0, good / len(pairing) if pairing else 1.0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, longest_run, coverage, consistency) of each document that holds an item, or one like it but for slots.
 
     A pair counts if the document covers COVER of the item's words, or RUN of them in a row, with consistent slots. An
-    item of fewer than WINDOW words counts where all its words stand in a row. Null ids, texts and items match nothing;
+    item of fewer than WINDOW words counts where all its words stand in a row, or its template does with consistent slots. Null ids, texts and items match nothing;
     of rows that share an id, each is looked at, and the best of their matches returned once. The benchmark is taken in
     blocks of at most BLOCK_ITEMS items, each of which goes to all tasks; the documents are read once a block.
     """

@@ -242,6 +242,13 @@ def test_contamination(spark, odd):
     assert contamination.contaminated(odd, items.limit(0)).count() == 0 and contamination.contaminated(odd, items).count() == 0
 
 
+def test_contamination_numbers_and_short_items(spark):
+    items = spark.createDataFrame([(1, "1 2 4 8 16 32 64 128 256 512"), (2, "What is 17 times 23"), (3, "7 8"), (4, "add 5 and 5 now")], "item_id long, text string")
+    rows = [(1, "so 1 2 4 8 16 32 64 128 256 512 end"), (2, "and what is 12 times 31 then"), (3, "so 9 8 7 6 5 4 3 2 1 0 end"), (4, "add 6 and 6 now"), (5, "add 6 and 7 now"), (6, "it is 17 times")]
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1), (2, 2), (4, 4)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
