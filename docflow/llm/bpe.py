@@ -169,8 +169,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.old: dict[str, tuple[int, str, bytes]] = {}
+        self.longest = max(map(len, vocabulary.special), default=0)
+        self.known, self.old = {}, {}  # value() of each word
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens and special tokens of the text, in order."""
@@ -178,22 +178,24 @@ class Encoder:
             return self.find(text)
         return [w for k, part in enumerate(self.split(text)) for w in ([part] if k % 2 else self.find(part))]
 
+    def value(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
+        """What is remembered of a word: number of tokens, ids with commas, decoded bytes."""
+        return len(ids), ",".join(map(str, ids)), self.vocabulary.decode(ids)
+
     def learn(self, words: set[str]) -> None:
-        """Add the words that aren't known: (number of tokens, ids with commas, decoded bytes) of each."""
+        """Add value() of the words that aren't known."""
         if len(self.known) > MEMO:
             self.old, self.known = self.known, {}
-        v, fresh = self.vocabulary, {}
-        for w in words:
-            if w in self.known:
-                continue
-            if w in self.old:
-                self.known[w] = self.old[w]
-            else:
-                fresh[w] = w.encode()
-        found = v.encode_words([b for w, b in fresh.items() if w not in v.special])
-        for w, b in fresh.items():
-            ids = (v.special[w],) if w in v.special else found[b]
-            self.known[w] = len(ids), ",".join(map(str, ids)), v.decode(ids)
+        v, known, old = self.vocabulary, self.known, self.old
+        fresh = words.difference(known)
+        if old:
+            again = [w for w in fresh if w in old]
+            known.update((w, old[w]) for w in again)
+            fresh.difference_update(again)
+        coded = {w: w.encode() for w in fresh}
+        found = v.encode_words([b for w, b in coded.items() if w not in v.special])
+        for w, b in coded.items():
+            known[w] = self.value((v.special[w],) if w in v.special else found[b])
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
@@ -201,15 +203,22 @@ class Encoder:
         return [[int(i) for w in s for i in self.known[w][1].split(",")] for s in split]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+class Counter(Encoder):
+    """An encoder that remembers only the number of tokens of a word."""
+
+    def value(self, ids: tuple[int, ...]) -> int:
+        return len(ids)
+
+
+_ENCODERS: dict[tuple[int, type], Encoder] = {}
 
 
-def _encoder(text: str) -> Encoder:
+def _encoder(text: str, kind: type = Encoder) -> Encoder:
     """The worker's encoder; one is kept from task to task."""
-    key = hash(text)
+    key = hash(text), kind
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(text))
+        _ENCODERS[key] = kind(Vocabulary(text))
     return _ENCODERS[key]
 
 

@@ -151,7 +151,7 @@ def test_bpe_and_edits(spark, odd, texts):
         ids = library.encode(own[r["doc_id"]], add_special_tokens=False).ids
         assert r["token_ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
     assert bpe.with_tokens(odd, path, digests=True).where("doc_id = 0").first()["n_tokens"] == 0
-    encoder = bpe.Encoder(bpe.Vocabulary(bpe.vocabulary_text(path)))
+    encoder = bpe.Counter(bpe.Vocabulary(bpe.vocabulary_text(path)))
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     for t in own:
         tree = edits.Tree(encoder, t)
@@ -160,7 +160,42 @@ def test_bpe_and_edits(spark, odd, texts):
             tree.replace(start, end, new)
             assert tree.total == count(tree.text)
     for r in edits.token_counts(frame, path).collect():
-        assert r["n_tokens"] == count(own[r["doc_id"]])
+        text = own[r["doc_id"]]
+        for start, end, new in edits.edits_of(text):
+            text = text[:start] + new + text[end:]
+        assert (r["n_tokens"], r["n_edited"]) == (count(own[r["doc_id"]]), count(text))
+    assert edits.token_counts(odd.limit(0), path).count() == 0 and edits.token_counts(odd, path).count() == len(ODD) + 1
+
+
+def test_stored_trees_and_edits(spark, odd, texts):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    library = Tokenizer.from_file(path)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    bits = ["'s", " ", "  ", "\n", "a", "the ", "<|endoftext|>", "<|endof", "text|>", "9", "é", "日", "!!", "\t"]
+    own = dict(enumerate([t or "" for t in ODD] + list(texts.values())[:20] + ["".join(rng.choices(bits, k=400)) for _ in range(20)] + ["long words here " * 8000]))
+    rows, expected = [], dict(own)
+    for i in own:
+        for seq in range(rng.randrange(6)):
+            t = expected[i]
+            start = rng.randint(0, len(t))
+            end = start + rng.choice([0, 1, 30, 500])
+            new = "".join(rng.choices(bits, k=rng.choice([0, 1, 3, 200])))
+            rows.append((i, seq, start, end, new or None))
+            expected[i] = t[:start] + new + t[end:]
+    trees = edits.build(spark.createDataFrame(list(own.items()), "doc_id long, text string"), path)
+    changes = spark.createDataFrame([*rows, (None, 0, 0, 1, "x"), (999, 0, 0, 1, "x")], "doc_id long, seq long, start long, end long, new string")
+    once = edits.apply(trees, changes.where("seq < 2"), path)
+    for r in edits.apply(once, changes.where("seq >= 2"), path).collect():
+        assert r["text"] == expected[r["doc_id"]] and r["n_tokens"] == count(r["text"]) == sum(r["leaf_tokens"]) and sum(r["leaf_chars"]) == len(r["text"])
+    encoder = bpe.Counter(bpe.Vocabulary(bpe.vocabulary_text(path)))
+    tree = edits.Tree(encoder, "some words of a text " * 50_000)
+    tree.replace(500_000, 500_010, "other")
+    assert tree.encoded < 100  # however long the text
 
 
 def test_jaccard(spark, odd, texts):
