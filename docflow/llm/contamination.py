@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names (words with a capital) and units become typed placeholders; windows of the templates of the benchmark
-are matched with those of every document by hash. Where a document has enough of an item's windows, the slots that
-the placeholders stand for are compared: the fillers of the item must map to those of the document one to one.
+are joined with those of every document by hash. A bit filter of bounded size, built of the benchmark's hashes, goes to
+all tasks and keeps most windows that can't match out of the shuffle. Where a document has enough of an item's windows,
+the slots that the placeholders stand for are compared: the fillers of the item must map to those of the document one to one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, raw, slices, table, union
+from .common import broadcast_if_small, checkpoint, ids_of, raw, slices, table
 from .tokens import PUNCTUATION, Words, fold, hashes, mix, windows, words
 
 WINDOW = 8
@@ -23,7 +24,9 @@ COVER = 0.5  # share of an item's windows that a document must have
 RUN = 20  # or so many words of an item in a row
 SLOTS = 0.7  # share of slots whose fillers must be consistent
 MOST_SLOTS = 5  # placeholders in a window, at most
-BLOCK_ITEMS = 20_000  # benchmark items matched at once; more are matched block by block
+BITS_A_WINDOW, LEAST_BITS, MOST_BITS = 32, 20, 26  # of the filter, and its size as powers of two; beyond it the filter passes more
+PROBES = 4  # bits of a window in the filter
+SMALL = 100_000  # windows of the benchmark that may be broadcast
 #: Words that are units after a number.
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "years", "percent", "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "meters", "metres", "litres", "liters", "usd", "eur")
 _TYPES = mix(np.arange(1, 4, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))  # number, name, unit
@@ -74,31 +77,93 @@ class Canonical:
         """The words with all slots replaced, with only numbers and units, and as they stand."""
         return self.template, self.cased, self.plain
 
-    def token(self, k: int) -> bytes:
-        return self.low[self.words.start[k] : self.words.end[k]].tobytes()
-
-
-def _index(rows: list[tuple[int, str]]) -> dict:
-    """Windows of the items, by hash, and what is needed to compare slots. Items shorter than a window are looked up whole, in each of forms() that isn't mostly slots."""
-    texts = [t.encode() for _, t in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    c = Canonical(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    h, at, _ = c.windows()
-    item = c.words.doc[at] if len(at) else at
-    order = np.argsort(h, kind="stable")
-    n = np.diff(c.words.first)
-    short: dict[tuple[int, int], dict[int, list[int]]] = {}
-    for size in np.unique(n[(n > 0) & (n < WINDOW)]).tolist():
-        for form, values in enumerate(c.forms()):
-            h_short, at_short = windows(values, c.words, size)
-            for value, first in zip(h_short.tolist(), at_short.tolist(), strict=True):
-                k = int(c.words.doc[first])
-                if n[k] == size and int((values[first : first + size] != c.plain[first : first + size]).sum()) * WINDOW <= MOST_SLOTS * size:
-                    short.setdefault((form, size), {}).setdefault(value, []).append(k)
-    return {"ids": [r[0] for r in rows], "hash": h[order], "at": (at - c.words.first[item])[order], "item": item[order], "words": n, "tokens": [[c.token(j) for j in range(c.words.first[k], c.words.first[k + 1])] for k in range(len(rows))], "slots": [c.slot[c.words.first[k] : c.words.first[k + 1]].tolist() for k in range(len(rows))], "short": short}
-
-
-def _consistent(pairing: list[tuple[bytes, bytes]]) -> int:
+    def units(self, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, number of words) of all that is joined: the windows, and runs of each size in short in each of forms()."""
+        h, at, _ = self.windows()
+        out = [(h, at, np.full(len(at), WINDOW))]
+        for n in short:
+            for form, values in enumerate(self.forms()):
+                h, at = windows(values, self.words, n)
+                out.append((mix(h + np.uint64(16 * n + form)), at, np.full(len(at), n)))
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def _probes(h: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each hash in a filter of 2^bits bits."""
+    return np.stack([mix(h + np.uint64(k + 1)) >> np.uint64(64 - bits) for k in range(PROBES)], 1)
+
+
+def _binaries(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary of each run of values."""
+    body = np.ascontiguousarray(values).tobytes()
+    width = values.dtype.itemsize
+    return pa.array([body[a * width : (a + n) * width] for a, n in zip(at.tolist(), size.tolist(), strict=True)], pa.binary())
+
+
+def _item_windows(items: DataFrame, short: list[int]) -> DataFrame:
+    """(item_id, hash, at, size, n_words, words, slots) of each window of items; a short item has its whole forms that aren't mostly slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            ids, _ = ids_of(batch.column("item_id"))
+            c = Canonical(*raw(batch.column("_text")))
+            h, at, size = c.units(short)
+            item = c.words.doc[at] if len(at) else at
+            n = np.diff(c.words.first)[item] if len(at) else at
+            kept = (size == WINDOW) | (n == size)
+            for form, values in enumerate(c.forms()[:2]):  # what is mostly slots says nothing
+                filled = np.concatenate([[0], np.cumsum(values != c.plain)])
+                much = (filled[at + size] - filled[at]) * WINDOW > MOST_SLOTS * size
+                kept &= (size == WINDOW) | ~(much & np.isin(h, _form_hashes(c, short, form)))
+            h, at, size, item, n = (x[kept] for x in (h, at, size, item, n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[item]), pa.array(h.view(np.int64)), pa.array(at - c.words.first[item]), pa.array(size), pa.array(n), _binaries(c.plain, at, size), _binaries(c.slot.astype(np.uint8), at, size)],
+                ["item_id", "hash", "at", "size", "n_words", "words", "slots"],
+            )
+
+    return items.mapInArrow(run, "item_id bigint, hash bigint, at bigint, size bigint, n_words bigint, words binary, slots binary")
+
+
+def _form_hashes(c: Canonical, short: list[int], form: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[mix(windows(c.forms()[form], c.words, n)[0] + np.uint64(16 * n + form)) for n in short]])
+
+
+def _filter(hashes_: DataFrame, count: int) -> tuple[int, bytes]:
+    """Size (as a power of two) and bits of the filter of the hashes: at most 2^MOST_BITS / 8 bytes, built in Spark."""
+    bits = min(max(LEAST_BITS, int(max(count, 1) * BITS_A_WINDOW).bit_length()), MOST_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_probes(ids_of(batch.column("hash"))[0].view(np.uint64), bits).ravel().view(np.int64))], ["bit"])
+
+    places = hashes_.mapInArrow(run, "bit bigint").select(F.shiftright("bit", 15).alias("part"), F.col("bit").bitwiseAND(F.lit(32767)).alias("bit"))
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    for r in places.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        whole[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits, whole.tobytes()
+
+
+def _document_windows(docs: DataFrame, short: list[int], bits: int, body: bytes) -> DataFrame:
+    """(doc_id, copy, hash, place, doc_words) of the windows that pass the filter; copy tells rows apart that share an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(body, np.uint8)
+        for batch in slices(batches, "_text"):
+            ids, _ = ids_of(batch.column("doc_id"))
+            copies, _ = ids_of(batch.column("copy"))
+            c = Canonical(*raw(batch.column("_text")))
+            h, at, size = c.units(short)
+            for k in range(PROBES):
+                place = mix(h + np.uint64(k + 1)) >> np.uint64(64 - bits)
+                kept = np.flatnonzero((held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+                h, at, size = h[kept], at[kept], size[kept]
+            doc = c.words.doc[at] if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(copies[doc]), pa.array(h.view(np.int64)), pa.array(at - c.words.first[doc]), _binaries(c.plain, at, size)], ["doc_id", "copy", "hash", "place", "doc_words"])
+
+    return docs.mapInArrow(run, "doc_id bigint, copy bigint, hash bigint, place bigint, doc_words binary")
+
+
+def _consistent(pairing: list[tuple[int, int]]) -> int:
     """How many of the pairs of fillers follow the most frequent mapping, both ways."""
     forth, back = {}, {}
     for a, b in pairing:
@@ -107,42 +172,29 @@ def _consistent(pairing: list[tuple[bytes, bytes]]) -> int:
     return sum(forth[a].most_common(1)[0][0] == b and back[b].most_common(1)[0][0] == a for a, b in pairing)
 
 
-def _matches(c: Canonical, index: dict) -> Iterator[tuple[int, int, int, float, float]]:
-    """(row, item, windows matched, share of the item's words covered, share of consistent slots) of each text and item that share a window."""
-    h, at, _ = c.windows()
-    lo, hi = np.searchsorted(index["hash"], h, "left"), np.searchsorted(index["hash"], h, "right")
-    hit = np.flatnonzero(hi > lo)
-    pairs: dict[tuple[int, int, int], set[int]] = {}  # by row, item and where the item would start
-    for k in hit:
-        row, here = int(c.words.doc[at[k]]), int(at[k] - c.words.first[c.words.doc[at[k]]])
-        for j in range(lo[k], hi[k]):
-            pairs.setdefault((row, int(index["item"][j]), here - int(index["at"][j])), set()).add(int(index["at"][j]))
-    found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
-    for (row, item, shift), starts in pairs.items():
-        covered = sorted({a + d for a in starts for d in range(WINDOW)})
-        base = int(c.words.first[row]) + shift
-        pairing = [(index["tokens"][item][p], c.token(base + p)) for p in covered if index["slots"][item][p]]
+def _judge(n_words: int, met: list[dict]) -> tuple[int, float, float]:
+    """(longest run, share of the item's words covered, share of consistent slots) of the windows in which a text and an item meet."""
+    shifts: dict[int, dict[int, tuple[int, int, int]]] = {}  # by where the item would start: slot, word of the item and of the text at each place
+    for m in met:
+        own = shifts.setdefault(m["place"] - m["at"], {})
+        theirs, ours = np.frombuffer(m["words"], np.uint64).tolist(), np.frombuffer(m["doc_words"], np.uint64).tolist()
+        own.update((m["at"] + k, row) for k, row in enumerate(zip(m["slots"], theirs, ours, strict=True)))
+    covered: dict[int, tuple[int, int]] = {}
+    for own in shifts.values():
+        pairing = [(theirs, ours) for slot, theirs, ours in own.values() if slot]
         good = _consistent(pairing)
         if not pairing or good >= SLOTS * len(pairing):
-            own = found.setdefault((row, item), {})
-            for p in covered:
-                own.setdefault(p, (good, len(pairing)))
-    for (row, item), own in found.items():
-        good, slots = max(own.values(), key=lambda v: v[1])
-        longest = run = 0
-        before = -2
-        for p in sorted(own):
-            run = run + 1 if p == before + 1 else 1
-            longest, before = max(longest, run), p
-        yield row, item, longest, len(own) / int(index["words"][item]), good / slots if slots else 1.0
-    for (form, n), entries in index["short"].items():  # whole short items
-        h, at = windows(c.forms()[form], c.words, n)
-        for k in np.flatnonzero(np.isin(h, np.array(list(entries), np.uint64))):
-            for item in entries[int(h[k])]:
-                pairing = [(index["tokens"][item][p], c.token(int(at[k]) + p)) for p in range(n) if index["slots"][item][p]]
-                good = _consistent(pairing)
-                if good >= SLOTS * len(pairing):
-                    yield int(c.words.doc[at[k]]), item, n, 1.0, good / len(pairing) if pairing else 1.0
+            for p in own:
+                covered[p] = max(covered.get(p, (0, 0)), (len(pairing), good))
+    if not covered:
+        return 0, 0.0, 0.0
+    slots, good = max(covered.values())
+    longest = run = 0
+    before = -2
+    for p in sorted(covered):
+        run = run + 1 if p == before + 1 else 1
+        longest, before = max(longest, run), p
+    return longest, len(covered) / n_words, good / slots if slots else 1.0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -150,37 +202,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A pair counts if the document covers COVER of the item's words, or RUN of them in a row, with consistent slots. An
     item of fewer than WINDOW words counts where all its words stand in a row, or its template does with consistent slots. Null ids, texts and items match nothing;
-    of rows that share an id, each is looked at, and the best of their matches returned once. The benchmark is taken in
-    blocks of at most BLOCK_ITEMS items, each of which goes to all tasks; the documents are read once a block.
+    of rows that share an id, each is looked at, and the best of their matches returned once. Empty tables give no rows;
+    other columns are ignored.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    blocks = items.count() // BLOCK_ITEMS + 1
-    out = []
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = [(r["item_id"], r["text"]) for r in own.collect()]
-        out.append(_look(docs, _index(rows)) if rows else _look(docs.limit(0), _index([(0, "")])))
-    best = F.max(F.struct("coverage", "longest_run", "consistency")).alias("best")
-    pairs = union(out).groupBy("doc_id", "item_id").agg(best)
-    return pairs.select("doc_id", "item_id", F.col("best.longest_run").alias("longest_run"), F.col("best.coverage").alias("coverage"), F.col("best.consistency").alias("consistency"))
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("binary").alias("_text"))
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("binary").alias("_text"))
 
-
-def _look(docs: DataFrame, index: dict) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            ids, _ = ids_of(batch.column("doc_id"))
-            found = [m for m in _matches(Canonical(*raw(batch.column("_text"))), index) if m[3] >= COVER or m[2] >= RUN]
-            cols = list(zip(*found, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[list(cols[0])] if found else [], pa.int64()), pa.array([index["ids"][k] for k in cols[1]], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64())],
-                ["doc_id", "item_id", "longest_run", "coverage", "consistency"],
-            )
-
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "doc_id bigint, item_id bigint, longest_run bigint, coverage double, consistency double")
+            n = np.unique(np.diff(Canonical(*raw(batch.column("_text"))).words.first))
+            yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < WINDOW)])], ["n"])
+
+    short = sorted(r["n"] for r in items.mapInArrow(sizes, "n bigint").distinct().collect())  # fewer than WINDOW
+    wanted = checkpoint(_item_windows(items, short))
+    bits, body = _filter(wanted, wanted.count())
+    met = _document_windows(texts, short, bits, body).join(broadcast_if_small(wanted, SMALL), "hash")
+    pairs = met.groupBy("doc_id", "copy", "item_id", "n_words").agg(F.collect_list(F.struct("place", "at", "words", "slots", "doc_words")).alias("met"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                found = [_judge(n, m) for n, m in zip(part.column("n_words").to_pylist(), part.column("met").to_pylist(), strict=True)]
+                longest, coverage, consistency = (pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64())))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("item_id"), longest, coverage, consistency], ["doc_id", "item_id", "longest_run", "coverage", "consistency"])
+
+    judged = pairs.mapInArrow(judge, "doc_id bigint, item_id bigint, longest_run bigint, coverage double, consistency double")
+    best = F.max(F.struct("coverage", "longest_run", "consistency")).alias("best")
+    pairs = judged.where((F.col("coverage") >= COVER) | (F.col("longest_run") >= RUN)).groupBy("doc_id", "item_id").agg(best)
+    return pairs.select("doc_id", "item_id", F.col("best.longest_run").alias("longest_run"), F.col("best.coverage").alias("coverage"), F.col("best.consistency").alias("consistency"))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
+    """contaminated() of documents and benchmark."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
