@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import checkpoint, fold_of, let, raw, slices, table
+from .common import checkpoint, fold_of, free, let, raw, slices, table
 
 SAMPLE = 20_000  # labelled rows that train the classifier, about
-ENTRIES = 4_000  # lexicon entries, at most
+RELATED = 0.25  # correlation given the label from which voters are modelled jointly
+BLOCK = 4  # voters of a joint block, at most
 STEMS = (4, 5, 6)  # letters of a stem
 LEXICONS = 12  # voters that share the words, and as many that share the stems
 CHANCE = 1e-8  # an entry found only in toxic texts must be less likely than this by chance
@@ -36,9 +37,9 @@ def entries_of(token: str) -> list[str]:
     return [e for w in _PIECE.findall(token) for e in (w, *(f"{w[:n]}*" for n in STEMS if len(w) > n))]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in slices(batches, "_text"):
-        data, offsets = raw(batch.column("_text"))
+def _texts(batches: Iterator[pa.RecordBatch], column: str = "_text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for batch in slices(batches, column):
+        data, offsets = raw(batch.column(column))
         body = data.tobytes()
         yield batch, [body[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in range(batch.num_rows)]
 
@@ -55,17 +56,18 @@ class Model:
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """Texts of about `most` labelled documents with their label, chosen by a hash of the id; of copies and most near copies, one.
 
-    Near copies are those with the same least hash of three words. An id with several labels counts as toxic if one is.
+    Near copies are those with the same least hash of three words; the one of the least id stays. An id with several labels counts as toxic if one is.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     found = marked.count()
     if found > most:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / found * (1 << 30)))
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(marked), "doc_id").select(F.col("text").cast("binary").alias("_text"), "toxic")
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(marked), "doc_id").select("doc_id", F.col("text").cast("binary").alias("_text"), "toxic")
     three = lambda w: F.array_min(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
     words = F.split(F.col("_text").cast("string"), r"\s+")
     least = let(words, lambda w: F.when(F.size(w) >= 3, three(w)).otherwise(F.xxhash64(F.array_join(w, " "))))
-    return checkpoint(rows.withColumn("_h", least).dropDuplicates(["_h"]).drop("_h"))
+    first = F.min(F.struct("doc_id", "toxic", "_text")).alias("first")
+    return checkpoint(rows.withColumn("_h", least).groupBy("_h").agg(first).select("first._text", "first.toxic"))
 
 
 def lexicon(sample: DataFrame) -> list[str]:
@@ -87,7 +89,7 @@ def lexicon(sample: DataFrame) -> list[str]:
     if not prior or prior == 1:
         return []
     least = max(3, math.ceil(math.log(CHANCE) / math.log(prior)))
-    rows = counts.where(F.col("bad") >= least).withColumn("low", low).where(F.col("low") > SURE - 0.3).orderBy(F.desc("low"), "entry").limit(2 * ENTRIES).collect()
+    rows = counts.where(F.col("bad") >= least).withColumn("low", low).where(F.col("low") > SURE - 0.3).orderBy(F.desc("low"), "entry").collect()  # as the sample is bounded, so are these
     of_words: dict[str, list[int]] = {}  # what the words of a stem explain
     for r in rows:
         if not r["entry"].endswith("*"):
@@ -101,7 +103,7 @@ def lexicon(sample: DataFrame) -> list[str]:
         more = not r["entry"].endswith("*") or (bad >= least and bad > SURE * (bad + max(good, 0))) or bad + good <= 0 < len(of_words.get(r["entry"], ()))
         if more and r["low"] > (SURE if r["entry"].endswith("*") else SURE - 0.3):
             kept.append(r["entry"])
-    return kept[:ENTRIES]
+    return kept
 
 
 def _evidence(sample: DataFrame, entries: list[str]) -> list[tuple[int, list[int], list[int]]]:
@@ -134,31 +136,58 @@ def _votes(rows: list[tuple[int, list[int], list[int]]], entries: list[str]) ->
     return v, names
 
 
+def _expect(votes: np.ndarray, blocks: list[list[int]], post: np.ndarray, prior: float, rounds: int) -> np.ndarray:
+    """Posterior after expectation maximisation over P(votes of a block | label): blocks are independent given the label, voters of one block are not."""
+    codes = [np.unique(votes[:, b], axis=0, return_inverse=True)[1].ravel() for b in blocks]
+    for _ in range(rounds):
+        odds = np.full(len(post), np.log(prior / (1 - prior)))
+        for code in codes:
+            kinds = int(code.max()) + 1
+            p1 = (np.bincount(code, post, kinds) + 0.1) / (post.sum() + 0.1 * kinds)
+            p0 = (np.bincount(code, 1 - post, kinds) + 0.1) / ((1 - post).sum() + 0.1 * kinds)
+            odds += np.log(p1 / p0)[code]
+        post = 1 / (1 + np.exp(-odds.clip(-30, 30)))
+    return post
+
+
+def correlations(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Correlation of each two voters given the label: of what the label leaves unexplained of their votes."""
+    one, zero = post / max(post.sum(), 1e-9), (1 - post) / max((1 - post).sum(), 1e-9)
+    left = votes - (post[:, None] * (one @ votes) + (1 - post[:, None]) * (zero @ votes))
+    left = left / (np.sqrt((left**2).mean(0)) + 1e-6)
+    return left.T @ left / max(len(votes), 1)
+
+
+def blocks_of(corr: np.ndarray) -> list[list[int]]:
+    """Voters joined in order of their correlations from RELATED on, in blocks of at most BLOCK."""
+    own = [[k] for k in range(len(corr))]
+    x, y = np.triu_indices(len(corr), 1)
+    for k in np.argsort(-np.abs(corr[x, y]), kind="stable"):
+        a, b = own[x[k]], own[y[k]]
+        if abs(corr[x[k], y[k]]) < RELATED:
+            break
+        if a is not b and len(a) + len(b) <= BLOCK:
+            a += b
+            for v in b:
+                own[v] = a
+    return list({id(b): b for b in own}.values())
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the label for each text, accuracy of each voter, and the voters' correlations given the label.
 
-    Expectation maximisation over P(vote | label) for the three votes; after each round, the evidence of voters that
-    move together, beyond what the label explains, is divided among them.
+    A first model takes voters as independent given the label. What its labels leave unexplained shows which voters move
+    together; those are modelled jointly, so that their agreement counts once.
     """
-    n, m = votes.shape
     prior = min(max(prior, 0.01), 0.5)
-    one_hot = np.stack([votes == -1, votes == 0, votes == 1], 2).astype(float)
     score = votes.clip(0).sum(1) * 1.5 + votes.clip(max=0).sum(1)
     post = 1 / (1 + np.exp(-(score + np.log(prior / (1 - prior)))))
-    weight, corr = np.ones(m), np.eye(m)
-    for _ in range(rounds):
-        p1 = (np.einsum("n,nmk->mk", post, one_hot) + 0.1) / (post.sum() + 0.3)
-        p0 = (np.einsum("n,nmk->mk", 1 - post, one_hot) + 0.1) / ((1 - post).sum() + 0.3)
-        odds = np.einsum("nmk,mk->nm", one_hot, np.log(p1 / p0)) @ weight + np.log(prior / (1 - prior))
-        post = 1 / (1 + np.exp(-odds.clip(-30, 30)))
-        value = np.array([-1.0, 0.0, 1.0])
-        left = votes - (post[:, None] * (p1 @ value) + (1 - post[:, None]) * (p0 @ value))
-        scale = np.sqrt((left**2).mean(0)) + 1e-6
-        corr = (left / scale).T @ (left / scale) / max(n, 1)
-        weight = 1 / (1 + np.clip(corr - np.diag(np.diag(corr)), 0, None).sum(1))
+    post = _expect(votes, [[k] for k in range(votes.shape[1])], post, prior, rounds)
+    corr = correlations(votes, post)
+    post = _expect(votes, blocks_of(corr), post, prior, rounds)
     said = votes != 0
     right = (post[:, None] * (votes == 1) + (1 - post[:, None]) * (votes == -1)).sum(0)
-    return post, (right + 1) / (said.sum(0) + 2), corr
+    return post, (right + 1) / (said.sum(0) + 2), correlations(votes, post)
 
 
 def _fit(rows: list[tuple[int, list[int], list[int]]], target: np.ndarray, size: int, rounds: int = 400) -> np.ndarray:
@@ -206,8 +235,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add score (0 to 1) and predicted (1 from THRESHOLD on) to docs by their whole text alone; a null text is empty.
 
-    Columns stay; docs must not already have columns of these two names. Equal texts score equally.
+    Columns stay, but for those of these two names, which are replaced. Equal texts score equally, rows that repeat are kept
+    each, and an empty table gives no rows.
     """
+    docs = docs.drop("score", "predicted")
+    hidden = free("_text", docs)
     index = {e: i for i, e in enumerate(model.weights)}
     weights = np.array(list(model.weights.values()) or [0.0])
 
@@ -220,18 +252,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
-        for batch, texts in _texts(batches):
+        for batch, texts in _texts(batches, hidden):
             z = np.empty(len(texts))
             for i, text in enumerate(texts):
                 low = text.lower()
                 held = {k for found in filter(None, map(memo.__getitem__, set(low.split()))) for k in found}
                 z[i] = model.bias + weights[sorted(held)].sum() + sum(v for p, v in model.patterns.items() if PATTERNS[p](low, text))
             p = 1 / (1 + np.exp(-z.clip(-30, 30)))
-            names = [n for n in batch.schema.names if n != "_text"]
+            names = [n for n in batch.schema.names if n != hidden]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = StructType([*docs.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(hidden, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def learn_folds(docs: DataFrame, labels: DataFrame) -> Model:
