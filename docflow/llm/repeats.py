@@ -1,6 +1,6 @@
 """Substring deduplication: words covered by a 13-word window that also starts in an earlier document are removed.
 
-Windows are found by Rabin-Karp hashes of 64 bits. Each task settles at once what repeats within a slice of rows, and
+Windows are found by Rabin-Karp hashes of 80 bits (of ten million million windows, about forty would meet a false one). Each task settles at once what repeats within a slice of rows, and
 sends on a window's hash for the first of its documents there only, in compact blobs dealt by hash; so a window that
 millions of documents share arrives once a slice. The groups answer with intervals of words by document.
 """
@@ -16,15 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, ids_of, partitions, raw, slices, table
-from .tokens import SPACE, Words, hashes, windows, words
+from .tokens import SPACE, Words, hashes, mix, windows, words
 
 WINDOW = 13
-GROUP_BYTES = 8 << 20  # text whose windows make about one group of hashes
+GROUP_BYTES = 6 << 20  # text whose windows make about one group of hashes
+GROUPS_A_TASK = 4  # groups of hashes in a partition of the shuffle, about
+_OTHER = np.uint64(0xA0761D6478BD642F)  # makes the second hash of a word
 SMALL_BYTES = 24 << 20  # repeated intervals that may be broadcast
 
 
-def _blob(h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> bytes:
-    """Hashes, documents and positions of windows in order of document: 8 bytes and about one more each after compression."""
+def _blob(h: np.ndarray, more: np.ndarray, ids: np.ndarray, at: np.ndarray) -> bytes:
+    """Hashes, documents and positions of windows in order of document: 10 bytes and about one more each after compression."""
     cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     sizes = np.diff(np.append(cut, len(ids)))
     step = np.diff(at, prepend=0)
@@ -32,19 +34,20 @@ def _blob(h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> bytes:
     wide = step.astype(np.uint32).tobytes()
     tail = pa.compress(sizes.astype(np.uint32).tobytes() + ids[cut].tobytes() + wide, codec="zstd", asbytes=True)
     raw_size = 4 * len(sizes) + 8 * len(cut) + len(wide)
-    return np.array([len(h), len(cut), raw_size], np.int64).tobytes() + h.tobytes() + tail
+    return np.array([len(h), len(cut), raw_size], np.int64).tobytes() + h.tobytes() + more.tobytes() + tail
 
 
-def _unblob(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unblob(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, docs, raw_size = np.frombuffer(b, np.int64, 3)
     h = np.frombuffer(b, np.uint64, n, 24)
-    tail = pa.decompress(b[24 + 8 * n :], raw_size, codec="zstd", asbytes=True)
+    more = np.frombuffer(b, np.uint16, n, 24 + 8 * n)
+    tail = pa.decompress(b[24 + 10 * n :], raw_size, codec="zstd", asbytes=True)
     sizes = np.frombuffer(tail, np.uint32, docs)
     ids = np.frombuffer(tail, np.int64, docs, 4 * docs)
     step = np.frombuffer(tail, np.uint32, n, 12 * docs).astype(np.int64)
     total = np.cumsum(step)
     first = np.cumsum(sizes) - sizes
-    return h, np.repeat(ids, sizes), total - np.repeat(total[first] - step[first], sizes)
+    return h, more, np.repeat(ids, sizes), total - np.repeat(total[first] - step[first], sizes)
 
 
 def _spans(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,11 +67,13 @@ def _scan(groups: int):
             data, offsets = raw(batch.column("_text"))
             ids, _ = ids_of(batch.column("doc_id"))
             w = words(data, offsets, SPACE)
-            h, at = windows(hashes(data, w), w, WINDOW)
+            each = hashes(data, w)
+            h, at = windows(each, w, WINDOW)
+            more = (windows(mix(each ^ _OTHER), w, WINDOW)[0] >> np.uint64(48)).astype(np.uint16)
             own, place = ids[w.doc[at]], at - w.first[w.doc[at]]
-            order = np.lexsort((own, h))
-            h, own, place, row = h[order], own[order], place[order], at[order]
-            first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+            order = np.lexsort((own, more, h))
+            h, more, own, place, row = h[order], more[order], own[order], place[order], at[order]
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])]) if len(h) else np.zeros(0, bool)
             least = own[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else own
             settled = own > least  # its least document is in this slice
             doc, a, z = _spans(place[settled], own[settled])
@@ -82,7 +87,7 @@ def _scan(groups: int):
                 part = back[edges[g] : edges[g + 1]]
                 part = part[np.lexsort((place[part], own[part]))]
                 keys.append(int(g))
-                blobs.append(_blob(h[part], own[part], place[part]))
+                blobs.append(_blob(h[part], more[part], own[part], place[part]))
             n, k = len(keys), len(doc)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,10 +105,11 @@ def _settle(key, batch):
     if key[0].as_py() < 0:
         return batch.select(["doc_id", "first", "last"])
     parts = [_unblob(b) for b in batch.column("blob").to_pylist()]
-    h, ids, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((ids, h))
-    h, ids, at = h[order], ids[order], at[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]])
+    h, more, ids, at = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    del parts
+    order = np.lexsort((ids, more, h))
+    h, more, ids, at = h[order], more[order], ids[order], at[order]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])
     late = ids > ids[np.flatnonzero(first)][np.cumsum(first) - 1]
     doc, a, z = _spans(at[late], ids[late])
     return pa.table({"doc_id": pa.array(doc, pa.int64()), "first": pa.array(a, pa.int64()), "last": pa.array(z, pa.int64())})
@@ -140,7 +146,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     groups = max(4 * partitions(spark), size // GROUP_BYTES + 1)
     found = docs.mapInArrow(_scan(groups), "key bigint, doc_id bigint, first bigint, last bigint, blob binary")
-    spans = found.groupBy("key").applyInArrow(_settle, "doc_id bigint, first bigint, last bigint")
+    # Groups are of one size, so the shuffle has as many partitions as the input needs; negative keys are settled rows.
+    parts = max(partitions(spark), groups // GROUPS_A_TASK + 1)
+    spans = found.repartition(parts, "key").groupBy("key").applyInArrow(_settle, "doc_id bigint, first bigint, last bigint")
     lists = spans.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array(F.col("first").cast("int"), F.col("last").cast("int")))).alias("spans"))
     return lists.mapInArrow(_merged, "doc_id bigint, spans array<int>")
 
