@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, let, table
+from .common import broadcast_if_small, checkpoint, free, let, table
 
 DISCLOSURE = 0.9
 SUPPORT = 3  # different texts that hold the term and the entity, at least
 LETTERS = 2  # of a term, at least; all its characters are letters
 SMALL = 200_000  # rows that may be broadcast
+BLOCK = 64  # matches whose places are summed at once
 
 #: The base patterns. Starts are pinned to where a match can begin at all, which keeps long runs linear.
 KINDS = ("email", "ip", "card", "phone")
@@ -53,19 +54,32 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _running(sizes: Column, zero: Column) -> Column:
+    """array<int> of the sums of sizes up to each, from zero on; a fold over an array that grows, for few sizes."""
+    empty = F.array().cast("array<int>")
+    step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"] + n)).alias("out"))
+    return F.aggregate(sizes, F.struct(zero.cast("int").alias("at"), empty.alias("out")), step, lambda s: s["out"])
+
+
 def _located(text: Column, pattern: Column) -> Column:
-    """array<struct<start, end, value>> of all matches, in code points: gaps and matches alternate, so lengths add up to places."""
+    """array<struct<start, end, value>> of all matches, in code points: gaps and matches alternate, so lengths add up to places.
+
+    Sums run over blocks of BLOCK matches, and within each from its block's own start, so that work grows with the matches.
+    """
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    block = lambda sizes, k: F.slice(sizes, k * BLOCK + 1, F.lit(BLOCK))
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
 
     def place(gaps: Column) -> Column:
         def with_found(found: Column) -> Column:
-            def step(state: Column, i: Column) -> Column:
-                start = state["at"] + F.length(F.get(gaps, i))
-                end = start + F.length(F.get(found, i))
-                return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value")))).alias("out"))
+            def with_sizes(sizes: Column) -> Column:
+                blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
+                starts = _running(F.transform(blocks, lambda k: total(block(sizes, k))), F.lit(0))
+                ends = let(starts, lambda s: F.flatten(F.transform(blocks, lambda k: _running(block(sizes, k), F.when(k == 0, 0).otherwise(F.get(s, k - 1))))))
+                return F.zip_with(ends, found, lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
-            zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-            return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda s: s["out"]))
+            sizes = F.transform(found, lambda v, i: F.length(F.get(gaps, i)) + F.length(v))
+            return F.when(F.size(found) == 0, empty).otherwise(let(sizes, with_sizes))
 
         return let(F.regexp_extract_all(text, pattern, F.lit(0)), with_found)
 
@@ -125,20 +139,22 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """docs with spans: array<struct<kind, start, end, value>> of the base spans and those of revealing terms (kind term), by kind, then start.
 
-    Starts count from 0, ends are exclusive, both in code points. A null text is empty and has no spans. Columns stay;
-    docs must not already have spans. Revealing terms are found in every document that holds them, with or without an
+    Starts count from 0, ends are exclusive, both in code points. A null text is empty and has no spans. Columns stay, but
+    for one named spans, which is replaced; rows that share an id, or have none, are kept each; an empty table gives no rows. Revealing terms are found in every document that holds them, with or without an
     entity; documents without any pass without a shuffle while few texts hold one.
     """
-    found = docs.withColumn("spans", base_spans(F.coalesce("text", F.lit("")))).withColumn("_key", _key(F.coalesce("text", F.lit(""))))
+    docs = docs.drop("spans")
+    key, held = free("_key", docs), free("_terms", docs)
+    found = docs.withColumn("spans", base_spans(F.coalesce("text", F.lit("")))).withColumn(key, _key(F.coalesce("text", F.lit(""))))
     strong = revealing_terms(found.select(F.coalesce("text", F.lit("")).alias("text"), "spans"))
-    each = found.where("text is not null").select(F.col("_key").alias("key"), F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
-    terms = checkpoint(each.join(broadcast_if_small(strong, SMALL), "term").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")))
-    keys = broadcast_if_small(terms.select("key"), SMALL)
-    own = found.join(keys, F.col("_key") == F.col("key"), "left_semi").join(terms, F.col("_key") == F.col("key"))
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    each = found.where("text is not null").select(key, F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
+    terms = checkpoint(each.join(broadcast_if_small(strong, SMALL), "term").groupBy(key).agg(F.sort_array(F.collect_set("term")).alias(held)))
+    keys = broadcast_if_small(terms.select(key), SMALL)
+    own = found.join(keys, key, "left_semi").join(terms, key)
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join(held, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     typed = F.transform(_located(F.col("text"), pattern), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     own = own.withColumn("spans", F.concat("spans", typed)).select(*docs.columns, "spans")
-    return own.unionByName(found.join(keys, F.col("_key") == F.col("key"), "left_anti").select(*docs.columns, "spans"))
+    return own.unionByName(found.join(keys, key, "left_anti").select(*docs.columns, "spans"))
 
 
 def redacted(text: Column, spans: Column, masks: dict[str, str] = MASKS) -> Column:
@@ -157,7 +173,10 @@ def redacted(text: Column, spans: Column, masks: dict[str, str] = MASKS) -> Colu
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span of find() replaced by a placeholder of its kind; texts without spans stay as they are, null included."""
-    return find(docs).withColumn("text", redacted(F.col("text"), F.col("spans"))).drop("spans")
+    hidden = free("_spans", docs)
+    docs = docs.withColumnRenamed("spans", hidden)
+    out = find(docs).withColumn("text", redacted(F.col("text"), F.col("spans"))).drop("spans")
+    return out.withColumnRenamed(hidden, "spans")
 
 
 def op4_privacy(spark, sf_dir: str) -> DataFrame:
