@@ -22,7 +22,7 @@ RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav footer aside form button select option fieldset dialog menu head svg canvas object audio video map label datalist legend optgroup".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-PROSE = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt dl ol figure figcaption table tbody thead tfoot tr td th caption li hr article main".split())
+PROSE = INLINE | frozenset("h1 h2 h3 h4 h5 h6 dd dt figcaption tbody thead tfoot tr td th caption hr article main".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead topbar toolbar comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription popup modal overlay login signup search pagination pager widget skip complementary contentinfo".split()
@@ -48,9 +48,9 @@ class Element:
             self.hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
 
 
-def parse(page: str) -> tuple[Element, str]:
-    """Tree of elements and texts, forgiving as browsers are about missing end tags, and the page's title."""
-    root, title = Element("#root"), ""
+def parse(page: str) -> Element:
+    """Tree of elements and texts, forgiving as browsers are about missing end tags."""
+    root = Element("#root")
     stack, at = [root], 0
     while m := _TAG.search(page, at):
         if m.start() > at:
@@ -72,8 +72,6 @@ def parse(page: str) -> tuple[Element, str]:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag == "title" and not title:
-                title = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
             continue
         if tag in _CLOSES_P:
@@ -96,7 +94,7 @@ def parse(page: str) -> tuple[Element, str]:
             stack.append(element)
     if at < len(page):
         stack[-1].children.append(page[at:])
-    return root, html.unescape(title).strip()
+    return root
 
 
 def _hash(*parts) -> int:
@@ -136,7 +134,7 @@ def is_chrome(e: Element, inside: bool) -> bool:
 
 
 def candidates(root: Element) -> list[int]:
-    """Hashes of the subtrees that may be template: all outside the main part; inside it what isn't prose."""
+    """Hashes of the subtrees that may be template: all outside the main part; inside it blocks of text too, but not headings, parts of tables and inline elements."""
     roots = main_roots(root)
     inside_of = {id(r) for r in roots if r is not root}
     found, todo = set(), [(root, False)]
@@ -190,7 +188,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): hashes of the subtrees on SHARE of the host's different pages. Pages of one title are one page, so copies don't make a template.
+    """(host, template): hashes of the subtrees on SHARE of the host's different pages. Pages with the same main part are one page, so copies don't make a template.
 
     A page adds as many hashes as it has elements, so a host keeps at most elements per page / SHARE of them, however many pages it has.
     """
@@ -199,9 +197,9 @@ def templates(pages: DataFrame) -> DataFrame:
         for batch, texts in _pages(batches):
             seen: set[tuple[str, int, int]] = set()
             for host, text in zip(batch.column("_host").to_pylist(), texts, strict=True):
-                root, title = parse(text)
+                root = parse(text)
                 digest(root)
-                page = _hash(title) if title else root.hash
+                page = _hash(*[r.hash for r in main_roots(root)])
                 seen.add((host, 0, page))
                 seen.update((host, h, page) for h in candidates(root))
             cols = list(zip(*seen, strict=True)) or [(), (), ()]
@@ -225,7 +223,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch, texts in _pages(batches):
             out = []
             for text, template in zip(texts, batch.column("template"), strict=True):
-                root, _ = parse(text)
+                root = parse(text)
                 digest(root)
                 out.append(extract(root, set(template.as_py() or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
