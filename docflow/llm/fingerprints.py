@@ -85,28 +85,28 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
     return F.coalesce(let(low, lambda k: k * step + F.size(F.filter(F.slice(fine, k * step + 1, step), lambda b: b < doc_id))), F.lit(0))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Add next_<c> for each carried column: its value in the row that follows by doc_id (then by text); after the last row, the first.
+def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
+    """Add each carried column, made from the row, and next_<c>: its value in the row that follows by doc_id (then by text); after the last row, the first.
 
     Rows are dealt by ranges of ids at measured quantiles, so one shuffle of the rows serves; the head of each range
-    (one row a range) is looked up by an equi-join for the last row of the range before it.
+    (one row a range) is looked up by an equi-join for the last row of the range before it, and only then carried.
     """
     wanted = 4 * partitions(docs.sparkSession)
     found = docs.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 100 * wanted)).first()[0] or []
     dealt = docs.withColumn("_range", _range_of(F.col("doc_id"), sorted(set(found))))
     heads = sorted(docs.select("doc_id").withColumn("_range", _range_of(F.col("doc_id"), sorted(set(found)))).groupBy("_range").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("null")).collect(), key=lambda r: r["_range"])
     if not heads:
-        return dealt.drop("_range").select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
+        return docs.withColumns(carried).select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     of = [(r["_range"], None if n["null"] else n["head"]) for r, n in zip(heads, heads[1:] + heads[:1], strict=True)]  # a null id comes first
     first = docs.sparkSession.createDataFrame(of, "_before int, _head bigint")
-    first = docs.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("_head")))  # as many rows as ranges
-    first = first.withColumn("_n", F.row_number().over(W.partitionBy("_before").orderBy("text"))).where("_n = 1")
-    first = first.select("_before", F.struct(*carried).alias("_wrap"))
-    order = W.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    led = dealt.withColumn("_next", F.lead(F.struct(*carried)).over(order))
+    first = docs.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("_head")))  # a row a range, but for ids that repeat
+    first = first.withColumn("_n", F.row_number().over(W.partitionBy("_before").orderBy(*[c for c in docs.columns if c != "doc_id"]))).where("_n = 1")
+    first = first.withColumns(carried).select("_before", F.struct(*carried).alias("_wrap"))
+    order = W.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), *[c for c in docs.columns if c != "doc_id"])
+    led = dealt.withColumns(carried).withColumn("_next", F.lead(F.struct(*carried)).over(order))
     joined = led.join(first, F.col("_range") == F.col("_before"), "left")
     nearest = F.when(F.col("_next").isNotNull(), F.col("_next")).otherwise(F.col("_wrap"))
-    return joined.withColumn("_next", nearest).select(*docs.columns, *[F.col("_next")[c].alias(f"next_{c}") for c in carried])
+    return joined.withColumn("_next", nearest).select(*docs.columns, *carried, *[F.col("_next")[c].alias(f"next_{c}") for c in carried])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -115,8 +115,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs needs doc_id and text; other columns are ignored. A null text is empty; a text without words has the empty
     fingerprint. Rows that share an id follow each other by text; a null id comes first. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", sketch(F.col("text")))
-    near = with_next(docs, ["text", "fp"])
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    near = with_next(docs.withColumnRenamed("text", "whole"), {"text": F.col("whole"), "fp": sketch(F.col("whole"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     near = near.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"), "fp", "next_fp")
