@@ -30,6 +30,7 @@ DEPTH = 3  # tokens of a path
 BLOCK = 1024  # texts of a large bucket that are compared with another block's at once
 BLOCK_BYTES = 8 << 20  # and of their shingles
 SMALL = 1_000_000  # ids that may be broadcast
+MANY = 10_000  # groups of copies, each of more than this part of all rows, that are broadcast whatever the size
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -249,6 +250,24 @@ def links(docs: DataFrame, met: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.select("path", "unit", "block", "pair", "node", "rep", "paths", "shingles").mapInArrow(_compare, "node bigint, a bigint, b bigint, links bigint")
 
 
+def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows left joined with groups (s1, s2, rep, copies, root, links), which hold no more than a share of the rows.
+
+    Few groups are broadcast. Else those with more than 1 / MANY of all rows, at most MANY of them, still are; what they
+    and null keys leave meets the others in a shuffle, in which rows without a group to look for are dealt by their id.
+    """
+    if (small := broadcast_if_small(groups, SMALL)) is not groups:
+        return rows.join(small, ["s1", "s2"], "left")
+    least = rows.count() // MANY + 1
+    values = ["rep", "copies", "root", "links"]
+    hot = groups.where(F.col("copies") > least).select("s1", "s2", F.struct(*values).alias("_hot"))
+    met = rows.join(F.broadcast(hot), ["s1", "s2"], "left")
+    done = F.col("_hot").isNotNull() | F.col("s1").isNull()
+    met = met.select("doc_id", "_hot", F.when(done, F.xxhash64("doc_id")).otherwise(F.col("s1")).alias("s1"), F.when(~done, F.col("s2")).alias("s2"))
+    cold = groups.where(F.col("copies") <= least)
+    return met.join(cold, ["s1", "s2"], "left").select("doc_id", *[F.coalesce(F.col("_hot")[c], c).alias(c) for c in values])
+
+
 def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, rep_id, n_copies, n_links) of each document.
 
@@ -264,8 +283,8 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     found = checkpoint(links(docs, buckets(reps, recall), reps))
     degree = found.groupBy(F.col("node").alias("s1")).agg(F.sum("links").alias("links"))
     roots = components(found).select(F.col("node").alias("rep"), "root")
-    whole = groups.join(roots, "rep", "left").join(degree, "s1", "left")
-    rows = base.select("doc_id", "s1", "s2").join(whole, ["s1", "s2"], "left")
+    whole = checkpoint(groups.join(roots, "rep", "left").join(degree, "s1", "left").where("copies > 1 or root is not null or links is not null"))
+    rows = with_groups(base.select("doc_id", "s1", "s2"), whole)
     return rows.select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("class_id"), F.coalesce("rep", "doc_id").alias("rep_id"),
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
