@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices, table
+from .common import free, raw, slices, table
 
 MEMO = 40_000  # words after which a worker sets its memo aside; it keeps the last two, so that frequent words stay
 #: Fixed values of the byte-level vocabulary: its pre-token pattern, and the bytes that stand for themselves.
@@ -222,8 +222,8 @@ def _encoder(text: str, kind: type = Encoder) -> Encoder:
     return _ENCODERS[key]
 
 
-def _strings(batch: pa.RecordBatch) -> list[str]:
-    data, offsets = raw(batch.column("_text"))
+def _strings(batch: pa.RecordBatch, column: str = "_text") -> list[str]:
+    data, offsets = raw(batch.column(column))
     body = data.tobytes()
     return [body[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in range(batch.num_rows)]
 
@@ -238,15 +238,18 @@ def with_tokens(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """Add token_ids (array<int>) and decoded (string) to docs; with digests, n_tokens, ids_sha256 and decoded_sha256 instead.
 
     A null text is empty: no tokens. Special tokens of the file are matched in the text, as the library does by default.
-    Columns stay; docs must not already have the added ones.
+    Columns stay, but for those of the added names, which are replaced; rows that repeat are kept each; an empty table gives no rows.
     """
     text = vocabulary_text(path)
     added = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")] if digests else [("token_ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")]
 
+    docs = docs.drop(*[a[0] for a in added])
+    hidden = free("_text", docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(text)
-        for batch in slices(batches, "_text", 1 << 20):
-            split = [encoder.words(t) for t in _strings(batch)]
+        for batch in slices(batches, hidden, 1 << 20):
+            split = [encoder.words(t) for t in _strings(batch, hidden)]
             encoder.learn(set().union(*split))
             rows = []
             for s in split:
@@ -256,11 +259,11 @@ def with_tokens(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
                     rows.append((sum([f[0] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()))
                 else:
                     rows.append(([int(i) for i in ids.split(",")] if ids else [], whole.decode("utf-8", "replace")))
-            names = [n for n in batch.schema.names if n != "_text"]
+            names = [n for n in batch.schema.names if n != hidden]
             new = [pa.array([r[k] for r in rows], a[1]) for k, a in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], [*names, *[a[0] for a in added]])
 
-    return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(run, _ddl(docs, added))
+    return docs.withColumn(hidden, F.col("text").cast("binary")).mapInArrow(run, _ddl(docs, added))
 
 
 def _ddl(docs: DataFrame, added: list[tuple]) -> str:
@@ -268,9 +271,11 @@ def _ddl(docs: DataFrame, added: list[tuple]) -> str:
 
 
 def decode_ids(ids: DataFrame, path: str, column: str = "token_ids") -> DataFrame:
-    """Add decoded (string) from an array of ids; bytes that aren't UTF-8 become U+FFFD. Null ids give the empty text."""
+    """Add decoded (string) from an array of ids; bytes that aren't UTF-8 become U+FFFD. Null ids give the empty text. A column decoded is replaced."""
     text = vocabulary_text(path)
 
+    ids = ids.drop("decoded")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _encoder(text).vocabulary
         for batch in batches:

@@ -17,13 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder that spark.checkpoint.dir names; a folder of our own only where none is set."""
+    """Cut the lineage through the shared folder that spark.checkpoint.dir names. Only a local session, as in tests, gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docflow-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docflow-"))
     return df.checkpoint()
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case of its letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

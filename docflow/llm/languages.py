@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fold_of, raw, slices, table
+from .common import fold_of, free, raw, slices, table
 
 PROFILE = 400  # n-grams in a profile
 CHUNK = 1 << 20  # characters counted at once
@@ -112,9 +112,11 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     The distance to a profile is the sum, over the document's own most frequent n-grams, of how far each is out of
     place; an n-gram that the profile lacks counts PROFILE. The least distance wins, ties by name. The score is 1 less
     the ratio of the least distance to the next (to the greatest possible one where one language is known). Null
-    texts, texts without letters and all texts when no language was learned get `und` and 0. Columns stay; docs must
-    not already have columns of these two names.
+    texts, texts without letters and all texts when no language was learned get `und` and 0. Columns stay, but for those of these two
+    names, which are replaced; rows that repeat are kept each.
     """
+    docs = docs.drop("lang_pred", "score")
+    hidden = free("_text", docs)
     names = sorted(profiles)
     sorted_profiles = []
     for name in names:
@@ -136,16 +138,16 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
         return names[order[0]], 1.0 - far[order[0]] / second if second else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            data, offsets = raw(batch.column("_text"))
+        for batch in slices(batches, hidden):
+            data, offsets = raw(batch.column(hidden))
             body = data.tobytes()
             found = [predict(body[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")) for i in range(batch.num_rows)]
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_text"]
-            names_kept = [name for name in batch.schema.names if name != "_text"]
+            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != hidden]
+            names_kept = [name for name in batch.schema.names if name != hidden]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], [*names_kept, "lang_pred", "score"])
 
     schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(hidden, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def op2_languages(spark, sf_dir: str) -> DataFrame:
