@@ -19,6 +19,11 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's argument isn't inlined."""
+    return F.transform(F.array(value), body)[0]
+
+
 def number(c: Column) -> Column:
     """The string as a double where it is a plain decimal number, else null."""
     return F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double"))
@@ -34,37 +39,42 @@ def lookup(c: Column, dim: dict) -> Column:
 
 def amount_by_rules(c: Column) -> Column:
     """Locale-aware amount: the last separator is decimal; a lone comma before one to three last digits is a point; 0 when unreadable."""
-    s = F.trim(F.regexp_replace(F.trim(c), r"[A-Z$€£¥₹p]", ""))
-    negative = s.contains("(") & s.contains(")")
-    s = F.regexp_replace(s, r"[()]", "")
-    dot, comma = s.contains("."), s.contains(",")
-    last_dot = F.length(s) - F.instr(F.reverse(s), ".")
-    last_comma = F.length(s) - F.instr(F.reverse(s), ",")
-    plain = (
-        F.when(dot & comma & (last_dot > last_comma), F.replace(s, F.lit(","), F.lit("")))
-        .when(dot & comma, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(comma & s.rlike(r",[0-9]{1,3}$"), F.replace(s, F.lit(","), F.lit(".")))
-        .otherwise(F.replace(s, F.lit(","), F.lit("")))
-    )
-    value = F.coalesce(number(F.trim(plain)), F.lit(0.0))
-    return F.when(blank(c), 0.0).when(negative, -value).otherwise(value)
+
+    def plain(s: Column) -> Column:
+        dot, comma = s.contains("."), s.contains(",")
+        last_dot = F.length(s) - F.instr(F.reverse(s), ".")
+        last_comma = F.length(s) - F.instr(F.reverse(s), ",")
+        return F.trim(
+            F.when(dot & comma & (last_dot > last_comma), F.replace(s, F.lit(","), F.lit("")))
+            .when(dot & comma, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(comma & s.rlike(r",[0-9]{1,3}$"), F.replace(s, F.lit(","), F.lit(".")))
+            .otherwise(F.replace(s, F.lit(","), F.lit("")))
+        )
+
+    def signed(s: Column) -> Column:
+        value = F.coalesce(let(let(F.translate(s, "()", ""), plain), number), F.lit(0.0))
+        return value * F.when(s.contains("(") & s.contains(")"), -1).otherwise(1)
+
+    return F.when(blank(c), 0.0).otherwise(let(F.trim(F.regexp_replace(F.trim(c), r"[A-Z$€£¥₹p]", "")), signed))
 
 
 def amount_plain(c: Column) -> Column:
-    """Amount with capitals, currency signs and commas removed; null when unreadable."""
-    return number(F.trim(F.regexp_replace(c, r"[A-Z$€£¥₹,\s]", "")))
+    """Amount with capitals, four currency signs and commas removed; null when unreadable, as with blanks between digits."""
+    return let(F.trim(F.regexp_replace(F.trim(c), r"[A-Z$€£¥,]", "")), number)
 
 
 def number_normalised(c: Column) -> tuple[Column, Column]:
-    """(text, confidence) of a number in European or American writing; others lose blanks and commas and get 1 only if readable."""
+    """(text, confidence) of a number in European or American writing, with one or two decimals; others lose blanks and commas. What is then unreadable stays as it was, with 0."""
     s = F.trim(c)
-    european, american = s.rlike(r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]{2}$"), s.rlike(r"^[0-9]{1,3}(,[0-9]{3})*\.[0-9]{2}$")
+    european, american = s.rlike(r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]{1,2}$"), s.rlike(r"^[0-9]{1,3}(,[0-9]{3})*\.[0-9]{1,2}$")
     text = (
         F.when(european, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(american, F.replace(s, F.lit(","), F.lit("")))
-        .otherwise(F.regexp_replace(s, r"[ ,]", ""))
+        .otherwise(F.regexp_replace(s, r"[\s,]", ""))
     )
-    return text, F.when(text.rlike(PLAIN_NUMBER), 1.0).otherwise(0.0)
+    both = let(text, lambda t: F.when(t.rlike(PLAIN_NUMBER), F.struct(t.alias("text"), F.lit(1.0).alias("sure"))).otherwise(F.struct(s.alias("text"), F.lit(0.0).alias("sure"))))
+    both = F.when(F.coalesce(s, F.lit("")) == "", F.struct(F.lit("").alias("text"), F.lit(0.0).alias("sure"))).otherwise(both)
+    return both["text"], both["sure"]
 
 
 def amount_formatted(value: Column, currency: Column) -> Column:
@@ -114,7 +124,7 @@ def container_number(c: Column) -> tuple[Column, Column]:
 
 def container_size(c: Column) -> Column:
     s = F.upper(F.trim(c))
-    found = F.regexp_extract(s, r"\b([0-9]{1,2})[FTQHQ]\b", 1)
+    found = F.regexp_extract(s, r"\b([0-9]{1,2})[FTQH]\b", 1)
     return (
         F.when(blank(c), "20").when(s.contains("20") & s.contains("FT"), "20").when(s.contains("40") & (s.contains("HQ") | s.contains("HC")), "40HQ")
         .when(s.contains("40"), "40").when(s.contains("45"), "45").when(s.isin("LCL", "BULK"), "LCL").when(found != "", F.concat(found, F.lit("FT"))).otherwise("20")
@@ -126,15 +136,17 @@ def kilograms(value: Column, unit: Column) -> Column:
 
 
 def declaration_number(office: Column, kind: Column, importer: Column, day: Column, sequence: Column) -> Column:
-    """26 digits: office 4, document 2, importer 6, day 8, sequence 6."""
-    return F.concat(office, kind, importer, F.date_format(day, "yyyyMMdd"), F.lpad(sequence.cast("string"), 6, "0"))
+    """26 digits: office 4, document 2, importer 6, day 8, sequence 6; null for a part of another shape, an unknown document or a sequence outside 1 to 999,999."""
+    good = office.rlike("^[0-9]{4}$") & kind.isin(*dims.DOCUMENT_CODES) & importer.rlike("^[0-9]{6}$") & sequence.between(1, 999_999)
+    return F.when(good, F.concat(office, kind, importer, F.date_format(day, "yyyyMMdd"), F.lpad(sequence.cast("string"), 6, "0")))
 
 
 def declaration_errors(c: Column, kinds: tuple[str, ...], today: Column) -> Column:
     """What is wrong with a declaration number, in order; an empty array for a good one."""
     day = F.to_date(F.try_to_timestamp(F.substring(c, 13, 8), F.lit("yyyyMMdd")))
     shaped = c.rlike(r"^[0-9]{26}$")
-    each = [(~shaped, "format"), (shaped & ~F.substring(c, 5, 2).isin(*kinds), "document"), (shaped & day.isNull(), "day"), (shaped & (day > today), "future"), (shaped & (F.substring(c, 21, 6) == "000000"), "sequence")]
+    empty = F.coalesce(c, F.lit("")) == ""
+    each = [(empty, "empty"), (~empty & ~shaped, "format"), (shaped & ~F.substring(c, 5, 2).isin(*kinds), "document"), (shaped & day.isNull(), "day"), (shaped & (day > today), "future"), (shaped & (F.substring(c, 21, 6) == "000000"), "sequence")]
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for bad, name in each]), lambda x: x.isNotNull())
 
 

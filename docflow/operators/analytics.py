@@ -21,10 +21,10 @@ def kpis(shipments: DataFrame) -> DataFrame:
     return out.withColumn("ceisa_ready", F.col("n_draft_valid") + F.col("n_sent")).withColumn("needs_review", F.col("n_draft_invalid"))
 
 
-def search(df: DataFrame, text: str, *columns: str) -> DataFrame:
-    """Rows with text (ILIKE wildcards work) in one of the columns, case aside; null columns don't match."""
+def search(df: DataFrame, **texts: str) -> DataFrame:
+    """Rows that hold one of the texts (ILIKE wildcards work) in the column of that name, case aside; null columns don't match."""
     found: Column = F.lit(False)
-    for c in columns:
+    for c, text in texts.items():
         found = found | F.coalesce(F.col(c).ilike(f"%{text}%"), F.lit(False))
     return df.where(found)
 

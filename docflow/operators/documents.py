@@ -7,10 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.values import filled, hs_formatted, number
-
-PATTERN_LABELS = ("incoterms", "hs_code", "invoice_number")
-
+from ..functions.values import filled, hs_formatted, let, number
 
 def best(candidates: DataFrame, *keys: str) -> DataFrame:
     """The candidate of the highest confidence for each key; the first of equals."""
@@ -21,19 +18,34 @@ def best(candidates: DataFrame, *keys: str) -> DataFrame:
 def arbitrate(candidates: DataFrame) -> DataFrame:
     """One value for each document and label from the best of either layer.
 
-    The layer that is alone is taken (an incoterm of the layout layer only if valid); labels that patterns dominate take
-    the pattern (a tariff code only if well formed), others the more confident, the layout in ties.
+    The layer that is alone is taken (an incoterm of the layout layer only if valid). Of both, labels of PATTERN_LABELS take
+    the pattern; those of STRICT_LABELS only if its format is good, which sets the confidence, and else the layout. All
+    others take the more confident, the layout in ties. Of the layout's currencies a plain code goes before others, and
+    a code that an amount follows stands for the whole.
     """
-    top = best(candidates.where(F.col("value") != ""), "doc_id", "label", "layer")
+    held = candidates.where(F.col("value") != "")
+    codes = "|".join(dims.CURRENCY_CODES)
+    layout_money = (F.col("layer") == "layout") & (F.col("label") == "currency")
+    plain = layout_money & F.trim(F.upper("value")).rlike(f"^({codes})$")
+    held = held.withColumn("_plain", F.coalesce(plain, F.lit(False)).cast("int"))
+    w = W.partitionBy("doc_id", "label", "layer").orderBy(F.desc("_plain"), F.desc("confidence"), "ord")
+    top = held.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+    cut = layout_money & (F.col("_plain") == 0) & F.col("value").rlike(f"^({codes})[0-9,.]+")
+    top = top.withColumn("value", F.when(cut, F.substring("value", 1, 3)).otherwise(F.col("value")))
     side = lambda layer: F.max(F.when(F.col("layer") == layer, F.struct("confidence", "value"))).alias(layer)
     both = top.groupBy("doc_id", "label").agg(side("layout"), side("pattern"))
     layout, pattern = F.col("layout"), F.col("pattern")
-    valid = (F.col("label") != "incoterms") | layout["value"].isin(*dims.INCOTERMS)
-    strict = (F.col("label") != "hs_code") | hs_formatted(pattern["value"]).isNotNull()
+    label = F.col("label")
+    valid = (label != "incoterms") | F.trim(F.upper(layout["value"])).isin(*dims.INCOTERMS)
+    made = lambda value, sure: F.when(value.isNotNull(), F.struct(F.lit(sure).alias("confidence"), value.alias("value")))
+    hs = made(hs_formatted(pattern["value"]), 0.95)
+    container = made(F.when(pattern["value"].rlike(r"^[A-Z]{4}[0-9]{7}$"), pattern["value"]), 0.98)
+    strict = F.when(label == "item_hs_code", hs).when(label == "container_number", container)
     chosen = (
         F.when(layout.isNull(), pattern)
         .when(pattern.isNull(), F.when(valid, layout))
-        .when(F.col("label").isin(*PATTERN_LABELS) & strict, pattern)
+        .when(label.isin(*dims.STRICT_LABELS), F.coalesce(strict, layout))
+        .when(label.isin(*dims.PATTERN_LABELS), pattern)
         .otherwise(F.when(layout["confidence"] >= pattern["confidence"], layout).otherwise(pattern))
     )
     return both.select("doc_id", "label", chosen["value"].alias("value"), chosen["confidence"].alias("confidence")).where("value is not null")
@@ -52,16 +64,57 @@ def reconciled_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id").agg(*[total(c).alias(f"sum_{c}") for c in ("quantity", "amount", "net", "gross")], F.count("*").alias("n_items"))
 
 
+SCORED = ("item_code", "quantity", "price", "amount", "hs_code", "net", "gross", "dimensions")  # fields that count for the score
+
+
 def price_check(items: DataFrame) -> DataFrame:
     """Add ratio, flag and confidence: how far amount is from quantity times price, and a score of filled fields moved by that."""
-    q, p, a = (number(F.col(c)) for c in ("quantity", "price", "amount"))
-    ready = (q > 0) & (p > 0) & (a > 0)
-    ratio = F.when(ready, F.abs(a - q * p) / (q * p))
-    flag = F.when(ratio <= 0.05, "valid").when(ratio <= 0.20, "warning").when(ratio.isNotNull(), "critical").otherwise("none")
-    held = sum((F.when(filled(F.col(c)).isNotNull(), 1).otherwise(0) for c in ("item_code", "quantity", "price", "amount", "net", "gross")), F.lit(0))
-    score = 0.4 + 0.07 * held
-    moved = F.when(flag == "valid", F.least(score * 1.15, F.lit(1.0))).when(flag == "warning", score * 0.95).when(flag == "critical", score * 0.70).otherwise(score)
-    return items.withColumn("ratio", F.bround(ratio, 6)).withColumn("flag", flag).withColumn("confidence", F.bround(moved, 6))
+    numbers = F.struct(*[number(F.col(c)).alias(c[0]) for c in ("quantity", "price", "amount")])
+    ready = lambda n: (n["q"] > 0) & (n["p"] > 0) & (n["a"] > 0)
+    ratio = let(numbers, lambda n: F.when(ready(n), F.abs(n["a"] - n["q"] * n["p"]) / (n["q"] * n["p"])))
+    held = sum((F.when(filled(F.col(c)).isNotNull(), 1).otherwise(0) for c in SCORED), F.lit(0))
+
+    def judged(r: Column) -> Column:
+        flag = F.when(r <= 0.05, "valid").when(r <= 0.20, "warning").when(r.isNotNull(), "critical").otherwise("none")
+        score = 0.4 + 0.07 * held
+        moved = F.when(r <= 0.05, F.least(score * 1.15, F.lit(1.0))).when(r <= 0.20, score * 0.95).when(r.isNotNull(), score * 0.70).otherwise(score)
+        return F.struct(F.bround(r, 6).alias("ratio"), flag.alias("flag"), F.bround(moved, 6).alias("confidence"))
+
+    return items.withColumn("_judged", let(ratio, judged)).select(*items.columns, "_judged.*")
+
+
+#: Parties of the driver's orders, for the queries.
+PARTY_VIEW = (
+    "'Seller ' || o_custkey % 7 AS seller", "CASE WHEN o_custkey % 9 = 0 THEN '' ELSE ' Buyer ' || o_custkey % 5 END AS buyer",
+    "CASE WHEN o_custkey % 3 = 0 THEN 'Seller ' || o_custkey % 7 ELSE 'Shipper ' || o_custkey END AS shipper",
+    "CASE WHEN o_custkey % 4 = 0 THEN ' Buyer ' || o_custkey % 5 WHEN o_custkey % 4 = 1 THEN '' ELSE 'Consignee ' || o_custkey END AS consignee",
+    "CASE WHEN o_custkey % 6 = 0 THEN 'Notify ' || o_custkey ELSE '' END AS notify",
+)
+
+
+def parties(shipments: DataFrame) -> DataFrame:
+    """(id, row_order, code, name) of the party rows of a declaration: seller, maker, buyer, shipper, notified party, consignee.
+
+    The seller is its own maker; a shipper that is the seller and a consignee that is the buyer get no row; the consignee is notified where nobody else is.
+    """
+    seller, buyer, shipper, consignee = (F.col(c) for c in ("seller", "buyer", "shipper", "consignee"))
+    notified = F.when(filled(F.col("notify")).isNotNull(), F.col("notify")).otherwise(consignee)
+    rows = [("9", seller, None), ("10", seller, None), ("1", buyer, None), ("7", shipper, shipper != seller), ("4", notified, None), ("11", consignee, consignee != buyer)]
+    all_rows = F.array(*[F.struct(F.lit(k + 1).cast("bigint").alias("row_order"), F.lit(code).alias("code"), F.trim(name).alias("name"), (filled(name).isNotNull() & (F.lit(True) if keep is None else F.coalesce(keep, F.lit(True)))).alias("keep")) for k, (code, name, keep) in enumerate(rows)])
+    return shipments.select("id", F.inline(F.filter(all_rows, lambda r: r["keep"]))).drop("keep")
+
+
+def numbered(rows: DataFrame, key: str, order: str, name: str, width: int = 1 << 20) -> DataFrame:
+    """Add name: 1, 2, 3 ... in order within each key, for keys of any size.
+
+    A key's rows are numbered within blocks of width values of order, each of which starts after the rows of the key's earlier blocks.
+    """
+    dealt = rows.withColumn("_block", F.floor(F.col(order) / width))
+    counts = dealt.groupBy(key, "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    dealt = dealt.join(counts.select(key, "_block", before.alias("_before")), [key, "_block"])
+    own = F.row_number().over(W.partitionBy(key, "_block").orderBy(order))
+    return dealt.withColumn(name, F.col("_before") + own).drop("_block", "_before")
 
 
 def lines(words: DataFrame, step: float = 10.0) -> DataFrame:
@@ -137,11 +190,14 @@ def with_scores(sums: DataFrame) -> DataFrame:
 
 
 def chunk_scores(tags: DataFrame) -> DataFrame:
-    """Micro precision, recall and F1 of exact spans, in percent, and the share of sequences with a predicted span."""
+    """Micro precision, recall and F1 of exact spans, and the share of sequences with a predicted tag, all in percent."""
     key = ["seq_id", "type", "start", "end"]
     gold, pred = bio_spans(tags, "gold", True).select(*key), bio_spans(tags, "pred", True).select(*key)
     side = gold.withColumn("g", F.lit(1)).withColumn("p", F.lit(0)).unionByName(pred.withColumn("g", F.lit(0)).withColumn("p", F.lit(1)))
     each = side.groupBy(*key).agg(F.max("g").alias("g"), F.max("p").alias("p"))
     sums = each.agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
     p, r = F.col("tp") / F.greatest("n_pred", F.lit(1)), F.col("tp") / F.greatest("n_gold", F.lit(1))
-    return sums.select("tp", "n_pred", "n_gold", F.bround(100 * p, 2).alias("precision"), F.bround(100 * r, 2).alias("recall"), F.bround(100 * 2 * p * r / F.greatest(p + r, F.lit(1e-8)), 2).alias("f1"))
+    seqs = tags.groupBy("seq_id").agg(F.bool_or(F.col("pred") != "O").alias("any")).agg(F.count("*").alias("n"), F.count_if("any").alias("some"))
+    sums = sums.withColumn("k", F.lit(1)).join(F.broadcast(seqs.withColumn("k", F.lit(1))), "k")  # one row each
+    share = F.bround(100 * F.col("some") / F.greatest("n", F.lit(1)), 2).alias("with_prediction")
+    return sums.select("tp", "n_pred", "n_gold", share, F.bround(100 * p, 2).alias("precision"), F.bround(100 * r, 2).alias("recall"), F.bround(100 * 2 * p * r / F.greatest(p + r, F.lit(1e-8)), 2).alias("f1"))

@@ -1,7 +1,6 @@
 """Tiered dictionary lookups: exact, then containment in the order of the dictionary, then a default.
 
-Names are made distinct before the containment tier, whose candidates are at most names x the fixed dictionary, and the
-dictionary (under 120 rows) is broadcast.
+The dictionaries are fixed (under 120 entries), so each lookup is an expression over literals: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -10,28 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.values import blank, digits, filled
+from ..functions.values import blank, digits, filled, let, lookup
 
 
-def _dim(df: DataFrame, dim: dict[str, str]) -> DataFrame:
-    return F.broadcast(df.sparkSession.createDataFrame(dims.keyed(dim), "key string, code string, ord int"))
+def tiered(df: DataFrame, name: Column, dim: dict[str, str], inside, cleaned=None) -> DataFrame:
+    """Add code to df: of the exact key, else of the first key for which inside(name, key), else of the exact cleaned(name), else null."""
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("code")) for k, v in dim.items()])
 
+    def code(n: Column) -> Column:
+        near = F.get(F.filter(entries, lambda e: inside(n, e["key"])), F.lit(0))["code"]
+        tiers = [lookup(n, dim), near] + ([lookup(cleaned(n), dim)] if cleaned else [])
+        return F.when(filled(n).isNotNull(), F.coalesce(*tiers))
 
-def tiered(df: DataFrame, name: Column, dim: dict[str, str], inside, cleaned: Column | None = None) -> DataFrame:
-    """Add code to df: of the exact key, else of the first key for which inside(name, key), else of the exact cleaned name, else null."""
-    keyed = df.withColumn("_name", name)
-    names = keyed.select("_name").where(F.col("_name").isNotNull() & (F.col("_name") != "")).distinct()
-    if cleaned is not None:
-        names = names.withColumn("_clean", cleaned)
-    d = _dim(df, dim)
-    hits = names.join(d, (F.col("_name") == F.col("key")) | inside(F.col("_name"), F.col("key")), "left")
-    exact = F.max(F.when(F.col("_name") == F.col("key"), F.col("code")))
-    first = F.min(F.when(inside(F.col("_name"), F.col("key")), F.struct("ord", "code")))["code"]
-    found = hits.groupBy(*names.columns).agg(F.coalesce(exact, first).alias("code"))
-    if cleaned is not None:
-        last = _dim(df, dim).select(F.col("key").alias("_clean"), F.col("code").alias("_last"))
-        found = found.join(last, "_clean", "left").withColumn("code", F.coalesce("code", "_last"))
-    return keyed.join(found.select("_name", "code"), "_name", "left").drop("_name")
+    return df.withColumn("code", let(name, code))
 
 
 def either_way(name: Column, key: Column) -> Column:
@@ -59,8 +49,7 @@ def clean_name(c: Column) -> Column:
 
 
 def port(df: DataFrame, c: str) -> DataFrame:
-    stripped = F.regexp_replace("_name", r"[,\-\s]*(CHINA|INDONESIA|KOREA|JAPAN|SINGAPORE|THAILAND|MALAYSIA|VIETNAM).*$", "")
-    return tiered(df, clean_name(F.col(c)), dims.PORTS, either_way, stripped)
+    return tiered(df, clean_name(F.col(c)), dims.PORTS, either_way, lambda n: F.regexp_replace(n, dims.PORT_COUNTRY, ""))
 
 
 def country(df: DataFrame, c: str) -> DataFrame:

@@ -10,22 +10,7 @@ from .. import dims
 from ..functions import values as V
 from ..operators import analytics, documents, lookup
 from ..sources.views import load, sql, view
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Register a query under its function's name."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return keep
-
+from .registry import query
 
 SHIP, ACT, STR, ITEM, CAND, WORD, TAG = (sql(v) for v in ("v_shipments", "v_activities", "v_strings", "v_items", "v_candidates", "v_words", "v_tags"))
 
@@ -48,13 +33,12 @@ def dash_doc_membership(spark, d) -> DataFrame:
     return view(spark, d, "v_shipments").select(F.explode(F.from_json("documents", "array<string>")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"{SHIP} SELECT id, reference_code, status, CAST(round_even(confidence * 100, 0) AS INT) AS confidence FROM v_shipments WHERE status LIKE 'Draft%' AND (filename ILIKE '%_1%' OR reference_code ILIKE '%99%') ORDER BY created_at DESC, id LIMIT 50 OFFSET 50")
+@query(f"{SHIP} SELECT id, reference_code, filename, status, CAST(round_even(confidence * 100, 0) AS INT) AS confidence, replace(replace(replace(documents, '[', ''), ']', ''), chr(34), '') AS documents, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%dT%H:%M:%S') AS updated_at FROM v_shipments WHERE status LIKE 'Draft%' AND (filename ILIKE '%_1%' OR reference_code ILIKE '%99%') ORDER BY updated_at DESC, id LIMIT 50 OFFSET 50")
 def ship_list_page(spark, d) -> DataFrame:
-    rows = analytics.search(view(spark, d, "v_shipments").where(F.col("status").startswith("Draft")), "_1", "filename")
-    more = analytics.search(view(spark, d, "v_shipments").where(F.col("status").startswith("Draft")), "99", "reference_code")
-    both = rows.unionByName(more).dropDuplicates(["id"])
-    top = analytics.page(both, F.desc_nulls_first("created_at"), F.col("id"), size=50, number=2)
-    return top.select("id", "reference_code", "status", F.bround(F.col("confidence") * 100, 0).cast("int").alias("confidence"))
+    found = analytics.search(view(spark, d, "v_shipments").where(F.col("status").startswith("Draft")), filename="_1", reference_code="99")
+    top = analytics.page(found, F.desc_nulls_first("updated_at"), F.col("id"), size=50, number=2)
+    documents_held = F.from_json("documents", "array<string>")
+    return top.select("id", "reference_code", "filename", "status", F.coalesce(F.bround(F.col("confidence") * 100, 0).cast("int"), F.lit(0)).alias("confidence"), F.array_join(documents_held, ",").alias("documents"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"))
 
 
 @query(f"{SHIP} SELECT id, filename, status FROM v_shipments WHERE filename ILIKE '%INVOICE_12%' OR reference_code ILIKE '%777%'")
@@ -90,7 +74,7 @@ def act_list_page(spark, d) -> DataFrame:
 
 @query(f"{ACT} SELECT id, reference_code FROM v_activities WHERE description ILIKE '%pment 1%' OR reference_code ILIKE '%42%'")
 def act_search(spark, d) -> DataFrame:
-    return analytics.search(view(spark, d, "v_activities"), "pment 1", "description").select("id", "reference_code").unionByName(analytics.search(view(spark, d, "v_activities"), "42", "reference_code").select("id", "reference_code")).distinct()
+    return analytics.search(view(spark, d, "v_activities"), description="pment 1", reference_code="42").select("id", "reference_code")
 
 
 @query(f"{ACT} SELECT count(*) AS total, count(*) FILTER (action = 'OCR Process') AS ocr_runs, count(*) FILTER (action IN ('Declaration Send', 'Declaration Approve')) AS submissions, max(created_at) AS latest FROM v_activities")
@@ -129,14 +113,14 @@ def parse_amount_rules(spark, d) -> DataFrame:
     return view(spark, d, "v_strings").select("id", V.amount_by_rules(F.col("amount")).alias("value"))
 
 
-@query(f"{STR} SELECT id, CASE WHEN regexp_matches(s, {_NUM}) THEN TRY_CAST(s AS DOUBLE) END AS value FROM (SELECT id, regexp_replace(amount, '[A-Z$€£¥₹,\\s]', '', 'g') AS s FROM v_strings)")
+@query(f"{STR} SELECT id, CASE WHEN regexp_matches(s, {_NUM}) THEN TRY_CAST(s AS DOUBLE) END AS value FROM (SELECT id, trim(regexp_replace(trim(amount), '[A-Z$€£¥,]', '', 'g')) AS s FROM v_strings)")
 def parse_amount_mapper(spark, d) -> DataFrame:
     return view(spark, d, "v_strings").select("id", V.amount_plain(F.col("amount")).alias("value"))
 
 
 @query(
-    f"""{STR} SELECT id, t AS value, CASE WHEN regexp_matches(t, {_NUM}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM (SELECT id, CASE WHEN regexp_matches(trim(amount), '^[0-9]{{1,3}}(\\.[0-9]{{3}})*,[0-9]{{2}}$') THEN replace(replace(trim(amount), '.', ''), ',', '.')
- WHEN regexp_matches(trim(amount), '^[0-9]{{1,3}}(,[0-9]{{3}})*\\.[0-9]{{2}}$') THEN replace(trim(amount), ',', '') ELSE regexp_replace(trim(amount), '[ ,]', '', 'g') END AS t FROM v_strings)"""
+    f"""{STR} SELECT id, CASE WHEN regexp_matches(t, {_NUM}) THEN t ELSE trim(amount) END AS value, CASE WHEN regexp_matches(t, {_NUM}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM (SELECT id, amount, CASE WHEN regexp_matches(trim(amount), '^[0-9]{{1,3}}(\\.[0-9]{{3}})*,[0-9]{{1,2}}$') THEN replace(replace(trim(amount), '.', ''), ',', '.')
+ WHEN regexp_matches(trim(amount), '^[0-9]{{1,3}}(,[0-9]{{3}})*\\.[0-9]{{1,2}}$') THEN replace(trim(amount), ',', '') ELSE regexp_replace(trim(amount), '[ ,]', '', 'g') END AS t FROM v_strings)"""
 )
 def parse_amount_normalizer(spark, d) -> DataFrame:
     text, sure = V.number_normalised(F.col("amount"))
@@ -220,22 +204,23 @@ def header_valuation(spark, d) -> DataFrame:
     return view(spark, d, "v_shipments").select("id", F.when(c, t).otherwise(t + fr + ins).alias("cif"), fob.alias("fob"), F.when(c & (fr <= 0), 0.0).otherwise(ins).alias("insurance"))
 
 
-@query("SELECT o_orderkey AS id, '0405' || '20' || lpad(CAST(o_custkey % 1000000 AS VARCHAR), 6, '0') || strftime(o_orderdate, '%Y%m%d') || lpad(CAST(row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS VARCHAR), 6, '0') AS aju FROM orders")
+@query("SELECT o_orderkey AS id, '0405' || '25' || lpad(CAST(o_custkey % 1000000 AS VARCHAR), 6, '0') || strftime(o_orderdate, '%Y%m%d') || lpad(CAST(row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS VARCHAR), 6, '0') AS aju FROM orders")
 def aju_build(spark, d) -> DataFrame:
-    seq = F.row_number().over(W.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey"))
-    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), V.declaration_number(F.lit("0405"), F.lit("20"), F.lpad((F.col("o_custkey") % 1000000).cast("string"), 6, "0"), F.col("o_orderdate"), seq).alias("aju"))
+    rows = documents.numbered(load(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), "day", "o_orderkey", "seq")
+    seq = F.col("seq")
+    return rows.select(F.col("o_orderkey").alias("id"), V.declaration_number(F.lit("0405"), F.lit("25"), F.lpad((F.col("o_custkey") % 1000000).cast("string"), 6, "0"), F.col("o_orderdate"), seq).alias("aju"))
 
 
-_AJU = "'0405' || CASE WHEN o_orderkey % 5 = 0 THEN '99' ELSE '20' END || '000123' || CASE WHEN o_orderkey % 7 = 0 THEN '20260299' ELSE '20250105' END || CASE WHEN o_orderkey % 3 = 0 THEN '000000' ELSE '000007' END || CASE WHEN o_orderkey % 11 = 0 THEN '1' ELSE '' END"
+_AJU = "'0405' || CASE WHEN o_orderkey % 5 = 0 THEN '20' ELSE '23' END || '000123' || CASE WHEN o_orderkey % 7 = 0 THEN '20260299' ELSE '20250105' END || CASE WHEN o_orderkey % 3 = 0 THEN '000000' ELSE '000007' END || CASE WHEN o_orderkey % 11 = 0 THEN '1' WHEN o_orderkey % 13 = 0 THEN NULL ELSE '' END"
 
 
 @query(
-    f"""SELECT id, concat_ws(',', CASE WHEN length(a) <> 26 THEN 'format' END, CASE WHEN length(a) = 26 AND a[5:6] NOT IN ('20', '23') THEN 'document' END, CASE WHEN length(a) = 26 AND try_strptime(a[13:20], '%Y%m%d') IS NULL THEN 'day' END,
+    f"""SELECT id, concat_ws(',', CASE WHEN a IS NULL THEN 'empty' END, CASE WHEN length(a) <> 26 THEN 'format' END, CASE WHEN length(a) = 26 AND a[5:6] NOT IN ('01', '11', '12', '15', '23', '25', '27') THEN 'document' END, CASE WHEN length(a) = 26 AND try_strptime(a[13:20], '%Y%m%d') IS NULL THEN 'day' END,
  CASE WHEN length(a) = 26 AND try_strptime(a[13:20], '%Y%m%d') > TIMESTAMP '2025-06-01' THEN 'future' END, CASE WHEN length(a) = 26 AND a[21:26] = '000000' THEN 'sequence' END) AS errors FROM (SELECT o_orderkey AS id, {_AJU} AS a FROM orders)"""
 )
 def aju_validate(spark, d) -> DataFrame:
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_AJU).alias("a"))
-    return o.select("id", F.array_join(V.declaration_errors(F.col("a"), ("20", "23"), F.lit("2025-06-01").cast("date")), ",").alias("errors"))
+    return o.select("id", F.array_join(V.declaration_errors(F.col("a"), dims.DOCUMENT_CODES, F.lit("2025-06-01").cast("date")), ",").alias("errors"))
 
 
 # lookups ----------------------------------------------------------------------------------------------------------------
@@ -313,10 +298,12 @@ _HS_OK = "(regexp_matches(p, '^[0-9]{6,13}$') AND p[1:2] BETWEEN '01' AND '97')"
 
 
 @query(
-    f"""{CAND}, top AS (SELECT * FROM (SELECT *, {_BEST.format(k='doc_id, label, layer')} AS r FROM v_candidates WHERE value <> '') WHERE r = 1),
+    f"""{CAND}, held AS (SELECT *, layer = 'layout' AND label = 'currency' AS money FROM v_candidates WHERE value <> ''),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label, layer ORDER BY (money AND regexp_matches(upper(trim(value)), '^(USD|CNY|EUR|GBP|JPY|SGD|IDR|AUD|KRW)$'))::INT DESC, confidence DESC, ord) AS r FROM held),
+ top AS (SELECT * REPLACE (CASE WHEN money AND NOT regexp_matches(upper(trim(value)), '^[A-Z]{{3}}$') AND regexp_matches(value, '^(USD|CNY|EUR|GBP|JPY|SGD|IDR|AUD|KRW)[0-9,.]+') THEN value[1:3] ELSE value END AS value) FROM ranked WHERE r = 1),
  b AS (SELECT doc_id, label, max(value) FILTER (layer = 'layout') AS l, max(confidence) FILTER (layer = 'layout') AS lc, max(value) FILTER (layer = 'pattern') AS p, max(confidence) FILTER (layer = 'pattern') AS pc FROM top GROUP BY doc_id, label),
- w AS (SELECT *, CASE WHEN l IS NULL THEN 'p' WHEN p IS NULL THEN CASE WHEN label <> 'incoterms' OR l IN ('{"', '".join(dims.INCOTERMS)}') THEN 'l' END WHEN label IN ('incoterms', 'invoice_number') OR (label = 'hs_code' AND {_HS_OK}) THEN 'p' WHEN lc >= pc THEN 'l' ELSE 'p' END AS side FROM b)
- SELECT doc_id, label, CASE side WHEN 'l' THEN l ELSE p END AS value, CASE side WHEN 'l' THEN lc ELSE pc END AS confidence FROM w WHERE side IS NOT NULL"""
+ w AS (SELECT *, CASE WHEN l IS NULL THEN 'p' WHEN p IS NULL THEN CASE WHEN label <> 'incoterms' OR upper(trim(l)) IN ('{"', '".join(dims.INCOTERMS)}') THEN 'l' END WHEN label = 'item_code' THEN 'l' WHEN label = 'item_hs_code' THEN CASE WHEN {_HS_OK} THEN 'h' ELSE 'l' END WHEN label = 'container_number' THEN CASE WHEN regexp_matches(p, '^[A-Z]{{4}}[0-9]{{7}}$') THEN 'c' ELSE 'l' END WHEN label IN ('incoterms', 'total_amount') THEN 'p' WHEN lc >= pc THEN 'l' ELSE 'p' END AS side FROM b)
+ SELECT doc_id, label, CASE side WHEN 'l' THEN l WHEN 'h' THEN p[1:4] || '.' || p[5:6] || CASE WHEN length(p) >= 8 THEN '.' || p[7:8] ELSE '' END ELSE p END AS value, CASE side WHEN 'l' THEN lc WHEN 'h' THEN 0.95::DOUBLE WHEN 'c' THEN 0.98::DOUBLE ELSE pc END AS confidence FROM w WHERE side IS NOT NULL"""
 )
 def arbitrate(spark, d) -> DataFrame:
     return documents.arbitrate(view(spark, d, "v_candidates"))
@@ -351,7 +338,7 @@ def totals_reconcile(spark, d) -> DataFrame:
 
 @query(
     f"""{ITEM}, n AS (SELECT *, TRY_CAST(quantity AS DOUBLE) AS q, TRY_CAST(price AS DOUBLE) AS p, TRY_CAST(nullif(amount, '') AS DOUBLE) AS a FROM v_items), r AS (SELECT *, CASE WHEN q > 0 AND p > 0 AND a > 0 THEN abs(a - q * p) / (q * p) END AS x FROM n),
- f AS (SELECT *, CASE WHEN x <= 0.05 THEN 'valid' WHEN x <= 0.2 THEN 'warning' WHEN x IS NOT NULL THEN 'critical' ELSE 'none' END AS flag, 0.4::DOUBLE + 0.07::DOUBLE * (4 + (quantity IS NOT NULL)::INT + (amount <> '')::INT) AS s FROM r)
+ f AS (SELECT *, CASE WHEN x <= 0.05 THEN 'valid' WHEN x <= 0.2 THEN 'warning' WHEN x IS NOT NULL THEN 'critical' ELSE 'none' END AS flag, 0.4::DOUBLE + 0.07::DOUBLE * (4 + (quantity IS NOT NULL)::INT + (amount <> '')::INT + (hs_code <> '')::INT + (dimensions IS NOT NULL)::INT) AS s FROM r)
  SELECT doc_id, ord, round_even(x, 6) AS ratio, flag, round_even(CASE flag WHEN 'valid' THEN least(s * 1.15::DOUBLE, 1) WHEN 'warning' THEN s * 0.95::DOUBLE WHEN 'critical' THEN s * 0.70::DOUBLE ELSE s END, 6) AS confidence FROM f"""
 )
 def price_check(spark, d) -> DataFrame:
@@ -408,8 +395,8 @@ def bio_decode(spark, d) -> DataFrame:
 
 
 @query(
-    f"""{TAG}, g AS ({_lenient('gold')}), p AS ({_lenient('pred')}), n AS (SELECT (SELECT count(*) FROM (SELECT * FROM g INTERSECT SELECT * FROM p)) AS tp, (SELECT count(*) FROM p) AS n_pred, (SELECT count(*) FROM g) AS n_gold),
- s AS (SELECT *, tp::DOUBLE / greatest(n_pred, 1) AS a, tp::DOUBLE / greatest(n_gold, 1) AS b FROM n) SELECT tp, n_pred, n_gold, round_even(100 * a, 2) AS precision, round_even(100 * b, 2) AS recall, round_even(100 * 2 * a * b / greatest(a + b, 1e-8), 2) AS f1 FROM s"""
+    f"""{TAG}, g AS ({_lenient('gold')}), p AS ({_lenient('pred')}), n AS (SELECT (SELECT count(*) FROM (SELECT * FROM g INTERSECT SELECT * FROM p)) AS tp, (SELECT count(*) FROM p) AS n_pred, (SELECT count(*) FROM g) AS n_gold, (SELECT round_even(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 2) FROM (SELECT bool_or(pred <> 'O') AS hit FROM v_tags GROUP BY seq_id)) AS with_prediction),
+ s AS (SELECT *, tp::DOUBLE / greatest(n_pred, 1) AS a, tp::DOUBLE / greatest(n_gold, 1) AS b FROM n) SELECT tp, n_pred, n_gold, with_prediction, round_even(100 * a, 2) AS precision, round_even(100 * b, 2) AS recall, round_even(100 * 2 * a * b / greatest(a + b, 1e-8), 2) AS f1 FROM s"""
 )
 def chunk_prf(spark, d) -> DataFrame:
     return documents.chunk_scores(view(spark, d, "v_tags"))
@@ -425,9 +412,8 @@ def token_prf(spark, d) -> DataFrame:
 
 @query(f"{TAG} SELECT gold AS label, count(*) AS n, round_even(count(*)::DOUBLE / (SELECT count(*) FROM v_tags), 6) AS share FROM v_tags GROUP BY gold")
 def label_dist(spark, d) -> DataFrame:
-    t = view(spark, d, "v_tags")
-    n = t.agg(F.count("*").alias("all"))
-    return t.groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("label", "n", F.bround(F.col("n") / F.col("all"), 6).alias("share"))
+    counts = view(spark, d, "v_tags").groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("n"))
+    return counts.select("label", "n", F.bround(F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))), 6).alias("share"))  # a row a label
 
 
 @query(f"{TAG} SELECT count(DISTINCT seq_id) AS n_seqs, count(*) AS n_words, count(*) FILTER (gold <> 'O') AS n_labelled, round_even(count(*) FILTER (gold <> 'O')::DOUBLE / count(*), 6) AS coverage FROM v_tags")
@@ -445,20 +431,17 @@ def rates_unpivot(spark, d) -> DataFrame:
     return rows.select("hs8", F.expr("stack(3, 'BM', bm, 'PPH', pph, 'PPN', ppn) AS (kind, rate)"))
 
 
+_PARTY = """SELECT o_orderkey AS id, 'Seller ' || o_custkey % 7 AS seller, CASE WHEN o_custkey % 9 = 0 THEN '' ELSE ' Buyer ' || o_custkey % 5 END AS buyer, CASE WHEN o_custkey % 3 = 0 THEN 'Seller ' || o_custkey % 7 ELSE 'Shipper ' || o_custkey END AS shipper,
+ CASE WHEN o_custkey % 4 = 0 THEN ' Buyer ' || o_custkey % 5 WHEN o_custkey % 4 = 1 THEN '' ELSE 'Consignee ' || o_custkey END AS consignee, CASE WHEN o_custkey % 6 = 0 THEN 'Notify ' || o_custkey ELSE '' END AS notify FROM orders"""
+
+
 @query(
-    """SELECT o_orderkey AS id, seri, code, name FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS seri, code, name FROM (SELECT o_orderkey, unnest([1, 2, 3, 4]) AS k, unnest(['9', '1', '7', '11']) AS code,
- unnest(['Seller ' || o_custkey % 7, 'Buyer ' || o_custkey % 5, CASE WHEN o_custkey % 3 = 0 THEN 'Seller ' || o_custkey % 7 ELSE 'Shipper ' || o_custkey END, CASE WHEN o_custkey % 4 = 0 THEN 'Buyer ' || o_custkey % 5 ELSE 'Consignee ' || o_custkey END]) AS name, o_custkey FROM orders)
- WHERE NOT (k = 3 AND o_custkey % 3 = 0) AND NOT (k = 4 AND o_custkey % 4 = 0))"""
+    f"""WITH p AS ({_PARTY}), r AS (SELECT id, 1 AS k, 9 AS code, seller AS name FROM p UNION ALL SELECT id, 2, 10, seller FROM p UNION ALL SELECT id, 3, 1, buyer FROM p UNION ALL SELECT id, 4, 7, shipper FROM p WHERE shipper <> seller
+ UNION ALL SELECT id, 5, 4, CASE WHEN notify <> '' THEN notify ELSE consignee END FROM p UNION ALL SELECT id, 6, 11, consignee FROM p WHERE consignee <> buyer) SELECT id, CAST(k AS BIGINT) AS row_order, CAST(code AS VARCHAR) AS code, trim(name) AS name FROM r WHERE name <> ''"""
 )
 def party_rows(spark, d) -> DataFrame:
-    k = F.col("o_custkey")
-    seller, buyer = F.concat(F.lit("Seller "), (k % 7).cast("string")), F.concat(F.lit("Buyer "), (k % 5).cast("string"))
-    shipper = F.when(k % 3 == 0, seller).otherwise(F.concat(F.lit("Shipper "), k.cast("string")))
-    consignee = F.when(k % 4 == 0, buyer).otherwise(F.concat(F.lit("Consignee "), k.cast("string")))
-    row = lambda code, name, keep: F.struct(F.lit(code).alias("code"), name.alias("name"), keep.alias("keep"))
-    rows = F.filter(F.array(row("9", seller, F.lit(True)), row("1", buyer, F.lit(True)), row("7", shipper, shipper != seller), row("11", consignee, consignee != buyer)), lambda r: r["keep"])
-    out = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.posexplode(rows).alias("p", "r"))
-    return out.select("id", (F.col("p") + 1).cast("bigint").alias("seri"), "r.code", "r.name")
+    p = load(spark, d, "orders").selectExpr(*[c.strip() for c in ("o_orderkey AS id", *documents.PARTY_VIEW)])
+    return documents.parties(p)
 
 
 @query(f"{ITEM}, w AS (SELECT item_code, max_by(net, [doc_id, ord]) AS net_kg FROM v_items WHERE net <> 'n/a' GROUP BY item_code) SELECT doc_id, ord, item_code, coalesce(nullif(net, 'n/a'), net_kg) AS net FROM v_items LEFT JOIN w USING (item_code)")
@@ -468,17 +451,6 @@ def weights_merge(spark, d) -> DataFrame:
     return items.join(weights, "item_code", "left").select("doc_id", "ord", "item_code", F.coalesce(F.nullif("net", F.lit("n/a")), "net_kg").alias("net"))
 
 
-@query(
-    """SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
- WHERE NOT (length(line) < 4 OR regexp_matches(line, '^[0-9[:space:][:punct:]]*$') OR (length(line) > 10 AND length(regexp_replace(line, '[^\\p{L}]', '', 'g'))::DOUBLE / length(line) < 0.15))"""
-)
-def text_lines(spark, d) -> DataFrame:
-    lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    letters = F.length(F.regexp_replace("line", r"[^\p{L}]", "")) / F.length("line")
-    skip = (F.length("line") < 4) | F.col("line").rlike(r"^[0-9\s\p{Punct}]*$") | ((F.length("line") > 10) & (letters < 0.15))
-    return lines.where(~skip).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
-
-
 @query("SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_by_day(spark, d) -> DataFrame:
     e = load(spark, d, "events").withColumn("day", F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("bigint"))

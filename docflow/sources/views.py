@@ -26,6 +26,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "currency": "CASE o_orderkey % 9 WHEN 0 THEN 'USD' WHEN 1 THEN 'CNY' WHEN 2 THEN 'eur' WHEN 3 THEN 'JPY' WHEN 4 THEN 'IDR' WHEN 5 THEN 'SGD' WHEN 6 THEN '' WHEN 7 THEN 'XYZ' ELSE 'GBP' END",
             "freight": "CAST(o_custkey % 5 AS DOUBLE) * CAST(350 AS DOUBLE)",
             "created_at": "o_orderdate",
+            "updated_at": "o_orderdate + INTERVAL '1' DAY * (o_custkey % 30)",
             "priority": "o_orderpriority",
             "custkey": "o_custkey",
         },
@@ -61,6 +62,24 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "custkey": "o_custkey",
         },
     ),
+    "v_texts": (
+        "orders",
+        {
+            "id": "o_orderkey",
+            "text": "'COMMERCIAL INVOICE' || chr(10) || CASE o_orderkey % 5 WHEN 0 THEN 'C/I NO: AB-' || CAST(o_orderkey AS VARCHAR(20)) || '-XYZ' WHEN 1 THEN 'Invoice No. INVOICE/' || CAST(o_orderkey AS VARCHAR(20)) WHEN 2 THEN 'invoice: 12' WHEN 3 THEN 'INV# 99/2026' ELSE 'INV ABCDEF INV GHIJKL' END || chr(10) || CASE o_orderkey % 4 WHEN 0 THEN 'Date: Jan 05, 2026' WHEN 1 THEN 'DATE 5-Feb-2026' WHEN 2 THEN 'date: Date' ELSE 'dated 2026' END || chr(10) || CASE o_custkey % 6 WHEN 0 THEN 'Currency: usd' WHEN 1 THEN 'PRICE IN EUR' WHEN 2 THEN 'UNIT usd /kg' WHEN 3 THEN 'gbp / KILO' WHEN 4 THEN 'Valuta CNY, paid in JPY' ELSE 'no money' END || chr(10) || CASE o_custkey % 7 WHEN 0 THEN 'FOB NINGBO' WHEN 1 THEN 'cif jakarta' WHEN 2 THEN 'From SHANGHAI, CHINA' || chr(10) || 'To SURABAYA' WHEN 3 THEN 'Port of Loading: xiamen' WHEN 4 THEN 'PORT OF DISCHARGE: BELAWAN  ' WHEN 5 THEN 'from there' ELSE 'terms' END || chr(10) || CASE o_orderkey % 6 WHEN 0 THEN 'Vessel name: EVER GIVEN 0' WHEN 1 THEN 'MSC OSCAR 123E' WHEN 2 THEN 'Gross Weight: 1,234.5 KGS' WHEN 3 THEN 'OOLU1234567 and TCLU7654321' WHEN 4 THEN 'B/L: OOLU' || CAST(o_orderkey AS VARCHAR(20)) || ' BL No: X' || CAST(o_orderkey AS VARCHAR(20)) || 'YZ' ELSE 'N.W. 88 kg, G.W. 99' END || chr(10) || CASE o_custkey % 5 WHEN 0 THEN 'Made in VIETNAM' WHEN 1 THEN '120 CARTONS of CHINA' WHEN 2 THEN 'Freight: Collect' WHEN 3 THEN 'CBM: 12.50' ELSE 'Container No: MAEU 3.5 m3' END",
+        },
+    ),
+    "v_codes": (
+        "orders",
+        {
+            "id": "o_orderkey",
+            "label": "CASE o_orderkey % 6 WHEN 0 THEN 'cif' WHEN 1 THEN 'CPT' WHEN 2 THEN 'FOB' WHEN 3 THEN ' CIP' WHEN 4 THEN 'Jl. RAYA' ELSE 'phone' END",
+            "code": "CASE o_orderkey % 19 WHEN 0 THEN 'HD-12-WHITH' WHEN 1 THEN '850X400X500' WHEN 2 THEN 'OOLU1234567' WHEN 3 THEN '1234567' WHEN 4 THEN '123456789012' WHEN 5 THEN 'TABLE' WHEN 6 THEN 'id-SLD-9' WHEN 7 THEN 'A1 CABINET' WHEN 8 THEN 'total' WHEN 9 THEN 'AB1' WHEN 10 THEN 'CN' || CAST(o_custkey AS VARCHAR(9)) WHEN 11 THEN 'hd-' || CAST(o_custkey AS VARCHAR(9)) || '-whit' WHEN 12 THEN '' WHEN 13 THEN 'DATE' WHEN 14 THEN 'port klang' WHEN 15 THEN 'ID-XY-7' WHEN 16 THEN 'CABINET-7' WHEN 17 THEN 'a' || chr(10) || 'b' ELSE 'NINGBO PORT' END",
+            "line": "CASE o_orderkey % 9 WHEN 0 THEN 'N/M  STEEL;BOX 120 PIECES ABCD1234X' WHEN 1 THEN 'JOUTER \"A\" frame 12 PIECESI' WHEN 2 THEN 'HS CODE: 9403.10' WHEN 3 THEN 'Page 1 of 3' WHEN 4 THEN 'an electronic  certificate' WHEN 5 THEN '940310 CN 851220 CN' WHEN 6 THEN 'PE' WHEN 7 THEN '' ELSE 'plain, text: here' END",
+            "path": "CASE o_orderkey % 9 WHEN 0 THEN 'a/b/Invoice_1.pdf' WHEN 1 THEN 'x/PACKING.pdf' WHEN 2 THEN 'HBL7.pdf' WHEN 3 THEN 'truth.XLSX' WHEN 4 THEN 'q/w.pdf' WHEN 5 THEN 'note.txt' WHEN 6 THEN 'smu9' WHEN 7 THEN 'AWB.txt' ELSE '' END",
+            "weight": "CASE o_orderkey % 9 WHEN 0 THEN '1.234,5 KGS' WHEN 1 THEN '1,234.56 lb' WHEN 2 THEN '2 MT' WHEN 3 THEN '3 carton' WHEN 4 THEN '12 tons' WHEN 5 THEN '' WHEN 6 THEN 'abc' WHEN 7 THEN '1 234' ELSE CAST(o_custkey AS VARCHAR(9)) || 'kg' END",
+        },
+    ),
     "v_items": (
         "lineitem",
         {
@@ -71,6 +90,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "quantity": "CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR(9)) END",
             "amount": "CASE WHEN l_partkey % 17 = 0 THEN '' ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR(12)) END",
             "price": "CAST(CAST(floor(l_extendedprice / l_quantity * CAST(CASE l_suppkey % 4 WHEN 1 THEN 1.1 WHEN 2 THEN 1.5 ELSE 1 END AS DOUBLE)) AS BIGINT) AS VARCHAR(12))",
+            "hs_code": "CASE WHEN l_suppkey % 3 = 0 THEN '940310' ELSE '' END",
+            "dimensions": "CASE WHEN l_suppkey % 5 = 0 THEN '850*x400' END",
             "net": "CASE WHEN l_linenumber % 3 = 0 THEN 'n/a' ELSE CAST(l_partkey % 900 + 100 AS VARCHAR(9)) END",
             "gross": "CAST(l_partkey % 900 + 120 AS VARCHAR(9))",
         },
@@ -80,10 +101,10 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "doc_id": "l_orderkey",
             "ord": "CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey * 100000 + l_suppkey",
-            "label": "CASE l_partkey % 4 WHEN 0 THEN 'incoterms' WHEN 1 THEN 'seller_name' WHEN 2 THEN 'hs_code' ELSE 'invoice_number' END",
+            "label": "CASE l_partkey % 7 WHEN 0 THEN 'incoterms' WHEN 1 THEN 'seller_name' WHEN 2 THEN 'item_hs_code' WHEN 3 THEN 'container_number' WHEN 4 THEN 'item_code' WHEN 5 THEN 'currency' ELSE 'total_amount' END",
             "layer": "CASE WHEN l_returnflag = 'A' THEN 'layout' ELSE 'pattern' END",
             "doc_type": "CASE l_suppkey % 3 WHEN 0 THEN 'CI' WHEN 1 THEN 'PL' ELSE 'BL' END",
-            "value": "CASE WHEN l_partkey % 11 = 0 THEN '' WHEN l_partkey % 4 = 0 THEN CASE l_suppkey % 3 WHEN 0 THEN 'FOB' WHEN 1 THEN 'CIF' ELSE 'QQQ' END WHEN l_partkey % 4 = 2 THEN CAST(l_partkey * 37 % 98000000 AS VARCHAR(9)) ELSE 'V' || CAST(l_partkey AS VARCHAR(9)) END",
+            "value": "CASE WHEN l_partkey % 11 = 0 THEN '' WHEN l_partkey % 7 = 0 THEN CASE l_suppkey % 3 WHEN 0 THEN 'FOB' WHEN 1 THEN 'cif ' ELSE 'QQQ' END WHEN l_partkey % 7 = 2 THEN CAST(l_partkey * 37 * CASE l_suppkey % 2 WHEN 0 THEN 1 ELSE 10001 END AS VARCHAR(12)) WHEN l_partkey % 7 = 3 THEN CASE l_suppkey % 2 WHEN 0 THEN 'OOLU' ELSE 'OOL' END || CAST(1000000 + l_partkey AS VARCHAR(9)) WHEN l_partkey % 7 = 5 THEN CASE l_suppkey % 4 WHEN 0 THEN 'usd' WHEN 1 THEN 'EUR12.50' WHEN 2 THEN 'JPY' ELSE 'money' END ELSE 'V' || CAST(l_partkey AS VARCHAR(9)) END",
             "confidence": "CAST(floor(l_discount * 100 + 0.5) AS DOUBLE) / CAST(10 AS DOUBLE)",
         },
     ),
