@@ -12,8 +12,8 @@ from .. import dims
 from ..functions.values import blank, digits, filled, let, lookup
 
 
-def tiered(df: DataFrame, name: Column, dim: dict[str, str], inside, cleaned=None) -> DataFrame:
-    """Add code to df: of the exact key, else of the first key for which inside(name, key), else of the exact cleaned(name), else null."""
+def tier(name: Column, dim: dict[str, str], inside, cleaned=None) -> Column:
+    """Code of a name: of the exact key, else of the first key for which inside(name, key), else of the exact cleaned(name), else null."""
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("code")) for k, v in dim.items()])
 
     def code(n: Column) -> Column:
@@ -21,7 +21,7 @@ def tiered(df: DataFrame, name: Column, dim: dict[str, str], inside, cleaned=Non
         tiers = [lookup(n, dim), near] + ([lookup(cleaned(n), dim)] if cleaned else [])
         return F.when(filled(n).isNotNull(), F.coalesce(*tiers))
 
-    return df.withColumn("code", let(name, code))
+    return let(name, code)
 
 
 def either_way(name: Column, key: Column) -> Column:
@@ -48,33 +48,33 @@ def clean_name(c: Column) -> Column:
     return filled(F.trim(F.upper(c)))
 
 
-def port(df: DataFrame, c: str) -> DataFrame:
-    return tiered(df, clean_name(F.col(c)), dims.PORTS, either_way, lambda n: F.regexp_replace(n, dims.PORT_COUNTRY, ""))
+def port_code(c: Column) -> Column:
+    return tier(clean_name(c), dims.PORTS, either_way, lambda n: F.regexp_replace(n, dims.PORT_COUNTRY, ""))
 
 
-def country(df: DataFrame, c: str) -> DataFrame:
-    name = clean_name(F.col(c))
-    return tiered(df, F.when(~name.rlike(r"^\p{L}{2}$"), name), dims.COUNTRIES, bounded).withColumn("code", F.when(name.rlike(r"^\p{L}{2}$"), name).otherwise(F.coalesce("code", F.lit("CN"))))
+def country_code(c: Column) -> Column:
+    name, two = clean_name(c), clean_name(c).rlike(r"^\p{L}{2}$")
+    return F.when(two, name).otherwise(F.coalesce(tier(name, dims.COUNTRIES, bounded), F.lit("CN")))
 
 
-def currency(df: DataFrame, c: str) -> DataFrame:
-    name = F.regexp_replace(clean_name(F.col(c)), r"[/\s]*(?:PER|KGS?|LBS?)\s*$", "")
-    return tiered(df, name, dims.CURRENCIES, either_way).withColumn("code", F.coalesce("code", F.lit("USD")))
+def currency_code(c: Column) -> Column:
+    name = F.regexp_replace(clean_name(c), r"[/\s]*(?:PER|KGS?|LBS?)\s*$", "")
+    return F.coalesce(tier(name, dims.CURRENCIES, either_way), F.lit("USD"))
 
 
-def incoterm(df: DataFrame, c: str) -> DataFrame:
-    return tiered(df, clean_name(F.col(c)), dims.INCOTERMS, within)
+def incoterm_code(c: Column) -> Column:
+    return tier(clean_name(c), dims.INCOTERMS, within)
 
 
-def packaging(df: DataFrame, c: str) -> DataFrame:
-    return tiered(df, clean_name(F.col(c)), dims.PACKAGING, within).withColumn("code", F.coalesce("code", F.lit("PCE")))
+def packaging_code(c: Column) -> Column:
+    return F.coalesce(tier(clean_name(c), dims.PACKAGING, within), F.lit("PCE"))
 
 
-def party(df: DataFrame, c: str) -> DataFrame:
+def party_code(c: Column) -> Column:
     """The first word of the dictionary that the name holds, exact or not, decides."""
-    name = F.lower(F.trim(F.col(c)))
+    name = F.lower(F.trim(c))
     found = F.coalesce(*[F.when(F.contains(name, F.lit(k)), F.lit(int(v))) for k, v in dims.PARTIES.items()], F.lit(1))
-    return df.withColumn("code", F.when(blank(F.col(c)), 1).otherwise(found))
+    return F.when(blank(c), 1).otherwise(found)
 
 
 def tariff_by_chapter(df: DataFrame, c: str) -> DataFrame:

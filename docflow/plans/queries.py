@@ -236,7 +236,7 @@ _EITHER = "contains(name, key) OR contains(key, name)"
 
 @query(_tier(dims.PORTS, "upper(trim(port))", _EITHER, "NULL", "regexp_replace(name, '[,\\-\\s]*(CHINA|INDONESIA|KOREA|JAPAN|SINGAPORE|THAILAND|MALAYSIA|VIETNAM).*$', '')"))
 def lookup_port(spark, d) -> DataFrame:
-    return lookup.port(view(spark, d, "v_strings"), "port").select("id", "code")
+    return view(spark, d, "v_strings").select("id", lookup.port_code(F.col("port")).alias("code"))
 
 
 _FIRST = "(strpos({a}, {b}) > 0 AND NOT regexp_matches(CASE WHEN strpos({a}, {b}) > 1 THEN substr({a}, strpos({a}, {b}) - 1, 1) ELSE '' END, '[A-Z]') AND NOT regexp_matches(substr({a}, strpos({a}, {b}) + length({b}), 1), '[A-Z]'))"
@@ -244,27 +244,27 @@ _FIRST = "(strpos({a}, {b}) > 0 AND NOT regexp_matches(CASE WHEN strpos({a}, {b}
 
 @query(f"{_tier(dims.COUNTRIES, 'upper(trim(country))', 'length(name) <> 2 AND (' + _FIRST.format(a='name', b='key') + ' OR ' + _FIRST.format(a='key', b='name') + ')', 'CASE WHEN length(name) = 2 THEN name ELSE NULL END')}".replace("SELECT id, coalesce(", "SELECT id, coalesce(CASE WHEN length(name) = 2 THEN name END, ").replace("ELSE NULL END) AS code", "ELSE 'CN' END) AS code"))
 def lookup_country(spark, d) -> DataFrame:
-    return lookup.country(view(spark, d, "v_strings"), "country").select("id", "code")
+    return view(spark, d, "v_strings").select("id", lookup.country_code(F.col("country")).alias("code"))
 
 
 @query(_tier(dims.CURRENCIES, "regexp_replace(upper(trim(money)), '[/\\s]*(?:PER|KGS?|LBS?)\\s*$', '')", _EITHER, "'USD'"))
 def lookup_currency(spark, d) -> DataFrame:
-    return lookup.currency(view(spark, d, "v_strings"), "money").select("id", "code")
+    return view(spark, d, "v_strings").select("id", lookup.currency_code(F.col("money")).alias("code"))
 
 
 @query(_tier(dims.INCOTERMS, "upper(trim(term))", "contains(name, key)", "NULL"))
 def lookup_incoterm(spark, d) -> DataFrame:
-    return lookup.incoterm(view(spark, d, "v_strings"), "term").select("id", "code")
+    return view(spark, d, "v_strings").select("id", lookup.incoterm_code(F.col("term")).alias("code"))
 
 
 @query(_tier(dims.PACKAGING, "upper(trim(pack))", "contains(name, key)", "'PCE'"))
 def lookup_packaging(spark, d) -> DataFrame:
-    return lookup.packaging(view(spark, d, "v_strings"), "pack").select("id", "code")
+    return view(spark, d, "v_strings").select("id", lookup.packaging_code(F.col("pack")).alias("code"))
 
 
 @query(f"{STR}, dim(key, code, ord) AS (VALUES {dims.values([(k, int(v), i) for k, v, i in dims.keyed(dims.PARTIES)])}) SELECT id, coalesce((SELECT arg_min(code, ord) FROM dim WHERE contains(lower(trim(party)), key)), 1) AS code FROM v_strings")
 def lookup_party(spark, d) -> DataFrame:
-    return lookup.party(view(spark, d, "v_strings"), "party").select("id", "code")
+    return view(spark, d, "v_strings").select("id", lookup.party_code(F.col("party")).alias("code"))
 
 
 @query(f"{STR}, dim(key, duty) AS (VALUES {dims.values(list(dims.CHAPTERS.items()))}) SELECT id, coalesce(duty, 5) AS duty, '3' AS facility FROM v_strings LEFT JOIN dim ON key = regexp_replace(hs, '[^0-9]', '', 'g')[1:2]")

@@ -69,6 +69,38 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "text": "'COMMERCIAL INVOICE' || chr(10) || CASE o_orderkey % 5 WHEN 0 THEN 'C/I NO: AB-' || CAST(o_orderkey AS VARCHAR(20)) || '-XYZ' WHEN 1 THEN 'Invoice No. INVOICE/' || CAST(o_orderkey AS VARCHAR(20)) WHEN 2 THEN 'invoice: 12' WHEN 3 THEN 'INV# 99/2026' ELSE 'INV ABCDEF INV GHIJKL' END || chr(10) || CASE o_orderkey % 4 WHEN 0 THEN 'Date: Jan 05, 2026' WHEN 1 THEN 'DATE 5-Feb-2026' WHEN 2 THEN 'date: Date' ELSE 'dated 2026' END || chr(10) || CASE o_custkey % 6 WHEN 0 THEN 'Currency: usd' WHEN 1 THEN 'PRICE IN EUR' WHEN 2 THEN 'UNIT usd /kg' WHEN 3 THEN 'gbp / KILO' WHEN 4 THEN 'Valuta CNY, paid in JPY' ELSE 'no money' END || chr(10) || CASE o_custkey % 7 WHEN 0 THEN 'FOB NINGBO' WHEN 1 THEN 'cif jakarta' WHEN 2 THEN 'From SHANGHAI, CHINA' || chr(10) || 'To SURABAYA' WHEN 3 THEN 'Port of Loading: xiamen' WHEN 4 THEN 'PORT OF DISCHARGE: BELAWAN  ' WHEN 5 THEN 'from there' ELSE 'terms' END || chr(10) || CASE o_orderkey % 6 WHEN 0 THEN 'Vessel name: EVER GIVEN 0' WHEN 1 THEN 'MSC OSCAR 123E' WHEN 2 THEN 'Gross Weight: 1,234.5 KGS' WHEN 3 THEN 'OOLU1234567 and TCLU7654321' WHEN 4 THEN 'B/L: OOLU' || CAST(o_orderkey AS VARCHAR(20)) || ' BL No: X' || CAST(o_orderkey AS VARCHAR(20)) || 'YZ' ELSE 'N.W. 88 kg, G.W. 99' END || chr(10) || CASE o_custkey % 5 WHEN 0 THEN 'Made in VIETNAM' WHEN 1 THEN '120 CARTONS of CHINA' WHEN 2 THEN 'Freight: Collect' WHEN 3 THEN 'CBM: 12.50' ELSE 'Container No: MAEU 3.5 m3' END",
         },
     ),
+    "v_headers": (
+        "orders",
+        {
+            "id": "o_orderkey",
+            "custkey": "o_custkey",
+            "invoice_number": "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE ' INV-' || CAST(o_orderkey AS VARCHAR(20)) END",
+            "invoice_date": "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey % 28 + 1 AS VARCHAR(9)) || '/3/2026' END",
+            "bl_number": "CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 'BL' || CAST(o_custkey AS VARCHAR(20)) END",
+            "bl_date": "CASE WHEN o_custkey % 4 = 0 THEN 'soon' ELSE '2026-02-' || CAST(o_custkey % 18 + 10 AS VARCHAR(9)) END",
+            "currency": "CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'IDR' ELSE 'SGD' END",
+            "incoterms": "CASE o_orderkey % 6 WHEN 0 THEN 'CIF' WHEN 1 THEN '' WHEN 2 THEN 'FOB' WHEN 3 THEN 'CFR' WHEN 4 THEN 'EXW' ELSE NULL END",
+            "total_amount": "CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE CAST(o_custkey * 10 AS VARCHAR(20)) || '.37' END",
+            "freight": "CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey % 400 AS VARCHAR(20)) END",
+            "insurance": "CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE CAST(o_custkey % 30 AS VARCHAR(20)) END",
+            "port_of_loading": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'NINGBO' END",
+            "port_of_discharge": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'JAKARTA' END",
+            "vessel_name": "CASE WHEN o_orderkey % 5 < 2 THEN '' ELSE ' EVER ' END",
+            "voyage_number": "CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE '12E' END",
+            "seller_name": "CASE WHEN o_custkey % 6 < 2 THEN '' ELSE 'Seller' END",
+            "seller_address": "'Street ' || CAST(o_custkey AS VARCHAR(20))",
+            "buyer_name": "CASE WHEN o_custkey % 5 < 2 THEN '' ELSE 'Buyer' END",
+            "shipper_name": "CASE WHEN o_custkey % 4 < 1 THEN '' ELSE 'Shipper' END",
+            "shipper_address": "'Dock ' || CAST(o_custkey AS VARCHAR(20))",
+            "consignee_name": "CASE WHEN o_custkey % 7 < 1 THEN '' ELSE 'Consignee' END",
+            "notify_party_name": "CASE o_custkey % 4 WHEN 0 THEN 'Same as consignee' WHEN 1 THEN 'SAME AS ABOVE' WHEN 2 THEN 'Agent' ELSE '' END",
+            "packaging_type": "CASE o_orderkey % 3 WHEN 0 THEN 'cartons' WHEN 1 THEN '' ELSE 'pallet' END",
+            "number_of_packages": "CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE CAST(o_orderkey % 50 AS VARCHAR(9)) END",
+            "containers": "CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' oolu1234567' ELSE 'TCLU1112223|MSKU4040404' END",
+            "seals": "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ab1' ELSE 'S1| s2 |S3' END",
+            "confidence": "CAST(o_custkey % 101 AS DOUBLE) / CAST(100 AS DOUBLE)",
+        },
+    ),
     "v_codes": (
         "orders",
         {
