@@ -81,7 +81,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "currency": "CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'IDR' ELSE 'SGD' END",
             "incoterms": "CASE o_orderkey % 6 WHEN 0 THEN 'CIF' WHEN 1 THEN '' WHEN 2 THEN 'FOB' WHEN 3 THEN 'CFR' WHEN 4 THEN 'EXW' ELSE NULL END",
             "total_amount": "CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE CAST(o_custkey * 10 AS VARCHAR(20)) || '.37' END",
-            "freight": "CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey % 400 AS VARCHAR(20)) END",
+            "freight": "CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey % 400 AS VARCHAR(20)) || '.11' END",
             "insurance": "CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE CAST(o_custkey % 30 AS VARCHAR(20)) END",
             "port_of_loading": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'NINGBO' END",
             "port_of_discharge": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'JAKARTA' END",
