@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, raw, slices, table
+from .common import free, raw, release, slices, table
 
 MEMO = 40_000  # words after which a worker sets its memo aside; it keeps the last two, so that frequent words stay
 #: Fixed values of the byte-level vocabulary: its pre-token pattern, and the bytes that stand for themselves.
@@ -197,6 +197,12 @@ class Encoder:
         for w, b in coded.items():
             known[w] = self.value((v.special[w],) if w in v.special else found[b])
 
+    def forget(self) -> None:
+        """Drop what is remembered of words, at the end of a task; the vocabulary stays."""
+        for memo in (self.known, self.old, self.vocabulary._kept, self.vocabulary._next):
+            memo.clear()
+        release()
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
         self.learn(set().union(*split))
@@ -262,6 +268,7 @@ def with_tokens(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
             names = [n for n in batch.schema.names if n != hidden]
             new = [pa.array([r[k] for r in rows], a[1]) for k, a in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], [*names, *[a[0] for a in added]])
+        encoder.forget()
 
     return docs.withColumn(hidden, F.col("text").cast("binary")).mapInArrow(run, _ddl(docs, added))
 

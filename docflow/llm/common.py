@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 from functools import reduce
@@ -12,7 +13,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2_000  # rows of an Arrow batch; Spark's own 10,000 documents take too much memory on either side
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = lambda keep: 0
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: workers are used again, by tasks of other operators too."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS where they are larger."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,7 +81,7 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has about most_bytes of the binary column, or one row."""
+    """Cut batches so that each has about most_bytes of the binary column, or one row; memory is released at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,6 +92,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
             to = max(at + 1, int(np.searchsorted(sizes, base + most_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

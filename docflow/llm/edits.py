@@ -197,6 +197,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                     tree.replace(start, end, new)
                 rows.append((before, tree.total, tree.encoded, len(tree.chars[0])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]], ["doc_id", "n_tokens", "n_edited", "n_encoded", "n_leaves"])
+        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("_text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_edited bigint, n_encoded bigint, n_leaves bigint")
