@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import bpe, contamination, jaccard, privacy, toxicity
-from docflow.llm.common import broadcast_if_small, checkpoint, table
+from docflow.llm.common import broadcast_if_small, checkpoint, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SMALL = 1_000_000  # ids that may be broadcast
@@ -24,6 +24,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier calls toxic; it learns from the labelled rows that aren't held out."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.learn_folds(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
@@ -31,18 +32,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the least id of each class of similar documents."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return _without(docs, jaccard.similar(docs).where("class_id <> doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold items of the benchmark."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return _without(docs, contamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and the terms that reveal it by placeholders; n_chars follows the text."""
+    small_batches(spark)
     out = privacy.sanitise(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -51,6 +55,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None
     """doc_id, lang, source, n_tokens and token_ids of each document."""
     import public_tokenizers
 
+    small_batches(spark)
     out = bpe.with_tokens(docs.select("doc_id", "text", "lang", "source"), path or public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
