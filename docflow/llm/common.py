@@ -80,7 +80,7 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has about most_bytes of the binary column, or one row; memory is released at the end."""
     for batch in batches:
         if not batch.num_rows:
