@@ -297,3 +297,55 @@ def test_pipeline(spark):
             assert docs.columns == corpus_pipeline.COLUMNS
         left = now
     assert docs.where("n_tokens <> size(token_ids)").count() == 0
+
+
+def test_html_tells_pages_apart_by_content(spark):
+    """Pages of one title have a template all the same, copies of one page have none, and a notice that recurs in the articles goes."""
+    page = "<html><head><title>Site</title></head><body><div><a>Home</a> About us</div><article><h2>Intro</h2><p>Story {i}</p><p>Read our terms before use</p></article></body></html>"
+    rows = [(i, "http://h.org/x", page.replace("{i}", str(i))) for i in range(12)] + [(50 + i, "http://copies.org/x", page.replace("{i}", "same")) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Intro\nStory 3" and out[53] == "Intro\nStory same\nRead our terms before use"
+    bare = "<html><head><title>Site</title></head><body><div><span>Home</span> About us</div><p>Story {i}</p></body></html>"
+    rows = [(i, "http://h.org/x", bare.replace("{i}", str(i))) for i in range(12)]
+    assert html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).where("text like '%Home%'").count() == 0
+
+
+CLASHES = ["_text", "spans", "_spans", "_key", "_terms", "key", "terms", "lang_pred", "score", "predicted", "token_ids", "decoded", "copy", "hash"]
+
+
+def test_clashing_columns_and_empty_tables(spark, odd):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    wide = odd.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    pages = spark.createDataFrame([], "page_id long, url string, html string, host string, template string")
+    items = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    makers = {
+        "identify": (lambda d: languages.identify(d, {"en": [1, 2]}), ("lang_pred", "score")),
+        "score": (lambda d: toxicity.score(d, toxicity.Model()), ("score", "predicted")),
+        "find": (privacy.find, ("spans",)),
+        "sanitise": (privacy.sanitise, ()),
+        "with_tokens": (lambda d: bpe.with_tokens(d, path), ("token_ids", "decoded")),
+    }
+    for name, (make, new) in makers.items():
+        rows = make(wide).collect()
+        assert len(rows) == len(ODD) + 1, name
+        for c in set(CLASHES) - set(new):
+            assert all(r[c] == f"own {c}" for r in rows), (name, c)
+        assert all(r[c] != f"own {c}" for c in new for r in rows), name
+        assert make(wide.limit(0)).count() == 0, name
+    assert {r["doc_id"] for r in contamination.contaminated(wide, items).collect()} == {6, 7, 8}
+    assert html.main_text(pages).count() == 0
+    assert edits.build(wide, path).count() == len(ODD) + 1 and fingerprints.fingerprints(wide).count() == len(ODD) + 1
+    assert repeats.removed(wide).count() == jaccard.similar(wide).count() == len(ODD) + 1
+
+
+def test_groups_of_copies_beyond_a_broadcast(spark, monkeypatch):
+    """Hot groups, cold ones and rows without one meet their class alike whatever is broadcast."""
+    rows = [(i, BASE) for i in range(60)] + [(100 + i, f"{BASE} tail {i % 5}") for i in range(20)] + [(200, None), (201, ""), (None, BASE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: str(tuple(r))
+    whole = sorted(jaccard.similar(docs).collect(), key=key)
+    monkeypatch.setattr(jaccard, "SMALL", 0)
+    monkeypatch.setattr(jaccard, "MANY", 4)
+    assert sorted(jaccard.similar(docs).collect(), key=key) == whole and len(whole) == len(rows)
