@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries, sheet_queries, text_queries, training_queries  # noqa: F401
+from .plans import extraction_queries, queries, sheet_queries, text_queries, training_queries  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -112,6 +112,30 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "weight": "CASE o_orderkey % 9 WHEN 0 THEN '1.234,5 KGS' WHEN 1 THEN '1,234.56 lb' WHEN 2 THEN '2 MT' WHEN 3 THEN '3 carton' WHEN 4 THEN '12 tons' WHEN 5 THEN '' WHEN 6 THEN 'abc' WHEN 7 THEN '1 234' ELSE CAST(o_custkey AS VARCHAR(9)) || 'kg' END",
         },
     ),
+    "v_packing": (
+        "lineitem",
+        {
+            "doc_id": "l_orderkey",
+            "pos": "CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey * 100000 + l_suppkey",
+            "line": "CASE l_partkey % 11 WHEN 0 THEN 'HD-' || CAST(l_suppkey AS VARCHAR(9)) || '-WHIT 1 carton' WHEN 1 THEN CAST(l_partkey % 4000 + 150 AS VARCHAR(9)) || ' ' || CAST(l_partkey % 3000 + 250 AS VARCHAR(9)) WHEN 2 THEN 'TB-' || CAST(l_suppkey % 50 AS VARCHAR(9)) || '/X 12 850x400 1' || CAST(l_suppkey % 90 + 200 AS VARCHAR(9)) WHEN 3 THEN ' ' || CAST(l_partkey % 900 + 180 AS VARCHAR(9)) WHEN 4 THEN 'remark 45678 45999 123456' WHEN 5 THEN '350*200 410x20 777,5' WHEN 6 THEN 'id-SLD-9 500 600' WHEN 7 THEN 'ID-SLD-' || CAST(l_suppkey % 9 AS VARCHAR(9)) WHEN 8 THEN '' WHEN 9 THEN 'TOTAL 900 1900' ELSE 'MM-' || CAST(l_suppkey % 9 AS VARCHAR(9)) || ' ' || CAST(l_suppkey % 900 + 300 AS VARCHAR(9)) END",
+        },
+    ),
+    "v_materials": (
+        "lineitem",
+        {
+            "doc_id": "l_orderkey",
+            "pos": "CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey * 100000 + l_suppkey",
+            "line": "CASE l_partkey % 9 WHEN 0 THEN '16231000' || lpad(CAST(l_suppkey AS VARCHAR(9)), 6, '0') || ' Pcs STEEL PLATE 84713000 ' || CAST(l_partkey % 4000 + 50 AS VARCHAR(9)) || ' 1.234,50 12.000,00' WHEN 1 THEN 'KGM 2.500,00 7 1200' WHEN 2 THEN '1623100A' || lpad(CAST(l_suppkey % 20 AS VARCHAR(9)), 5, '0') || ' Cable-tie, black 0,0294 225.000,00' WHEN 3 THEN 'more text EA 300' WHEN 4 THEN '' WHEN 5 THEN '1234567890123 Freight 100' WHEN 6 THEN '12345 short 500' WHEN 7 THEN 'see 99887766554' || CAST(l_suppkey % 9 AS VARCHAR(9)) || ' 98765432 4,2' ELSE '2026000000' || CAST(l_suppkey % 7 AS VARCHAR(9)) || ' UN Wooden frame Deklarasi Impor 9' END",
+        },
+    ),
+    "v_letters": (
+        "orders",
+        {
+            "id": "o_orderkey",
+            "doc_type": "CASE o_orderkey % 3 WHEN 0 THEN 'CI' WHEN 1 THEN 'BL' ELSE 'PL' END",
+            "text": "CASE o_custkey % 4 WHEN 0 THEN 'ACME Trading house CO.' WHEN 1 THEN 'QUANTITY list of goods LTD' WHEN 2 THEN 'ABC CO' ELSE 'plain' END || chr(10) || CASE o_orderkey % 5 WHEN 0 THEN 'Invoice No: AB-' || CAST(o_orderkey AS VARCHAR(20)) WHEN 1 THEN 'INV.' || CAST(o_orderkey + 1000 AS VARCHAR(20)) WHEN 2 THEN 'BL No: X' || CAST(o_orderkey + 1000 AS VARCHAR(20)) WHEN 3 THEN 'Date: 5-Feb-2026, Issued 6 MAR 26' ELSE 'Seal No. S' || CAST(o_orderkey + 1000 AS VARCHAR(20)) END || chr(10) || CASE o_custkey % 6 WHEN 0 THEN 'Vessel: EVER GIVEN' WHEN 1 THEN 'From NINGBO' WHEN 2 THEN 'USD 5 and IDR 6, USD 7; fob or CIF' WHEN 3 THEN 'Made in CHINA' WHEN 4 THEN 'OOLU1234567 TCLU7654321 OOLU1234567' ELSE 'Port of Discharge: JAKARTA' END || chr(10) || CASE o_custkey % 3 WHEN 0 THEN 'Buyer: PT MAJU JAYA  TEL 5' WHEN 1 THEN 'PT SINAR ABADI CO.' ELSE 'Consignee: NOBODY AT ALL' END",
+        },
+    ),
     "v_items": (
         "lineitem",
         {
