@@ -84,12 +84,12 @@ def tariff_by_chapter(df: DataFrame, c: str) -> DataFrame:
     return df.withColumn("_chapter", F.substring(digits(F.col(c)), 1, 2)).join(d, "_chapter", "left").drop("_chapter").withColumn("duty", F.coalesce("duty", F.lit(dims.CHAPTER_DEFAULT))).withColumn("facility", F.lit(dims.CHAPTER_FACILITY))
 
 
-def tariff_by_prefix(df: DataFrame, code: Column) -> DataFrame:
-    """Add bm, ppn, pph and found: of the code itself, else of the first code with its first four digits, else the default (not found)."""
+def tariff_by_prefix(df: DataFrame, code: Column, near_found: bool = False) -> DataFrame:
+    """Add bm, ppn, pph and found: of the code itself, else of the first code with its first four digits (found only with near_found), else the default (not found)."""
     rows = df.sparkSession.createDataFrame(dims.tariff_rows(), "hs8 bigint, hs4 bigint, bm double, ppn double, pph double, ord int")
     rates = F.struct("bm", "ppn", "pph")
     exact = F.broadcast(rows.select(F.col("hs8").alias("_hs8"), rates.alias("_exact")))
     near = F.broadcast(rows.groupBy("hs4").agg(F.min(F.struct("ord", rates.alias("rates")))["rates"].alias("_near")).withColumnRenamed("hs4", "_hs4"))
     out = df.withColumn("_hs8", code).withColumn("_hs4", F.floor(F.col("_hs8") / 10000)).join(exact, "_hs8", "left").join(near, "_hs4", "left")
     pick = lambda k, d: F.coalesce(F.col("_exact")[k], F.col("_near")[k], F.lit(d)).alias(k)
-    return out.select(*df.columns, *[pick(k, d) for k, d in zip(("bm", "ppn", "pph"), dims.TARIFF_DEFAULT, strict=True)], F.col("_exact").isNotNull().alias("found"))
+    return out.select(*df.columns, *[pick(k, d) for k, d in zip(("bm", "ppn", "pph"), dims.TARIFF_DEFAULT, strict=True)], (F.col("_exact").isNotNull() | (F.lit(near_found) & F.col("_near").isNotNull())).alias("found"))

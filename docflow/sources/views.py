@@ -128,6 +128,22 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "line": "CASE l_partkey % 9 WHEN 0 THEN '16231000' || lpad(CAST(l_suppkey AS VARCHAR(9)), 6, '0') || ' Pcs STEEL PLATE 84713000 ' || CAST(l_partkey % 4000 + 50 AS VARCHAR(9)) || ' 1.234,50 12.000,00' WHEN 1 THEN 'KGM 2.500,00 7 1200' WHEN 2 THEN '1623100A' || lpad(CAST(l_suppkey % 20 AS VARCHAR(9)), 5, '0') || ' Cable-tie, black 0,0294 225.000,00' WHEN 3 THEN 'more text EA 300' WHEN 4 THEN '' WHEN 5 THEN '1234567890123 Freight 100' WHEN 6 THEN '12345 short 500' WHEN 7 THEN 'see 99887766554' || CAST(l_suppkey % 9 AS VARCHAR(9)) || ' 98765432 4,2' ELSE '2026000000' || CAST(l_suppkey % 7 AS VARCHAR(9)) || ' UN Wooden frame Deklarasi Impor 9' END",
         },
     ),
+    "v_certificates": (
+        "lineitem",
+        {
+            "doc_id": "l_orderkey - l_orderkey % 32",
+            "pos": "CAST(l_orderkey % 32 * 8 + l_linenumber AS BIGINT) * 100000000000 + l_partkey * 100000 + l_suppkey",
+            "line": "CASE l_partkey % 13 WHEN 0 THEN CASE l_suppkey % 3 WHEN 0 THEN 'HS CODE: 8415.20' WHEN 1 THEN 'Hs  code - 9403' ELSE ' HS CODE:7326 90' END WHEN 1 THEN CAST(l_suppkey % 33 + 1 AS VARCHAR(9)) WHEN 2 THEN CAST(l_suppkey % 35 AS VARCHAR(9)) || ' STEEL  PLATE \"X\" 12 PIECES' WHEN 3 THEN '1,200PIECES' WHEN 4 THEN 'Wooden N/M table PE ABC12345' WHEN 5 THEN 'TOTAL 5 cartons' WHEN 6 THEN CAST(l_suppkey % 9 + 1 AS VARCHAR(9)) || ' of Annex 3' WHEN 7 THEN '' WHEN 8 THEN '12345678901' WHEN 9 THEN '7 JAN 2026' WHEN 10 THEN 'Jouter box  frame' WHEN 11 THEN '300 PIECESI packed' ELSE repeat('long row ', 9) || CAST(l_suppkey AS VARCHAR(9)) END",
+        },
+    ),
+    "v_origins": (
+        "lineitem",
+        {
+            "doc_id": "l_orderkey - l_orderkey % 32",
+            "pos": "CAST(l_orderkey % 32 * 8 + l_linenumber AS BIGINT) * 100000000000 + l_partkey * 100000 + l_suppkey",
+            "line": "CASE l_partkey % 11 WHEN 0 THEN 'N/M frames 841370 53944.0000 035 USD CNY EUR SGD 12.5' WHEN 1 THEN 'PE' WHEN 2 THEN CAST(l_suppkey % 110 AS VARCHAR(9)) || ' Chair, oak 94036010 PC 1,250.50' WHEN 3 THEN 'Total 12.50 94036010, 7.25x USD 9.5' WHEN 4 THEN 'ABCD' WHEN 5 THEN '73269090 KG' WHEN 6 THEN 'GOODS from factory' WHEN 7 THEN 'TEL: 560392' WHEN 8 THEN '012345678' WHEN 9 THEN '3,5 x 850000 12.75 EUR SGD 9.5 USD CNY' ELSE CAST(l_suppkey % 7 + 1 AS VARCHAR(9)) || ' 847130 PCS 0.5' END",
+        },
+    ),
     "v_letters": (
         "orders",
         {
