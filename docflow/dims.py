@@ -169,3 +169,23 @@ def keyed(dim: dict[str, object]) -> list[tuple]:
 def tariff_rows() -> list[tuple]:
     d, v, p = TARIFF_DEFAULT
     return [(int(c), int(c) // 10000, TARIFF_DUTY.get(c, d), v, TARIFF_INCOME.get(c, p), i) for i, c in enumerate(TARIFF)]
+
+
+#: Terms, ports, countries, units and packaging by which values are normalised, in the order in which they are looked up.
+NORMAL_TERMS = ("FOB", "CIF", "CFR", "EXW", "DAP", "DDP", "FCA", "CPT", "CIP", "FAS", "DAT")
+NORMAL_PORTS = {
+    "SHANGHAI": "CNSHA", "NINGBO": "CNNBO", "YANTIAN": "CNYTN", "GUANGZHOU": "CNCAN", "HONGKONG": "HKHKG", "SINGAPORE": "SGSIN", "NANSHA": "CNNSA", "KAOHSIUNG": "TWKHH", "BUSAN": "KRPUS",
+    "QINGDAO": "CNTAO", "TIANJIN": "CNTJN", "DALIAN": "CNDLC", "XIAMEN": "CNXMN", "SHENZHEN": "CNSZN", "JAKARTA": "IDTPP", "SEMARANG": "IDSUB", "SURABAYA": "IDSUB", "BELAWAN": "IDBLW",
+    "TANJUNG PRIOK": "IDTPP", "CIKARANG": "IDCGK",
+}
+NORMAL_COUNTRIES = {
+    "CHINA": "CN", "INDONESIA": "ID", "SINGAPORE": "SG", "MALAYSIA": "MY", "THAILAND": "TH", "JAPAN": "JP", "KOREA": "KR", "HONG KONG": "HK", "TAIWAN": "TW", "VIETNAM": "VN", "INDIA": "IN",
+    "USA": "US", "U.S.A.": "US", "GERMANY": "DE", "UNITED KINGDOM": "GB", "AUSTRALIA": "AU",
+}
+NORMAL_UNITS = {
+    "PCS": "PCE", "PC": "PCE", "PIECES": "PCE", "PIECE": "PCE", "SET": "SET", "SETS": "SET", "MTR": "MTR", "METER": "MTR", "METERS": "MTR", "KG": "KGM", "KILOGRAM": "KGM", "KILOGRAMS": "KGM",
+    "MT": "TNE", "TON": "TNE", "TONNE": "TNE", "CTN": "CT", "CARTON": "CT", "CARTONS": "CT", "PK": "PK", "PACK": "PK", "PACKAGE": "PK",
+}
+NORMAL_PACKAGING = {
+    "CTN": "CT", "CARTON": "CT", "CARTONS": "CT", "PK": "PK", "PACKAGE": "PK", "PALLET": "PLT", "CASE": "CS", "CRATE": "CR", "DRUM": "DM", "BAG": "BG", "BARREL": "BR", "BOX": "BX",
+}
