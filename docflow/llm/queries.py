@@ -1,4 +1,4 @@
-"""Queries of this subpackage by name. None of them can be said in SQL; tests hold each against a brute-force version."""
+"""Queries of this subpackage by name. None of them can be said in SQL; README says what each is held against in tests/llm."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from .fingerprints import op1_fingerprints
 from .html import op5_html
 from .jaccard import op8_jaccard
 from .languages import op2_languages
+from .merkle import op12_merkle
 from .privacy import op4_privacy
 from .repeats import op6_substrings
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_languages, op3_toxicity, op4_privacy, op5_html, op6_substrings, op7_token_counts, op8_jaccard, op9_decontamination, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_languages, op3_toxicity, op4_privacy, op5_html, op6_substrings, op7_token_counts, op8_jaccard, op9_decontamination, op10_bpe, op12_merkle)}
 ORACLE_SQL: dict[str, str] = {}
