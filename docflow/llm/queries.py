@@ -10,9 +10,11 @@ from .html import op5_html
 from .jaccard import op8_jaccard
 from .languages import op2_languages
 from .merkle import op12_merkle
+from .pieces import op13_pieces
 from .privacy import op4_privacy
 from .repeats import op6_substrings
 from .toxicity import op3_toxicity
+from .whitening import op11_whitening
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_languages, op3_toxicity, op4_privacy, op5_html, op6_substrings, op7_token_counts, op8_jaccard, op9_decontamination, op10_bpe, op12_merkle)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_languages, op3_toxicity, op4_privacy, op5_html, op6_substrings, op7_token_counts, op8_jaccard, op9_decontamination, op10_bpe, op11_whitening, op12_merkle, op13_pieces)}
 ORACLE_SQL: dict[str, str] = {}
