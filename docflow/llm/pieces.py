@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import free, raw, release, slices, table
 
-MEMO = 60_000  # chunks after which a worker sets its memo aside; it keeps the last two, so that frequent chunks stay
+MEMO = 200_000  # chunks after which a worker sets its memo aside; it keeps the last two, so that frequent chunks stay
+SHORT = 40  # characters of a chunk whose pairs are looked through rather than kept in a heap
 LONG = 100  # characters of a chunk beyond which it isn't remembered
 #: Fixed values of the model file: the sign that stands for a space, kinds of pieces, kind of model.
 SPACE = "▁"
@@ -93,12 +94,36 @@ class Model:
         if not trainer.get(35, 0) or None in self.bytes:
             raise ValueError("the vocabulary has no pieces of bytes to fall back to")
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
-        # Characters of pieces of several, and pairs of them side by side: all that merges can bridge.
+        # Ranks of scores, and what a symbol adds to ids and text.
+        ranks = {v: k for k, v in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: ranks[v] for p, v in self.score.items()}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.pieces))]
+        self.text = [bytes((self.byte_of[i],)) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.cut = self._cutter()
+
+    def _cutter(self):
+        """A function that cuts a text where no piece holds the two characters side by side: between families of characters that pieces join, and before a space."""
         beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        inner = {c for pair in beside for c in pair}
-        own = "".join(map(re.escape, sorted(inner - {SPACE})))
-        apart = not any(pair[1] == SPACE and pair[0] != SPACE for pair in beside)
-        self.cut = re.compile(f"{SPACE}*[{own}]+|{SPACE}+|[^{own}{SPACE}]" if apart else f"[{own}{SPACE}]+|[^{own}{SPACE}]", re.S).findall if inner else list
+        spaced = any(pair[1] == SPACE != pair[0] for pair in beside)
+        family: dict[str, str] = {}
+
+        def head(c: str) -> str:
+            while family.setdefault(c, c) != c:
+                family[c] = c = family[family[c]]
+            return c
+
+        for x, y in beside:
+            if SPACE not in (x, y) or spaced:
+                family[head(x)] = head(y)
+            else:
+                head(y if x == SPACE else x)
+        groups: dict[str, list[str]] = {}
+        for c in sorted(family):
+            if c != SPACE or spaced:
+                groups.setdefault(head(c), []).append(c)
+        own = ["[" + "".join(map(re.escape, g)) + "]+" for g in sorted(groups.values(), key=len, reverse=True)]
+        led = "" if spaced else f"{SPACE}*"
+        return re.compile("|".join([f"{led}(?:{'|'.join(own)})"] * bool(own) + [f"{SPACE}+", "."]), re.S).findall
 
     def normal(self, text: str) -> str:
         text = text.replace(" ", SPACE)
@@ -106,32 +131,49 @@ class Model:
 
     def merge(self, chunk: str) -> list[str]:
         """The symbols of a chunk after all merges, best score first, leftmost first among equals."""
+        return self._merge_short(chunk) if len(chunk) <= SHORT else self._merge_long(chunk)
+
+    def _merge_short(self, chunk: str) -> list[str]:
+        """The agenda is the list of the pairs' ranks, and the best is found by looking through it."""
+        symbols, rank, none = list(chunk), self.rank.get, 1 << 40
+        agenda = [rank(chunk[k : k + 2], none) for k in range(len(chunk) - 1)]
+        while agenda and (best := min(agenda)) != none:
+            k = agenda.index(best)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del agenda[k]
+            if k < len(agenda):
+                agenda[k] = rank(symbols[k] + symbols[k + 1], none)
+            if k:
+                agenda[k - 1] = rank(symbols[k - 1] + symbols[k], none)
+        return symbols
+
+    def _merge_long(self, chunk: str) -> list[str]:
+        """The agenda is a heap; an entry is out of date when the pair at its place has another rank."""
         symbols: list[str | None] = list(chunk)
-        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        score = self.score
-        agenda = [(-score[p], k, p) for k, p in enumerate(map("".join, zip(symbols, symbols[1:]))) if p in score]  # noqa: B905
+        last, rank = len(symbols), self.rank.get
+        after, before = list(range(1, last + 1)), list(range(-1, last - 1))
+        agenda = [(r, k) for k in range(last - 1) if (r := rank(chunk[k : k + 2])) is not None]
         heapq.heapify(agenda)
-        last = len(symbols)
         while agenda:
-            _, left, piece = heapq.heappop(agenda)
+            best, left = heapq.heappop(agenda)
             own = symbols[left]
-            if own is None or (right := after[left]) == last or own + symbols[right] != piece:
-                continue  # one of the two is part of another piece by now
+            if own is None or (right := after[left]) == last or rank(piece := own + symbols[right]) != best:
+                continue
             symbols[left], symbols[right] = piece, None
             after[left] = following = after[right]
             if following < last:
                 before[following] = left
-                if (pair := piece + symbols[following]) in score:
-                    heapq.heappush(agenda, (-score[pair], left, pair))
-            if (preceding := before[left]) >= 0 and (pair := symbols[preceding] + piece) in score:
-                heapq.heappush(agenda, (-score[pair], preceding, pair))
+                if (r := rank(piece + symbols[following])) is not None:
+                    heapq.heappush(agenda, (r, left))
+            if (preceding := before[left]) >= 0 and (r := rank(symbols[preceding] + piece)) is not None:
+                heapq.heappush(agenda, (r, preceding))
         return [s for s in symbols if s is not None]
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        found = []
-        for symbol in [chunk] if len(chunk) == 1 else self.merge(chunk):
-            own = self.ids.get(symbol, self.special.get(symbol))
-            found += [self.bytes[b] for b in symbol.encode()] if own is None or own == self.unknown else [own]
+        ids, found = self.ids, []
+        for symbol in (chunk,) if len(chunk) == 1 else self.merge(chunk):
+            own = ids.get(symbol)
+            found += (own,) if own is not None else [self.bytes[b] for b in symbol.encode()]
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -189,39 +231,50 @@ def _whole(data: bytes) -> bool:
         return False
 
 
-class Coder:
-    """Encodes texts; remembers the ids, as 32-bit integers, and the decoded bytes of chunks, up to a bound."""
+class Memo(dict):
+    """Packed ids by chunk; what isn't there is encoded. Keeps to about twice MEMO chunks, so that frequent ones stay."""
 
     def __init__(self, model: Model):
+        super().__init__()
         self.model = model
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-
-    def value(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = self.model.encode_chunk(chunk)
-        return np.array(ids, "<u4").tobytes(), self.model.decode(ids, start=False).encode()
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids without begin and end, and their text in UTF-8 with the prefix's space."""
-        chunks = self.model.cut(self.model.normal(text))
-        known = self.known
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            if len(known) > MEMO:
-                self.old, self.known = known, {}
-                known = self.known
-            long: dict[str, tuple[bytes, bytes]] = {}
-            for c in set(chunks).difference(known):
-                (known if len(c) <= LONG else long)[c] = self.old.get(c) or self.value(c)
-            found = [known.get(c) or long[c] for c in chunks]
-        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (found := self.old.get(chunk)) is None:
+            found = b"".join(map(self.model.packed.__getitem__, self.model.encode_chunk(chunk)))
+        if len(chunk) <= LONG:
+            self[chunk] = found
+        return found
+
+    def rest(self) -> None:
+        """Between texts: set the memo aside when it is full."""
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
 
     def forget(self) -> None:
-        self.known, self.old = {}, {}
+        self.clear()
+        self.old = {}
         release()
 
 
+class Coder:
+    """Encodes texts and decodes what it has encoded; remembers the ids of chunks."""
+
+    def __init__(self, model: Model):
+        self.model, self.memo = model, Memo(model)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of 32 bits each, without begin and end."""
+        self.memo.rest()
+        return b"".join(map(self.memo.__getitem__, self.model.cut(self.model.normal(text))))
+
+    def decode(self, ids: bytes) -> bytes:
+        """The text, in UTF-8, of ids that encode() gave; their bytes make whole characters."""
+        text = b"".join(map(self.model.text.__getitem__, memoryview(ids).cast("I")))
+        return text[1:] if self.model.prefix and text.startswith(b" ") else text
+
+
 _CODERS: dict[int, Coder] = {}
 
 
@@ -264,15 +317,14 @@ def with_pieces(docs: DataFrame, path: str, begin: bool = True, end: bool = True
         for batch in slices(batches, hidden, 1 << 20):
             rows = []
             for text in _strings(batch, hidden):
-                ids, decoded = coder.encode(text)
+                ids = coder.encode(text)
+                decoded = coder.decode(ids)
                 ids = first + ids + last
-                if m.prefix and decoded.startswith(b" "):
-                    decoded = decoded[1:]
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digests else (np.frombuffer(ids, "<u4").astype(np.int32), decoded.decode()))
             names = [n for n in batch.schema.names if n != hidden]
             new = [pa.array([r[k] for r in rows], a[1]) for k, a in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], [*names, *[a[0] for a in added]])
-        coder.forget()
+        coder.memo.forget()
 
     schema = ", ".join([*[f"`{n}` {t}" for n, t in docs.dtypes], *[f"{a[0]} {a[2]}" for a in added]])
     return docs.withColumn(hidden, F.col("text").cast("binary")).mapInArrow(run, schema)

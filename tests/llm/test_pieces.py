@@ -41,9 +41,11 @@ def test_encode(library, model):
     coder = pieces.Coder(model)
     for t, want in zip(texts, library.encode(texts, num_threads=1), strict=True):
         assert model.encode(t) == want, t
-        assert np.frombuffer(coder.encode(t)[0], "<u4").tolist() == want
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == want
         assert model.merge(model.normal(t)) == [s for c in model.cut(model.normal(t)) for s in model.merge(c)]
-        assert model.decode(want) == library.decode(want)
+        assert model.decode(want) == library.decode(want) == coder.decode(coder.encode(t)).decode()
+        short = model.normal(t)[:300]
+        assert model._merge_short(short) == model._merge_long(short)
 
 
 def test_decode(library, model):
@@ -58,7 +60,7 @@ def test_memo(model, monkeypatch):
     coder = pieces.Coder(model)
     for k in range(40):
         t = f"one two{k % 7} three{k % 5} four"
-        assert np.frombuffer(coder.encode(t)[0], "<u4").tolist() == model.encode(t)
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == model.encode(t)
 
 
 def test_frames(spark, library):
