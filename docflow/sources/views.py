@@ -206,6 +206,78 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+def _text(c: str) -> str:
+    return f"CAST({c} AS VARCHAR(20))"
+
+
+def _money(cents: str, thousands: bool = False) -> str:
+    """Cents as d.dd, or as d,ddd.dd."""
+    whole, rest = f"CAST(floor(({cents}) / 100) AS BIGINT)", f"lpad({_text(f'({cents}) % 100')}, 2, '0')"
+    if thousands:
+        return f"{_text(f'CAST(floor(({cents}) / 100000) AS BIGINT)')} || ',' || lpad({_text(f'{whole} % 1000')}, 3, '0') || '.' || {rest}"
+    return f"{_text(whole)} || '.' || {rest}"
+
+
+def _letter(*parts: str) -> str:
+    return " || ".join(parts)
+
+
+_BREAK, _COUNT, _CENTS = "chr(10)", "(100 + o_custkey % 300)", "(1001 + (o_orderkey * 7919 + o_custkey * 31) % 8999)"
+_SUM = f"{_COUNT} * {_CENTS}"
+_CODE, _TARIFF = "'ZX-' || CAST(o_custkey % 900 + 100 AS VARCHAR(20))", "CAST(73260000 + o_custkey % 9000 AS VARCHAR(20))"
+_A, _B, _Q, _P, _PLAIN, _GROUPED = f"{_CODE} || '-A'", f"{_CODE} || '-B'", _text(_COUNT), _money(_CENTS), _money(_SUM), _money(_SUM, True)
+_MORE = _money(f"({_SUM} + CAST(floor({_SUM} / 10) AS BIGINT))", True)
+_ITEM = _letter(_A, "' '", _Q, "' PCS '", _P, "' '", _PLAIN)
+_WEIGHED = {x: _letter(x, "' '", _Q, "' KGS '", _P) for x in (_A, _B)}
+_REMARKS = f"{_BREAK} || 'first remark' || {_BREAK} || 'second remark' || {_BREAK} || 'third remark' || {_BREAK}"
+#: Letters of each kind: the ways in which an invoice gives an item's count, price and amount.
+_INVOICE_KINDS = (
+    _ITEM, _WEIGHED[_A], _letter(_A, "' oak panel '", _Q, "' '", _P, "' '", _GROUPED), _letter(_A, "' '", _GROUPED, _BREAK, _Q), _letter(_A, "' '", _Q, "' '", _GROUPED), _letter(_A, "' '", _Q, _BREAK, "'at '", _P, "' each'"),
+    _letter(_A, "' 1200x600x750 '", _Q), _letter(_A, "' costs '", _P, "' makes '", _GROUPED), _letter(_Q, "' '", _GROUPED, _BREAK, _A), _letter(_A, _BREAK, "'sturdy oak desk'", _BREAK, _Q, "' '", _P, _BREAK, _GROUPED),
+    _letter(_WEIGHED[_A], _REMARKS, _GROUPED), _letter(_ITEM, _BREAK, "'goods hs '", _TARIFF), _letter(_ITEM, _BREAK, _B, _BREAK, "'at '", _P, "' each'"), _letter(_A, _BREAK, "'priced '", _P, _BREAK, _GROUPED),
+    _letter(_ITEM, _BREAK, _B, _BREAK, "'sum '", _GROUPED), _letter(_WEIGHED[_A], _BREAK, _WEIGHED[_B], _REMARKS, _MORE, _BREAK, _GROUPED),
+)
+_WEIGHT, _KILO = "(100 + o_custkey % 899)", "(100 + (o_orderkey * 31 + o_custkey) % 900)"
+_PAID = f"{_WEIGHT} * {_KILO}"
+_W, _K, _USD = _text(_WEIGHT), _money(_KILO), f"'USD' || {_money(_PAID)}"
+_GOODS_KINDS = (
+    _letter("'rubber rolls '", _W, "' KGS '", _USD), _letter("'net '", _W, "' KGS'", _BREAK, "'nylon '", _USD), _letter("'cotton '", _W, "' KGS at '", _K, "' USD/kg '", _USD),
+    _letter("'CORD '", _W, "' KGS '", _USD, _BREAK, "'again '", _W, "' KGS USD'", _money(f"({_PAID} + 50)")), _letter("'list of goods'", _BREAK, "'SYNTHETIC RUBBER'", _BREAK, _W, "' KGS '", _USD), _letter("'16231000'", _W, "' INE Sugar refined 250 1.234,50'"),
+)
+
+
+def _kinds(kinds: tuple[str, ...], last: str = "") -> str:
+    return f"(CASE o_orderkey % {len(kinds)} {' '.join(f'WHEN {k} THEN {t}' for k, t in enumerate(kinds))} END){last}"
+
+
+_LONG = "lpad(CAST(1 + o_custkey % 99 AS VARCHAR(20)), 2, '0') || lpad(CAST(o_orderkey * 37 % 1000000 AS VARCHAR(20)), 6, '0')"
+_SHORT = "lpad(CAST(1 + o_orderkey % 97 AS VARCHAR(20)), 2, '0') || lpad(CAST(o_orderkey % 10000 AS VARCHAR(20)), 4, '0')"
+_MAKER = "'STEEL WORKS Q' || chr(65 + CAST(o_orderkey % 26 AS INTEGER)) || ' LIMITED'"
+_TAKER = "'PT Maju ' || CAST(o_custkey AS VARCHAR(20))"
+_BILL_KINDS = (
+    _letter(_MAKER, _BREAK, "'Consignee'", _BREAK, _TAKER, _BREAK, "'end'"),
+    _letter("'Shipper'", _BREAK, _MAKER, _BREAK, "'Old road 5 Korea'", _BREAK, "'repeated line of words Consignee: '", _TAKER, _BREAK, "'end'"),
+    _letter(_MAKER, _BREAK, "repeat('filler line' || chr(10), 60)", "'NON-NEGOTIABLE'", _BREAK, _TAKER, _BREAK, "'end'"),
+    _letter("'Consignee nobody here'", _BREAK, _MAKER, "' 12 Seoul Korea'"),
+)
+_LABELS = ("seller_name", "seller_address", "shipper_name", "shipper_address", "bl_number", "total_net_weight", "vessel_name", "invoice_number", "strange")
+VIEWS |= {
+    "v_invoices": ("orders", {"doc_id": "o_orderkey", "kind": "o_orderkey % 16", "count": _COUNT, "price": _P, "plain": _PLAIN, "amount": _GROUPED, "more": _MORE, "code": _CODE, "tariff": _TARIFF, "text": _kinds(_INVOICE_KINDS, f" || {_BREAK} || 'end of list'")}),
+    "v_goods_letters": ("orders", {"doc_id": "o_orderkey", "kind": "o_orderkey % 6", "weight": _WEIGHT, "price": _K, "plain": _money(_PAID), "text": _kinds(_GOODS_KINDS)}),
+    "v_bills": ("orders", {"doc_id": "o_orderkey", "kind": "o_orderkey % 4", "maker": _MAKER, "taker": _TAKER, "text": _kinds(_BILL_KINDS)}),
+    "v_header_values": (
+        "lineitem",
+        {
+            "doc_id": "l_orderkey",
+            "doc_type": "CASE l_suppkey % 3 WHEN 0 THEN 'CI' WHEN 1 THEN 'BL' ELSE 'PL' END",
+            "label": f"CASE l_partkey % {len(_LABELS)} {' '.join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_LABELS))} END",
+            "value": "CASE WHEN l_partkey % 7 = 0 THEN '' ELSE 'v' || CAST(l_partkey AS VARCHAR(20)) END",
+        },
+    ),
+    "v_tariff_letters": ("orders", {"doc_id": "o_orderkey", "long": _LONG, "short": _SHORT, "text": _letter("'Goods hs '", _LONG, "'.'", _BREAK, "repeat('word ', 60)", _SHORT, "' '", "repeat('word ', 12)", "'account 7326909'")}),
+}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = VIEWS[name]
     return load(spark, sf_dir, base).select(*[F.expr(e).alias(c) for c, e in columns.items()])
