@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import free, raw, release, slices, table
 
-MEMO = 40_000  # words after which a worker sets its memo aside; it keeps the last two, so that frequent words stay
 #: Fixed values of the byte-level vocabulary: its pre-token pattern, and the bytes that stand for themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -165,6 +164,8 @@ class Vocabulary:
 class Encoder:
     """Encodes batches of texts; remembers words up to a bound."""
 
+    MEMO = 200_000  # words after which a worker sets its memo aside; it keeps the last two, so that frequent words stay
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.find = regex.compile(PATTERN).findall
@@ -184,7 +185,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Add value() of the words that aren't known."""
-        if len(self.known) > MEMO:
+        if len(self.known) > self.MEMO:
             self.old, self.known = self.known, {}
         v, known, old = self.vocabulary, self.known, self.old
         fresh = words.difference(known)
@@ -212,6 +213,8 @@ class Encoder:
 class Counter(Encoder):
     """An encoder that remembers only the number of tokens of a word."""
 
+    MEMO = 40_000
+
     def value(self, ids: tuple[int, ...]) -> int:
         return len(ids)
 
