@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names (words with a capital) and units become typed placeholders; windows of the templates of the benchmark
+Numbers (in digits, with their separators, or in words), names (words with a capital, common given names, what follows a title) and units become typed placeholders; windows of the templates of the benchmark
 are joined with those of every document by hash. A bit filter of bounded size, built of the benchmark's hashes, goes to
 all tasks and keeps most windows that can't match out of the shuffle. Where a document has enough of an item's windows,
 the slots that the placeholders stand for are compared: the fillers of the item must map to those of the document one to one.
@@ -29,32 +29,61 @@ PROBES = 4  # bits of a window in the filter
 SMALL = 100_000  # windows of the benchmark that may be broadcast
 #: Words that are units after a number.
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "years", "percent", "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "meters", "metres", "litres", "liters", "usd", "eur")
+#: Words of numbers, titles before a name, and common given names that are no other words.
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half quarter".split()
+TITLES = "mr mrs ms miss dr doctor prof professor sir madam uncle aunt captain".split()
+NAMES = (
+    "james john robert michael david william richard joseph thomas charles christopher daniel matthew anthony donald steven paul andrew joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan "
+    "stephen larry justin scott brandon benjamin samuel gregory alexander patrick tom bob bill jim joe ben sam tim mike dave mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty margaret sandra ashley kimberly "
+    "emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen sharon cynthia kathleen amy angela anna emma alice julia jane maria sophia olivia kate lucy peter"
+).split()
 _TYPES = mix(np.arange(1, 4, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))  # number, name, unit
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
+def _hashes_of(listed) -> np.ndarray:
+    data = np.frombuffer(" ".join(listed).encode(), np.uint8)
     return np.sort(hashes(data, words(data, np.array([0, len(data)]), PUNCTUATION)))
 
 
+_UNITS, _NUMBERS, _TITLES, _NAMES = (_hashes_of(x) for x in (UNITS, NUMBERS, TITLES, NAMES))
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _joined(data: np.ndarray, offsets: np.ndarray, w: Words, spelled: np.ndarray, digits: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The words with numbers in one piece: digits that a comma or point joins, and words of a number that a blank or hyphen joins; and which are spelled."""
+    if len(w.start) < 2:
+        return w, spelled
+    gap = data[np.minimum(w.end[:-1], len(data) - 1)]
+    beside = (w.start[1:] == w.end[:-1] + 1) & (w.doc[1:] == w.doc[:-1])
+    whole = digits == w.end - w.start
+    both = lambda x: x[1:] & x[:-1]
+    join = beside & ((both(whole) & ((gap == 44) | (gap == 46))) | (both(spelled) & ((gap == 32) | (gap == 45))))
+    first, final = np.concatenate([[True], ~join]), np.concatenate([~join, [True]])
+    start = w.start[first]
+    return Words(start, w.end[final], w.doc[first], np.searchsorted(start, offsets, "left")), spelled[first]
+
+
 class Canonical:
     """Words of many texts with the hash of each in lower case, and the slot type (0 none) of each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.low = data, fold(data)
-        self.words: Words = words(data, offsets, PUNCTUATION)
+        w = words(data, offsets, PUNCTUATION)
+        digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+        self.words, spelled = _joined(data, offsets, w, _among(hashes(self.low, w), _NUMBERS), digit[w.end] - digit[w.start])
         w = self.words
         self.plain = hashes(self.low, w)
-        digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-        number = digit[w.end] > digit[w.start]
+        number = (digit[w.end] > digit[w.start]) | spelled
         name = (self.low != data)[w.start] if len(w.start) else number
         if len(w.start):
             second = np.minimum(w.start + 1, len(data) - 1)
             name = name | ((data[w.start] == 0xC3) & (self.low != data)[second])
-        units = _unit_hashes()
-        at = np.minimum(np.searchsorted(units, self.plain), len(units) - 1)
-        after = np.concatenate([[False], number[:-1]]) if len(number) else number
-        unit = (units[at] == self.plain) & after
+        follows = lambda x: np.concatenate([[False], x[:-1] & (w.doc[1:] == w.doc[:-1])]) if len(x) else x
+        name = name | _among(self.plain, _NAMES) | follows(_among(self.plain, _TITLES))
+        unit = _among(self.plain, _UNITS) & follows(number)
         self.slot = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0)))
         self.template = np.where(self.slot > 0, _TYPES[np.maximum(self.slot, 1) - 1], self.plain)
         self.cased = np.where(self.slot == 2, self.plain, self.template)
