@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import extraction as X
+from ..operators import pages as G
 from ..sources.views import sql, view
 from .registry import query
 
@@ -74,10 +75,26 @@ def header_fallback(spark, d) -> DataFrame:
     return X.header_fields(view(spark, d, "v_letters"))
 
 
-@query()
+@query(
+    f"""{sql("v_spans")}, w AS (SELECT page_id, unnest([3, 4]) AS pos FROM v_spans WHERE kind < 2 UNION ALL SELECT page_id, 6 FROM v_spans UNION ALL SELECT page_id, 8 FROM v_spans WHERE kind = 0)
+ SELECT page_id, CAST(pos AS BIGINT) AS pos, CASE pos WHEN 3 THEN 'B-vessel_name' WHEN 4 THEN 'I-vessel_name' WHEN 6 THEN 'B-port_of_loading' ELSE 'O' END AS label FROM w"""
+)
 def span_labels(spark, d) -> DataFrame:
-    letters = view(spark, d, "v_letters").withColumn("words", F.split("text", r"\s+"))
-    sought = {"vessel_name": ("Ever  Given", "EVER GIVENS"), "port_of_loading": ("NINGBO, CHINA",), "buyer_name": ("PT Maju Jaya", "PT SINAR ABADY"), "remark": ("Made in",)}
-    pages = [letters.select(F.col("id").cast("bigint").alias("page_id"), F.lit(e).alias("entity"), F.lit(k).cast("bigint").alias("rank"), "words", F.lit(list(v)).alias("values")) for k, (e, v) in enumerate(sought.items())]
-    every = pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
-    return X.span_labels(X.page_spans(every), ("vessel_name", "port_of_loading", "buyer_name"))
+    words = view(spark, d, "v_spans").select("page_id", F.split("text", " ").alias("words"))
+    sought = {"vessel_name": ("ever;  Given", None), "port_of_loading": ("Ningbo,",), "remark": ("finis", "zzz zzz")}
+    pages = [words.select("page_id", F.lit(e).alias("entity"), F.lit(k).cast("bigint").alias("rank"), "words", F.array(*[F.lit(x) for x in v]).cast("array<string>").alias("values")) for k, (e, v) in enumerate(sought.items())]
+    return X.span_labels(X.page_spans(pages[0].unionByName(pages[1]).unionByName(pages[2])), ("vessel_name", "port_of_loading"))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS k, CAST(o_custkey % 3 AS INTEGER) AS n FROM orders)
+ SELECT 'doc' || k AS stem, n AS page, CASE WHEN k % 4 < 3 THEN 'scans/' || CASE WHEN k % 4 = 1 THEN 'old_' ELSE '' END || 'doc' || k || '_p' || n || '.png' END AS image FROM p"""
+)
+def page_images(spark, d) -> DataFrame:
+    """The image of a page of each order; some have a name before the document's, some have a second image later, some none."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3).cast("int").alias("n"))
+    stem = F.concat(F.lit("doc"), F.col("k").cast("string"))
+    path = F.concat(F.lit("scans/"), F.when(F.col("k") % 4 == 1, "old_").otherwise(""), G.image_name(stem, F.col("n")))
+    images = o.where("k % 4 < 3").select(path.alias("image"), F.col("k").alias("ord"))
+    later = o.where("k % 4 = 2").select(F.concat(F.lit("again/x_"), G.image_name(stem, F.col("n"))).alias("image"), (F.col("k") + (1 << 40)).alias("ord"))
+    return G.with_images(o.select(stem.alias("stem"), F.col("n").alias("page")), images.unionByName(later))

@@ -264,6 +264,7 @@ _LABELS = ("seller_name", "seller_address", "shipper_name", "shipper_address", "
 VIEWS |= {
     "v_invoices": ("orders", {"doc_id": "o_orderkey", "kind": "o_orderkey % 16", "count": _COUNT, "price": _P, "plain": _PLAIN, "amount": _GROUPED, "more": _MORE, "code": _CODE, "tariff": _TARIFF, "text": _kinds(_INVOICE_KINDS, f" || {_BREAK} || 'end of list'")}),
     "v_goods_letters": ("orders", {"doc_id": "o_orderkey", "kind": "o_orderkey % 6", "weight": _WEIGHT, "price": _K, "plain": _money(_PAID), "text": _kinds(_GOODS_KINDS)}),
+    "v_spans": ("orders", {"page_id": "o_orderkey", "kind": "o_orderkey % 3", "text": "'ref ' || CAST(o_custkey AS VARCHAR(20)) || ' vessel ' || CASE o_orderkey % 3 WHEN 0 THEN 'EVER GIVEN' WHEN 1 THEN 'EVER GIVN' ELSE 'SHIP ONE' END || ' from NINGBO on ' || CASE o_orderkey % 3 WHEN 0 THEN 'FINIS' ELSE 'end' END"}),
     "v_bills": ("orders", {"doc_id": "o_orderkey", "kind": "o_orderkey % 4", "maker": _MAKER, "taker": _TAKER, "text": _kinds(_BILL_KINDS)}),
     "v_header_values": (
         "lineitem",
