@@ -89,7 +89,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             for lang, found in by.items():
                 total[lang] = merged([*found, *([total[lang]] if lang in total else [])])
         for lang, (values, counts) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
     rows = labelled.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, gram bigint, n bigint")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))

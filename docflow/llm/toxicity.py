@@ -136,16 +136,17 @@ def _votes(rows: list[tuple[int, list[int], list[int]]], entries: list[str]) ->
     return v, names
 
 
-def _expect(votes: np.ndarray, blocks: list[list[int]], post: np.ndarray, prior: float, rounds: int) -> np.ndarray:
-    """Posterior after expectation maximisation over P(votes of a block | label): blocks are independent given the label, voters of one block are not."""
+def _expect(votes: np.ndarray, blocks: list[list[int]], post: np.ndarray, prior: float, rounds: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Posterior after expectation maximisation over P(votes of a block | label): blocks are independent given the label, voters of one block are not. weights: how much the evidence of each block counts."""
+    weights = np.ones(len(blocks)) if weights is None else weights
     codes = [np.unique(votes[:, b], axis=0, return_inverse=True)[1].ravel() for b in blocks]
     for _ in range(rounds):
         odds = np.full(len(post), np.log(prior / (1 - prior)))
-        for code in codes:
+        for code, weight in zip(codes, weights, strict=True):
             kinds = int(code.max()) + 1
             p1 = (np.bincount(code, post, kinds) + 0.1) / (post.sum() + 0.1 * kinds)
             p0 = (np.bincount(code, 1 - post, kinds) + 0.1) / ((1 - post).sum() + 0.1 * kinds)
-            odds += np.log(p1 / p0)[code]
+            odds += weight * np.log(p1 / p0)[code]
         post = 1 / (1 + np.exp(-odds.clip(-30, 30)))
     return post
 
@@ -176,13 +177,17 @@ def blocks_of(corr: np.ndarray) -> list[list[int]]:
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the label for each text, accuracy of each voter, and the voters' correlations given the label.
 
-    A first model takes voters as independent given the label. What its labels leave unexplained shows which voters move
-    together; those are modelled jointly, so that their agreement counts once.
+    A first model takes each voter by itself, but voters that say the same count for less, as one voter copied would else be
+    taken for the truth. What its labels leave unexplained shows which voters move together; those are modelled jointly, so that their
+    agreement counts once.
     """
     prior = min(max(prior, 0.01), 0.5)
-    score = votes.clip(0).sum(1) * 1.5 + votes.clip(max=0).sum(1)
+    own = votes - votes.mean(0)
+    own = own / (np.sqrt((own**2).mean(0)) + 1e-6)
+    alone = 1 / np.maximum(((own.T @ own / len(votes)) ** 2).sum(0), 1)  # the share of its evidence that a voter doesn't have in common
+    score = votes.clip(0) @ alone * 1.5 + votes.clip(max=0) @ alone
     post = 1 / (1 + np.exp(-(score + np.log(prior / (1 - prior)))))
-    post = _expect(votes, [[k] for k in range(votes.shape[1])], post, prior, rounds)
+    post = _expect(votes, [[k] for k in range(votes.shape[1])], post, prior, rounds, alone)
     corr = correlations(votes, post)
     post = _expect(votes, blocks_of(corr), post, prior, rounds)
     said = votes != 0
