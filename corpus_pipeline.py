@@ -2,7 +2,8 @@
 
 Toxic documents go, one document of each group of near duplicates stays, documents that hold benchmark items go,
 personal data becomes placeholders, and what is left is encoded. Every stage but the last returns the columns of
-documents.
+documents and drops others. Null and empty texts and null ids are never toxic, near duplicates or contaminated, so their rows
+stay; equal rows and rows that share an id stay or go together; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each class of similar documents."""
+    """Keep the document of the least id of each class of similar documents; rows that share an id are one document."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     return _without(docs, jaccard.similar(docs).where("class_id <> doc_id"))

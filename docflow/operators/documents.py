@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.values import filled, hs_formatted, let, number
+from .stored import folded
 
 def best(candidates: DataFrame, *keys: str) -> DataFrame:
     """The candidate of the highest confidence for each key; the first of equals."""
@@ -134,16 +135,20 @@ def sessions(words: DataFrame, gap: float = 5.0) -> DataFrame:
     return words.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
 
 
-def anchored(words: DataFrame, reach: float = 10.0) -> DataFrame:
-    """Groups of consecutive words no farther than reach from the first of their group; one fold over each document's words."""
-    rows = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "y1"))).alias("ws"))
+def anchored(words: DataFrame, reach: float = 10.0, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, pos, grp): groups of consecutive words of each key (a document, or also its pages and labels) no farther than reach from the first of their group; one walk over a key's words."""
+    kinds = dict(words.dtypes)
+    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "y1"))).alias("ws"))
 
-    def step(state: Column, x: Column) -> Column:
-        fresh = state["at"].isNull() | (F.abs(x["y1"] - state["at"]) > reach)
-        return F.struct(F.when(fresh, x["y1"]).otherwise(state["at"]).alias("at"), (state["n"] + fresh.cast("int")).alias("n"), F.concat(state["out"], F.array(F.struct(x["pos"].alias("pos"), (state["n"] + fresh.cast("int")).alias("grp")))).alias("out"))
+    def walk(row: dict) -> list[dict]:
+        out, at, n = [], None, 0
+        for w in row["ws"]:
+            if at is None or abs(w["y1"] - at) > reach:
+                at, n = w["y1"], n + 1
+            out.append({**{k: row[k] for k in keys}, "pos": w["pos"], "grp": n})
+        return out
 
-    zero = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<pos:bigint,grp:int>>").alias("out"))
-    return rows.select("doc_id", F.inline(F.aggregate("ws", zero, step, lambda s: s["out"])))
+    return folded(rows, walk, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"pos {kinds['pos']}", "grp int"]))
 
 
 def token_windows(words: DataFrame, size: int, stride: int) -> DataFrame:
@@ -174,6 +179,45 @@ def bio_spans(tags: DataFrame, column: str, lenient: bool) -> DataFrame:
     return t.groupBy("seq_id", F.col("_n").alias("span"), F.col("_t").alias("type")).agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
 
 
+def predicted_entities(tokens: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(page_id, pos, label, value, confidence) of tokens (page_id, pos, word, text, label, confidence): the entities that predicted BIO labels spell.
+
+    Tokens without a word are left out, and a label less sure than threshold is O. A word counts by its first token, or, where that
+    starts or continues nothing, by its first B: an I continues an open entity of its type, starts one of another type, and is nothing where none
+    is open; O closes. An entity has the texts of its words, the place of the first and the greatest confidence.
+    """
+    sure = F.when(F.col("confidence") >= threshold, F.col("label")).otherwise("O")
+    own = F.struct("pos", sure.alias("label"), "confidence", "text")
+    begins = F.when(sure.startswith("B-"), own)
+    words = tokens.where("word is not null").groupBy("page_id", "word").agg(F.min(own).alias("first"), F.min(begins).alias("begin"))
+    kind = F.substring("first.label", 1, 1)
+    by_word = W.partitionBy("page_id").orderBy("word")
+    words = words.withColumn("kind", kind).withColumn("run", F.count_if(F.col("kind") == "O").over(by_word))
+    before = W.partitionBy("page_id", "run").orderBy("word").rowsBetween(W.unboundedPreceding, -1)
+    opened = F.coalesce(F.max((F.col("begin").isNotNull()).cast("int")).over(before), F.lit(0)) == 1
+    words = words.withColumn("taken", F.when((F.col("kind") == "I") & opened, F.col("first")).otherwise(F.col("begin"))).where("taken is not null")
+    words = words.withColumn("type", F.substring("taken.label", 3, 200))
+    new = F.col("taken.label").startswith("B-") | (F.col("type") != F.lag("type").over(by_word))
+    words = words.withColumn("n", F.count_if(F.coalesce(new, F.lit(True))).over(by_word))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", F.col("taken.text").alias("text")))), lambda w: w["text"]), " ")
+    spans = words.groupBy("page_id", "n", F.col("type").alias("label")).agg(F.min("taken.pos").alias("pos"), F.trim(texts).alias("value"), F.max("taken.confidence").alias("confidence"))
+    return spans.where("value <> ''").select("page_id", "pos", "label", "value", "confidence")
+
+
+def fused(own: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, bl_number, containers, items): a first reading of headers (id, bl_number, containers, n_items, confidence) filled from a second one.
+
+    An empty number is the second's, its containers are added where absent, its items are taken where they are more, or as many and the
+    first reading's confidence is under 0.5. Headers that only one reading has stay as they are.
+    """
+    named = lambda d, tag: d.select("id", F.struct("bl_number", "containers", "n_items", "confidence").alias(tag))
+    met = named(own, "a").join(named(second, "b"), "id", "full")
+    none = F.array().cast("array<string>")
+    more = (F.coalesce("b.n_items", F.lit(0)) > F.coalesce("a.n_items", F.lit(0))) | ((F.col("b.n_items") == F.col("a.n_items")) & (F.col("a.confidence") < 0.5))
+    taken = F.when(F.coalesce(more, F.lit(False)), "second").otherwise("own")
+    return met.select("id", F.coalesce(filled(F.col("a.bl_number")), filled(F.col("b.bl_number"))).alias("bl_number"), F.array_union(F.coalesce("a.containers", none), F.coalesce("b.containers", none)).alias("containers"), taken.alias("items"))
+
+
 def confusion(tags: DataFrame) -> DataFrame:
     """tp, fp, fn, precision, recall and F1 of each class of token-level tags, O left out."""
     hit = F.col("gold") == F.col("pred")

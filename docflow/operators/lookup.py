@@ -93,3 +93,9 @@ def tariff_by_prefix(df: DataFrame, code: Column, near_found: bool = False) -> D
     out = df.withColumn("_hs8", code).withColumn("_hs4", F.floor(F.col("_hs8") / 10000)).join(exact, "_hs8", "left").join(near, "_hs4", "left")
     pick = lambda k, d: F.coalesce(F.col("_exact")[k], F.col("_near")[k], F.lit(d)).alias(k)
     return out.select(*df.columns, *[pick(k, d) for k, d in zip(("bm", "ppn", "pph"), dims.TARIFF_DEFAULT, strict=True)], (F.col("_exact").isNotNull() | (F.lit(near_found) & F.col("_near").isNotNull())).alias("found"))
+
+
+def rate_rows(rated: DataFrame, certified: Column) -> DataFrame:
+    """Each row of rated (bm, pph, ppn, ...) as three, with kind and rate: import duty, income tax, VAT. Income tax is due only with a certificate."""
+    rates = F.array(*[F.struct(F.lit(k).alias("kind"), r.alias("rate")) for k, r in (("BM", F.col("bm")), ("PPH", F.when(certified, F.col("pph")).otherwise(0.0)), ("PPN", F.col("ppn")))])
+    return rated.select(*[c for c in rated.columns if c not in ("bm", "pph", "ppn")], F.inline(rates))

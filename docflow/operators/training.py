@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stored import folded
+
 
 def is_train(group: Column, share: float = 0.8) -> Column:
     """Whether a group of pages belongs to the training part: by a hash of its id, so that pages of one group stay together and no list is shuffled on the driver."""
@@ -25,10 +29,44 @@ def best_epochs(epochs: DataFrame, patience: int) -> DataFrame:
     return kept.groupBy("run").agg(F.coalesce(best["f1"], F.lit(0.0)).alias("best"), best["epoch"].alias("best_epoch"), F.max("epoch").alias("last_epoch"))
 
 
-def distinct_within(values: Column, reach: float) -> Column:
-    """The values of an array in order, without those nearer than reach to one kept before."""
-    near = lambda kept, v: F.exists(kept, lambda s: F.abs(s - v) < reach)
-    return F.aggregate(values, F.array().cast("array<double>"), lambda kept, v: F.when(near(kept, v), kept).otherwise(F.concat(kept, F.array(v))))
+def distinct_within(rows: DataFrame, reach: float) -> DataFrame:
+    """(doc_id, kept) of rows (doc_id, values): the values of each array in order, without those nearer than reach to one kept before. A value is held against those of its own and the next buckets only."""
+
+    def walk(row: dict) -> list[dict]:
+        kept: list[float] = []
+        near: dict[int, list[float]] = {}
+        for v in row["values"]:
+            at = floor(v / reach)
+            if not any(abs(v - s) < reach for k in (at - 1, at, at + 1) for s in near.get(k, ())):
+                kept.append(v)
+                near.setdefault(at, []).append(v)
+        return [{"doc_id": row["doc_id"], "kept": kept}]
+
+    return folded(rows.select("doc_id", F.array_compact("values").alias("values")), walk, "doc_id bigint, kept array<double>")
+
+
+#: Fixed value: the label of a token that counts for no loss.
+NO_LABEL = -100
+
+
+def split_words(pages: DataFrame) -> DataFrame:
+    """pages (text, bboxes, labels, width, height, ...) with words cut at blanks: each part has its word's label and its box, scaled to 0..1000 of the page; blank words go."""
+    scale = lambda b, k, size: F.greatest(F.lit(0), F.least(F.lit(1000), F.floor(F.get(b, F.lit(k)) / F.when(F.col(size) != 0, F.col(size)).otherwise(1) * 1000).cast("int")))
+    box = lambda b: F.array(scale(b, 0, "width"), scale(b, 1, "height"), scale(b, 2, "width"), scale(b, 3, "height"))
+    words = F.filter(F.arrays_zip("text", "bboxes", "labels"), lambda w: w["text"].isNotNull() & w["bboxes"].isNotNull() & w["labels"].isNotNull())
+    parts = F.flatten(F.transform(words, lambda w: F.transform(F.filter(F.split(w["text"], r"\s+"), lambda t: t != ""), lambda t: F.struct(t.alias("text"), box(w["bboxes"]).alias("box"), F.greatest(w["labels"], F.lit(0)).alias("label")))))
+    out = pages.withColumn("_parts", parts)
+    return out.withColumns({"text": F.transform("_parts", lambda p: p["text"]), "bboxes": F.transform("_parts", lambda p: p["box"]), "labels": F.transform("_parts", lambda p: p["label"])}).drop("_parts")
+
+
+def token_labels(word_ids: Column, labels: Column) -> Column:
+    """The label of each token's word; NO_LABEL for tokens without one and for words beyond the labels."""
+    return F.transform(word_ids, lambda w: F.coalesce(F.when(w >= 0, F.get(labels, w.cast("int"))), F.lit(NO_LABEL).cast("bigint")))
+
+
+def with_labels(pages: DataFrame) -> DataFrame:
+    """The pages on which some word has a label but O."""
+    return pages.where(F.coalesce(F.exists("labels", lambda x: x != 0), F.lit(False)))
 
 
 def tolerant_json(text: Column) -> Column:

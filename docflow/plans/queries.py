@@ -425,10 +425,16 @@ def dataset_summary(spark, d) -> DataFrame:
 # rows of declaration sheets ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_T} SELECT hs8, kind, rate FROM (SELECT hs8, unnest(['BM', 'PPH', 'PPN']) AS kind, unnest([bm, pph, ppn]) AS rate FROM t)")
+@query(
+    f"""WITH {_T}, near AS (SELECT hs4, arg_min(bm, ord) AS bm, arg_min(ppn, ord) AS ppn, arg_min(pph, ord) AS pph FROM t GROUP BY hs4), c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CODE} AS code FROM lineitem),
+ r AS (SELECT c.*, coalesce(t.bm, near.bm, 0) AS bm, coalesce(t.ppn, near.ppn, 12) AS ppn, coalesce(t.pph, near.pph, 2.5) AS pph FROM c LEFT JOIN t ON t.hs8 = code LEFT JOIN near ON near.hs4 = code // 10000)
+ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['BM', 'PPH', 'PPN']) AS kind, unnest([bm, CASE WHEN l_suppkey % 2 = 0 THEN pph ELSE 0 END, ppn]) AS rate FROM r"""
+)
 def rates_unpivot(spark, d) -> DataFrame:
-    rows = spark.createDataFrame(dims.tariff_rows(), "hs8 bigint, hs4 bigint, bm double, ppn double, pph double, ord int")
-    return rows.select("hs8", F.expr("stack(3, 'BM', bm, 'PPH', pph, 'PPN', ppn) AS (kind, rate)"))
+    """The rates of each goods row as rows; without a certificate its income tax is 0."""
+    goods = load(spark, d, "lineitem")
+    rated = lookup.tariff_by_prefix(goods.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.expr(_CODE))
+    return lookup.rate_rows(rated, F.col("l_suppkey") % 2 == 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", "rate")
 
 
 _PARTY = """SELECT o_orderkey AS id, 'Seller ' || o_custkey % 7 AS seller, CASE WHEN o_custkey % 9 = 0 THEN '' ELSE ' Buyer ' || o_custkey % 5 END AS buyer, CASE WHEN o_custkey % 3 = 0 THEN 'Seller ' || o_custkey % 7 ELSE 'Shipper ' || o_custkey END AS shipper,

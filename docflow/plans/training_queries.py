@@ -97,9 +97,8 @@ def first_seen(spark, d) -> DataFrame:
 )
 def tolerance_distinct(spark, d) -> DataFrame:
     l = F.array_sort(F.collect_list(F.struct("ord", ((F.col("partkey") % 20).cast("double") / 2).alias("v"))))  # noqa: E741
-    rows = view(spark, d, "v_items").groupBy("doc_id").agg(l.alias("l"))
-    kept = training.distinct_within(F.transform("l", lambda x: x["v"]), 1.0)
-    return rows.select("doc_id", F.array_join(kept.cast("array<string>"), ",").alias("kept"))
+    rows = view(spark, d, "v_items").groupBy("doc_id").agg(F.transform(l, lambda x: x["v"]).alias("values"))
+    return training.distinct_within(rows, 1.0).select("doc_id", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
 
 @query(f"{ITEM}, w AS (SELECT item_code, list_reverse(list_sort(list(DISTINCT CAST(gross AS INT)))) AS v FROM v_items GROUP BY item_code) SELECT item_code, v[1] AS gross, v[2] AS net FROM w")
@@ -142,12 +141,15 @@ def entity_report(spark, d) -> DataFrame:
     return top.withColumn("bar", 30 + F.col("n") / F.max("n").over(W.partitionBy(F.lit(1))) * 70)  # 20 rows at most
 
 
-@query(f"{HEAD} SELECT custkey % 50 AS k, label, count(*) AS n, min(value) AS first FROM (SELECT custkey, unnest(['vessel', 'seller', 'buyer']) AS label, unnest([vessel_name, seller_name, buyer_name]) AS value FROM v_headers) WHERE value <> '' GROUP BY custkey % 50, label")
+_LONG = ("invoice_number", "bl_number", "currency", "incoterms", "port_of_loading", "port_of_discharge", "vessel_name", "voyage_number", "seller_name", "buyer_name", "shipper_name", "consignee_name")
+
+
+@query(f"{HEAD} SELECT custkey % 50 AS k, label, list_sort(list(trim(value))) AS texts FROM (SELECT custkey, unnest([{', '.join(map(repr, _LONG))}]) AS label, unnest([{', '.join(_LONG)}]) AS value FROM v_headers) WHERE trim(value) <> '' GROUP BY custkey % 50, label")
 def entities_long(spark, d) -> DataFrame:
-    """Header columns as rows, grouped to lists by label; a list's size and first value."""
-    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.col(c).alias("value")) for n, c in (("vessel", "vessel_name"), ("seller", "seller_name"), ("buyer", "buyer_name"))])
+    """Header columns as rows, and these grouped to the list of all values by label."""
+    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.trim(n).alias("value")) for n in _LONG])
     long = view(spark, d, "v_headers").select((F.col("custkey") % 50).alias("k"), F.inline(rows)).where("value <> ''")
-    return long.groupBy("k", "label").agg(F.count("*").alias("n"), F.min("value").alias("first"))
+    return long.groupBy("k", "label").agg(F.sort_array(F.collect_list("value")).alias("texts"))
 
 
 _ANSWER = "CASE id % 5 WHEN 0 THEN '{\"a\": ' || custkey || '}' WHEN 1 THEN 'Here: ```json {\"b\": ' || custkey || '} ``` done' WHEN 2 THEN 'so {\"a\": ' || custkey || '} ok' WHEN 3 THEN 'none' ELSE '{broken' END"
@@ -178,10 +180,17 @@ def derived_numbers(spark, d) -> DataFrame:
     return rows.select("doc_id", "ord", training.fallback_confidence(q, p, a).alias("confidence"), F.coalesce(a, q * p).alias("amount"), F.coalesce(q, F.bround(a / p, 0)).alias("quantity"))
 
 
-@query(f"{HEAD} SELECT id, coalesce(bl_number, 'V-' || id) AS bl_number, CASE WHEN containers = '' THEN 'TCLU1112223' WHEN contains(containers, 'TCLU1112223') THEN containers ELSE containers || '|TCLU1112223' END AS containers, CASE WHEN custkey % 4 > id % 4 OR (custkey % 4 = id % 4 AND confidence < 0.5) THEN 'vision' ELSE 'own' END AS items FROM v_headers")
+_SECOND = "SELECT l_orderkey AS id, 'V-' || min(l_partkey) AS bl_number, list_sort(list(DISTINCT 'TCLU' || CAST(1112200 + l_suppkey % 40 AS VARCHAR))) AS containers, count(*) AS n_items FROM lineitem GROUP BY l_orderkey"
+
+
+@query(
+    f"""{HEAD}, a AS (SELECT id, nullif(bl_number, '') AS bl_number, list_filter(string_split(containers, '|'), lambda x: x <> '') AS containers, CAST(custkey % 7 AS BIGINT) AS n_items, confidence FROM v_headers), b AS ({_SECOND})
+ SELECT id, coalesce(a.bl_number, b.bl_number) AS bl_number, list_concat(coalesce(a.containers, []), list_filter(coalesce(b.containers, []), lambda x: NOT list_contains(coalesce(a.containers, []), x))) AS containers,
+ CASE WHEN coalesce(b.n_items, 0) > coalesce(a.n_items, 0) OR (b.n_items = a.n_items AND a.confidence < 0.5) THEN 'second' ELSE 'own' END AS items FROM a FULL JOIN b USING (id)"""
+)
 def vision_fusion(spark, d) -> DataFrame:
-    """Nulls filled from a second reading, its containers appended where absent, its items taken where they are more, or as many and surer (0.5)."""
-    own = F.filter(F.split("containers", r"\|"), lambda x: x != "")
-    theirs, ours = F.col("custkey") % 4, F.col("id") % 4
-    taken = (theirs > ours) | ((theirs == ours) & (F.col("confidence") < 0.5))
-    return view(spark, d, "v_headers").select("id", F.coalesce("bl_number", F.concat(F.lit("V-"), F.col("id").cast("string"))).alias("bl_number"), F.array_join(F.array_union(own, F.array(F.lit("TCLU1112223"))), "|").alias("containers"), F.when(taken, "vision").otherwise("own").alias("items"))
+    """Headers of orders filled from what their items say."""
+    own = view(spark, d, "v_headers").select("id", "bl_number", F.filter(F.split("containers", r"\|"), lambda x: x != "").alias("containers"), (F.col("custkey") % 7).cast("bigint").alias("n_items"), "confidence")
+    box = F.concat(F.lit("TCLU"), (F.lit(1112200) + F.col("l_suppkey") % 40).cast("string"))
+    second = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit("V-"), F.min("l_partkey").cast("string")).alias("bl_number"), F.sort_array(F.collect_set(box)).alias("containers"), F.count("*").alias("n_items"), F.lit(None).cast("double").alias("confidence"))
+    return documents.fused(own, second)
