@@ -65,23 +65,37 @@ def reconciled_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id").agg(*[total(c).alias(f"sum_{c}") for c in ("quantity", "amount", "net", "gross")], F.count("*").alias("n_items"))
 
 
+def reconciled_header(headers: DataFrame, sums: DataFrame) -> DataFrame:
+    """(doc_id, total_quantity, note) of headers (doc_id, total_quantity) and sums of their items (doc_id, sum_quantity).
+
+    A total that is missing, unreadable or more than a quarter of the sum away from it becomes the whole part of the sum, the last with a note; without
+    a positive sum it stays.
+    """
+    met = headers.join(sums.select("doc_id", "sum_quantity"), "doc_id", "left")
+    total, sum_ = F.replace("total_quantity", F.lit(","), F.lit("")).try_cast("double"), F.col("sum_quantity")
+    off = F.abs(total - sum_) > 0.25 * sum_
+    new = F.floor(sum_).cast("bigint").cast("string")
+    whole = lambda c: F.format_string("%.0f", F.bround(c, 0))
+    note = F.concat(F.lit("total "), whole(total), F.lit(" against items "), whole(sum_), F.lit(", difference "), whole(F.abs(total - sum_)))
+    given = filled(F.col("total_quantity"))
+    value = F.when(~F.coalesce(sum_ > 0, F.lit(False)), F.col("total_quantity")).when(given.isNull() | total.isNull() | off, new).otherwise(F.col("total_quantity"))
+    return met.select("doc_id", value.alias("total_quantity"), F.when((sum_ > 0) & off & given.isNotNull(), note).alias("note"))
+
+
 SCORED = ("item_code", "quantity", "price", "amount", "hs_code", "net", "gross", "dimensions")  # fields that count for the score
 
 
 def price_check(items: DataFrame) -> DataFrame:
     """Add ratio, flag and confidence: how far amount is from quantity times price, and a score of filled fields moved by that."""
-    numbers = F.struct(*[number(F.col(c)).alias(c[0]) for c in ("quantity", "price", "amount")])
-    ready = lambda n: (n["q"] > 0) & (n["p"] > 0) & (n["a"] > 0)
-    ratio = let(numbers, lambda n: F.when(ready(n), F.abs(n["a"] - n["q"] * n["p"]) / (n["q"] * n["p"])))
+    q, p, a = F.col("_q"), F.col("_p"), F.col("_a")
+    rows = items.withColumns({f"_{c[0]}": number(F.col(c)) for c in ("quantity", "price", "amount")})
+    rows = rows.withColumn("_ratio", F.when((q > 0) & (p > 0) & (a > 0), F.abs(a - q * p) / (q * p)))
     held = sum((F.when(filled(F.col(c)).isNotNull(), 1).otherwise(0) for c in SCORED), F.lit(0))
-
-    def judged(r: Column) -> Column:
-        flag = F.when(r <= 0.05, "valid").when(r <= 0.20, "warning").when(r.isNotNull(), "critical").otherwise("none")
-        score = 0.4 + 0.07 * held
-        moved = F.when(r <= 0.05, F.least(score * 1.15, F.lit(1.0))).when(r <= 0.20, score * 0.95).when(r.isNotNull(), score * 0.70).otherwise(score)
-        return F.struct(F.bround(r, 6).alias("ratio"), flag.alias("flag"), F.bround(moved, 6).alias("confidence"))
-
-    return items.withColumn("_judged", let(ratio, judged)).select(*items.columns, "_judged.*")
+    r = F.col("_ratio")
+    flag = F.when(r <= 0.05, "valid").when(r <= 0.20, "warning").when(r.isNotNull(), "critical").otherwise("none")
+    rows = rows.withColumns({"_flag": flag, "_score": 0.4 + 0.07 * held})
+    moved = F.when(F.col("_flag") == "valid", F.least(F.col("_score") * 1.15, F.lit(1.0))).when(F.col("_flag") == "warning", F.col("_score") * 0.95).when(F.col("_flag") == "critical", F.col("_score") * 0.70).otherwise(F.col("_score"))
+    return rows.select(*items.columns, F.bround(r, 6).alias("ratio"), F.col("_flag").alias("flag"), F.bround(moved, 6).alias("confidence"))
 
 
 #: Parties of the driver's orders, for the queries.
@@ -118,10 +132,13 @@ def numbered(rows: DataFrame, key: str, order: str, name: str, width: int = 1 <<
     return dealt.withColumn(name, F.col("_before") + own).drop("_block", "_before")
 
 
+BAND = 15.0  # height of the bands in which words are first ordered
+
+
 def lines(words: DataFrame, step: float = 10.0) -> DataFrame:
-    """Lines of words by their rounded height: text in order of x, mean confidence, bounding box."""
+    """Lines of words by their rounded height: text in order of x, of words at one x the higher band of 15 first, mean confidence, bounding box."""
     line = words.withColumn("line", F.bround(F.col("y1") / step) * step)
-    ordered = F.array_sort(F.collect_list(F.struct("x1", "pos", "text")))
+    ordered = F.array_sort(F.collect_list(F.struct("x1", F.bround(F.col("y1") / BAND).alias("band"), "pos", "text")))
     return line.groupBy("doc_id", "line").agg(
         F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"), F.bround(F.avg("conf"), 6).alias("conf"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
@@ -233,6 +250,21 @@ def with_scores(sums: DataFrame) -> DataFrame:
     return sums.withColumn("precision", F.bround(p, 4)).withColumn("recall", F.bround(r, 4)).withColumn("f1", F.bround(f1, 4))
 
 
+def metrics_report(scores: DataFrame) -> DataFrame:
+    """scores (class, tp, fp, fn, f1, ...) in order of F1: adds place, from 1, the best first, equal ones by name; a row a class, so one window holds them."""
+    return scores.where("class <> 'O' and tp + fp + fn > 0").withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("f1"), "class")).cast("bigint"))
+
+
+def dataset_counts(tags: DataFrame) -> DataFrame:
+    """(entity, pages, words, labelled, coverage, spans): a row for each entity with its number of spans, the most first by place, each with the totals of the set; gold BIO labels of pages seq_id. An empty set gives no rows."""
+    spans = bio_spans(tags, "gold", False)
+    per = spans.groupBy(F.col("type").alias("entity")).agg(F.count("*").alias("spans"))
+    whole = tags.agg(F.count_distinct("seq_id").alias("pages"), F.count("*").alias("words"), F.count_if(F.col("gold") != "O").alias("labelled"))
+    whole = whole.withColumn("coverage", F.bround(F.col("labelled") / F.greatest("words", F.lit(1)), 6))
+    place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("spans"), "entity")).cast("bigint")  # a row an entity
+    return per.withColumns({"place": place, "_k": F.lit(1)}).join(F.broadcast(whole.withColumn("_k", F.lit(1))), "_k").drop("_k")  # whole is one row
+
+
 def chunk_scores(tags: DataFrame) -> DataFrame:
     """Micro precision, recall and F1 of exact spans, and the share of sequences with a predicted tag, all in percent."""
     key = ["seq_id", "type", "start", "end"]

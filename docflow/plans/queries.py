@@ -348,7 +348,7 @@ def price_check(spark, d) -> DataFrame:
 # lines, spans, scores -------------------------------------------------------------------------------------------------------
 
 
-@query(f"{WORD} SELECT doc_id, round_even(y1 / 10, 0) * 10 AS line, string_agg(text, ' ' ORDER BY x1, pos) AS text, round_even(avg(conf), 6) AS conf, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM v_words GROUP BY doc_id, round_even(y1 / 10, 0) * 10")
+@query(f"{WORD} SELECT doc_id, round_even(y1 / 10, 0) * 10 AS line, string_agg(text, ' ' ORDER BY x1, round_even(y1 / 15, 0), pos) AS text, round_even(avg(conf), 6) AS conf, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM v_words GROUP BY doc_id, round_even(y1 / 10, 0) * 10")
 def ocr_lines(spark, d) -> DataFrame:
     return documents.lines(view(spark, d, "v_words"))
 
@@ -410,6 +410,37 @@ def token_prf(spark, d) -> DataFrame:
     return documents.confusion(view(spark, d, "v_tags"))
 
 
+_PRF = f"""{TAG}, c AS (SELECT class, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM (SELECT gold AS class, (gold = pred)::INT AS tp, 0 AS fp, (gold <> pred)::INT AS fn FROM v_tags UNION ALL SELECT pred, 0, (gold <> pred)::INT, 0 FROM v_tags) WHERE class <> 'O' GROUP BY class),
+ s AS (SELECT *, tp::DOUBLE / greatest(tp + fp, 1) AS a, tp::DOUBLE / greatest(tp + fn, 1) AS b FROM c) SELECT class, tp, fp, fn, round_even(a, 4) AS precision, round_even(b, 4) AS recall, round_even(2 * a * b / greatest(a + b, 1e-8), 4) AS f1 FROM s"""
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY f1 DESC, class) AS place FROM ({_PRF}) WHERE tp + fp + fn > 0")
+def metrics_report(spark, d) -> DataFrame:
+    return documents.metrics_report(documents.confusion(view(spark, d, "v_tags")))
+
+
+@query(
+    f"""{TAG}, o AS (SELECT *, count(*) FILTER (gold = 'O') OVER (PARTITION BY seq_id ORDER BY pos) AS run FROM v_tags), k AS (SELECT *, bool_or(gold[1] = 'B') OVER (PARTITION BY seq_id, run ORDER BY pos) AS open FROM o), e AS (SELECT seq_id, pos, gold, gold[3:] AS t, lag(CASE WHEN gold <> 'O' AND open THEN gold[3:] END) OVER (PARTITION BY seq_id ORDER BY pos) AS b, gold <> 'O' AND open AS held FROM k),
+ n AS (SELECT t AS entity, count(DISTINCT (seq_id, pos)) AS spans FROM e WHERE held AND (gold[1] = 'B' OR b IS NULL OR b <> t) GROUP BY t)
+ SELECT entity, spans, row_number() OVER (ORDER BY spans DESC, entity) AS place, (SELECT count(DISTINCT seq_id) FROM v_tags) AS pages, (SELECT count(*) FROM v_tags) AS words, (SELECT count(*) FILTER (gold <> 'O') FROM v_tags) AS labelled, round_even((SELECT count(*) FILTER (gold <> 'O') FROM v_tags)::DOUBLE / (SELECT count(*) FROM v_tags), 6) AS coverage FROM n"""
+)
+def dataset_counts(spark, d) -> DataFrame:
+    return documents.dataset_counts(view(spark, d, "v_tags"))
+
+
+@query(
+    f"""{ITEM}, s AS (SELECT doc_id, {_SUM('quantity')} FROM v_items GROUP BY doc_id), h AS (SELECT o_orderkey AS doc_id, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '1,0' || lpad(CAST(o_custkey % 90 AS VARCHAR), 2, '0') ELSE CAST(o_custkey % 150 AS VARCHAR) END AS t FROM orders),
+ m AS (SELECT *, TRY_CAST(replace(t, ',', '') AS DOUBLE) AS x FROM h LEFT JOIN s USING (doc_id)), f AS (SELECT *, coalesce(sum_quantity > 0, FALSE) AS pos, coalesce(abs(x - sum_quantity) > 0.25 * sum_quantity, FALSE) AS far FROM m)
+ SELECT doc_id, CASE WHEN pos AND (t = '' OR x IS NULL OR far) THEN CAST(CAST(floor(sum_quantity) AS BIGINT) AS VARCHAR) ELSE t END AS total_quantity,
+ CASE WHEN pos AND far THEN 'total ' || CAST(x AS BIGINT) || ' against items ' || CAST(sum_quantity AS BIGINT) || ', difference ' || CAST(abs(x - sum_quantity) AS BIGINT) END AS note FROM f"""
+)
+def header_totals(spark, d) -> DataFrame:
+    k = F.col("o_custkey")
+    total = F.when(k % 4 == 0, "").when(k % 4 == 1, "n/a").when(k % 4 == 2, F.concat(F.lit("1,0"), F.lpad((k % 90).cast("string"), 2, "0"))).otherwise((k % 150).cast("string"))
+    headers = load(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), total.alias("total_quantity"))
+    return documents.reconciled_header(headers, documents.reconciled_totals(view(spark, d, "v_items")))
+
+
 @query(f"{TAG} SELECT gold AS label, count(*) AS n, round_even(count(*)::DOUBLE / (SELECT count(*) FROM v_tags), 6) AS share FROM v_tags GROUP BY gold")
 def label_dist(spark, d) -> DataFrame:
     counts = view(spark, d, "v_tags").groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("n"))

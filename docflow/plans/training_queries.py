@@ -144,12 +144,12 @@ def entity_report(spark, d) -> DataFrame:
 _LONG = ("invoice_number", "bl_number", "currency", "incoterms", "port_of_loading", "port_of_discharge", "vessel_name", "voyage_number", "seller_name", "buyer_name", "shipper_name", "consignee_name")
 
 
-@query(f"{HEAD} SELECT custkey % 50 AS k, label, list_sort(list(trim(value))) AS texts FROM (SELECT custkey, unnest([{', '.join(map(repr, _LONG))}]) AS label, unnest([{', '.join(_LONG)}]) AS value FROM v_headers) WHERE trim(value) <> '' GROUP BY custkey % 50, label")
+@query(f"{HEAD} SELECT custkey % 50 AS k, label, array_to_string(list_sort(list(trim(value))), ',') AS texts FROM (SELECT custkey, unnest([{', '.join(map(repr, _LONG))}]) AS label, unnest([{', '.join(_LONG)}]) AS value FROM v_headers) WHERE trim(value) <> '' GROUP BY custkey % 50, label")
 def entities_long(spark, d) -> DataFrame:
     """Header columns as rows, and these grouped to the list of all values by label."""
     rows = F.array(*[F.struct(F.lit(n).alias("label"), F.trim(n).alias("value")) for n in _LONG])
     long = view(spark, d, "v_headers").select((F.col("custkey") % 50).alias("k"), F.inline(rows)).where("value <> ''")
-    return long.groupBy("k", "label").agg(F.sort_array(F.collect_list("value")).alias("texts"))
+    return long.groupBy("k", "label").agg(F.array_join(F.sort_array(F.collect_list("value")), ",").alias("texts"))
 
 
 _ANSWER = "CASE id % 5 WHEN 0 THEN '{\"a\": ' || custkey || '}' WHEN 1 THEN 'Here: ```json {\"b\": ' || custkey || '} ``` done' WHEN 2 THEN 'so {\"a\": ' || custkey || '} ok' WHEN 3 THEN 'none' ELSE '{broken' END"
@@ -170,14 +170,15 @@ def audit_log(spark, d) -> DataFrame:
 
 
 @query(
-    f"""{ITEM}, n AS (SELECT doc_id, ord, TRY_CAST(quantity AS DOUBLE) AS q, TRY_CAST(price AS DOUBLE) AS p, TRY_CAST(nullif(amount, '') AS DOUBLE) AS a FROM v_items) SELECT doc_id, ord, CASE WHEN q IS NOT NULL AND p IS NOT NULL AND a > 0 THEN CASE WHEN a / (q * p) BETWEEN 0.85 AND 1.20 THEN 0.85::DOUBLE WHEN a / (q * p) BETWEEN 0.70 AND 1.50 THEN 0.65::DOUBLE ELSE 0.30::DOUBLE END ELSE 0.50::DOUBLE END AS confidence,
- coalesce(a, q * p) AS amount, coalesce(q, round_even(a / p, 0)) AS quantity FROM n"""
+    f"""{ITEM}, n AS (SELECT doc_id, ord, TRY_CAST(quantity AS DOUBLE) AS q, CASE WHEN partkey % 5 <> 0 THEN TRY_CAST(price AS DOUBLE) END AS p, TRY_CAST(nullif(amount, '') AS DOUBLE) AS a FROM v_items) SELECT doc_id, ord, CASE WHEN q IS NOT NULL AND p IS NOT NULL AND a > 0 THEN CASE WHEN a / (q * p) BETWEEN 0.85 AND 1.20 THEN 0.85::DOUBLE WHEN a / (q * p) BETWEEN 0.70 AND 1.50 THEN 0.65::DOUBLE ELSE 0.30::DOUBLE END WHEN q IS NULL AND p IS NULL THEN 0.30::DOUBLE ELSE 0.50::DOUBLE END AS confidence,
+ coalesce(a, round_even(q * p, 2)) AS amount, coalesce(q, CASE WHEN p > 0 AND a > 0 AND abs(round_even(a / p, 0) * p - a) < 0.15 * a THEN round_even(a / p, 0) END) AS quantity, coalesce(p, CASE WHEN q > 0 AND a / q BETWEEN 0.01 AND 500 THEN round_even(a / q, 4) END) AS price FROM n"""
 )
 def derived_numbers(spark, d) -> DataFrame:
-    """Trust in items by their amount; an absent amount or quantity derived from the other numbers."""
-    rows = view(spark, d, "v_items").select("doc_id", "ord", *[V.number(F.col(c)).alias(c[0]) for c in ("quantity", "price", "amount")])
+    """Trust in items by their amount; an absent amount, quantity or price derived from the other numbers. Some prices are left out to be derived."""
+    rows = view(spark, d, "v_items").select("doc_id", "ord", V.number(F.col("quantity")).alias("q"), F.when(F.col("partkey") % 5 != 0, V.number(F.col("price"))).alias("p"), V.number(F.col("amount")).alias("a"))
     q, p, a = F.col("q"), F.col("p"), F.col("a")
-    return rows.select("doc_id", "ord", training.fallback_confidence(q, p, a).alias("confidence"), F.coalesce(a, q * p).alias("amount"), F.coalesce(q, F.bround(a / p, 0)).alias("quantity"))
+    count, price, amount = training.derived(q, p, a)
+    return rows.select("doc_id", "ord", training.fallback_confidence(q, p, a).alias("confidence"), amount.alias("amount"), count.alias("quantity"), price.alias("price"))
 
 
 _SECOND = "SELECT l_orderkey AS id, 'V-' || min(l_partkey) AS bl_number, list_sort(list(DISTINCT 'TCLU' || CAST(1112200 + l_suppkey % 40 AS VARCHAR))) AS containers, count(*) AS n_items FROM lineitem GROUP BY l_orderkey"
@@ -185,7 +186,7 @@ _SECOND = "SELECT l_orderkey AS id, 'V-' || min(l_partkey) AS bl_number, list_so
 
 @query(
     f"""{HEAD}, a AS (SELECT id, nullif(bl_number, '') AS bl_number, list_filter(string_split(containers, '|'), lambda x: x <> '') AS containers, CAST(custkey % 7 AS BIGINT) AS n_items, confidence FROM v_headers), b AS ({_SECOND})
- SELECT id, coalesce(a.bl_number, b.bl_number) AS bl_number, list_concat(coalesce(a.containers, []), list_filter(coalesce(b.containers, []), lambda x: NOT list_contains(coalesce(a.containers, []), x))) AS containers,
+ SELECT id, coalesce(a.bl_number, b.bl_number) AS bl_number, array_to_string(list_concat(coalesce(a.containers, []), list_filter(coalesce(b.containers, []), lambda x: NOT list_contains(coalesce(a.containers, []), x))), '|') AS containers,
  CASE WHEN coalesce(b.n_items, 0) > coalesce(a.n_items, 0) OR (b.n_items = a.n_items AND a.confidence < 0.5) THEN 'second' ELSE 'own' END AS items FROM a FULL JOIN b USING (id)"""
 )
 def vision_fusion(spark, d) -> DataFrame:
@@ -193,4 +194,4 @@ def vision_fusion(spark, d) -> DataFrame:
     own = view(spark, d, "v_headers").select("id", "bl_number", F.filter(F.split("containers", r"\|"), lambda x: x != "").alias("containers"), (F.col("custkey") % 7).cast("bigint").alias("n_items"), "confidence")
     box = F.concat(F.lit("TCLU"), (F.lit(1112200) + F.col("l_suppkey") % 40).cast("string"))
     second = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit("V-"), F.min("l_partkey").cast("string")).alias("bl_number"), F.sort_array(F.collect_set(box)).alias("containers"), F.count("*").alias("n_items"), F.lit(None).cast("double").alias("confidence"))
-    return documents.fused(own, second)
+    return documents.fused(own, second).withColumn("containers", F.array_join("containers", "|"))

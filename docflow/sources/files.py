@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stored import folded
+
 CACHE = "map<string, struct<width: double, height: double, words: array<struct<text: string, bbox: array<double>, confidence: double>>, ocr_time: double, error: string>>"
 PAGES = "id string, shipment_id string, doc_type string, width double, height double, text array<string>, bboxes array<array<double>>, labels array<bigint>"
 #: Kinds of files that may be uploaded, and their greatest size.
@@ -60,3 +64,27 @@ def uploads(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, error) of the files of a folder: 400 for another kind of file, 413 for one too large, null for what is taken."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return _listing(spark, root).withColumn("error", F.when(~suffix.isin(*UPLOADS), 400).when(F.col("length") > MOST_BYTES, 413))
+
+
+
+def _leaves(row: dict) -> list[dict]:
+    try:
+        todo = [(None, json.loads(row["value"] or ""))]
+    except ValueError:
+        return [{"file": row["file"], "key": None, "value": None, "placeholder": False}]
+    out = []
+    while todo:
+        key, value = todo.pop()
+        if isinstance(value, (dict, list)):
+            own = value.items() if isinstance(value, dict) else enumerate(value)
+            todo += [(f"{key}.{k}" if key is not None else str(k), v) for k, v in own]
+        elif key is not None:
+            text = value if isinstance(value, str) or value is None else json.dumps(value)
+            out.append({"file": row["file"], "key": key, "value": text, "placeholder": isinstance(value, str) and value.startswith("***")})
+    return out
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, key, value, placeholder) of the leaves of files that hold a JSON object each: keys joined by points, values as text, and whether a value stands for one still to be filled in. An unreadable file gives a row without a key."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return folded(files, _leaves, "file string, key string, value string, placeholder boolean")

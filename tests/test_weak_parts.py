@@ -1,10 +1,12 @@
 """Predicted entities, fused readings, labels of tokens, codes of new shipments, tolerance: against plain loops."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
-from docflow.operators import documents, shipments, training
+from docflow.operators import documents, registry, shipments, training
+from docflow.sources import files
 
 
 def plain_entities(tokens, threshold):
@@ -89,3 +91,24 @@ def test_anchored_by_keys(spark):
     words = spark.createDataFrame([(1, p, k, float(y)) for p in (0, 1) for k, y in enumerate([0, 10, 11, 12, 25])], "doc_id long, page int, pos long, y1 double")
     got = {tuple(r) for r in documents.anchored(words, keys=("doc_id", "page")).collect()}
     assert got == {(1, p, k, g) for p in (0, 1) for k, g in enumerate([1, 1, 2, 2, 3])}
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"company": {"id": "***ID***", "codes": ["x", 2, None]}, "rate": 1.5, "on": True, "empty": {}}, indent=1))
+    (tmp_path / "b.json").write_text("{broken")
+    got = {(r["file"].rsplit("/", 1)[-1], r["key"], r["value"], r["placeholder"]) for r in files.settings(spark, str(tmp_path)).collect()}
+    own = {"company.id": "***ID***", "company.codes.0": "x", "company.codes.1": "2", "company.codes.2": None, "rate": "1.5", "on": "true"}
+    assert got == {("a.json", k, v, k == "company.id") for k, v in own.items()} | {("b.json", None, None, False)}
+
+
+def test_registry(spark):
+    values = spark.createDataFrame([("barang_hs", "94031000"), ("barang_hs", "9403"), ("kontainer_nomor", "OOLU1234567"), ("barang_fob", "1."), ("other", "x"), ("barang_hs", None)], "field string, value string")
+    assert [r["valid"] for r in registry.checked(values).collect()] == [True, False, True, True, None, None]
+    rules = spark.createDataFrame([("other", "^y")], "field string, pattern string")
+    assert {(r["field"], r["valid"]) for r in registry.checked(values, rules).collect()} == {("barang_hs", None), ("kontainer_nomor", None), ("barang_fob", None), ("other", False)}
+    labels = spark.createDataFrame([("vessel_name",), ("item_code",), ("new",)], "label string").select(registry.layer_of(F.col("label")).alias("x"))
+    assert [r["x"] for r in labels.collect()] == ["layout", "pattern", "pattern"]
+    fields = spark.createDataFrame([(0, "a", "HEADER", "e1", True), (1, "b", "BARANG", "e2", False), (2, "c", "HEADER", "e1", False)], "ord int, key string, sheet string, entity string, required boolean")
+    assert [tuple(r) for r in registry.sheet_order(fields).orderBy("place").collect()] == [("HEADER", 1), ("BARANG", 2)]
+    keys = lambda d: {r["key"] for r in d.collect()}
+    assert keys(registry.fields_of(fields, sheet="HEADER")) == {"a", "c"} and keys(registry.fields_of(fields, entity="e2")) == {"b"} and keys(registry.fields_of(fields, required=True)) == {"a"}
