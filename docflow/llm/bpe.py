@@ -101,7 +101,7 @@ class Vocabulary:
         """Whether BPE encodes the bytes of the two tokens as just these two."""
         key = left * self.width + right
         if (known := self._kept.get(key)) is None:
-            if len(self._kept) > 200_000:
+            if len(self._kept) > 100_000:
                 self._kept.clear()
             known = not self._crossed(left, right) if self.grows else self._merge(self.bytes[left] + self.bytes[right]) == [left, right]
             self._kept[key] = known
@@ -116,7 +116,7 @@ class Vocabulary:
         if self._ends[to] is None:
             found = (self.ids.get(own[k:]) for k in range(len(own)))
             self._ends[to] = tuple(t for t in found if t is not None and t in self.stable)
-        if len(self._next) > 400_000:
+        if len(self._next) > 200_000:
             self._next.clear()
         self._next[state << 8 | byte] = to
         return to
@@ -164,7 +164,7 @@ class Vocabulary:
 class Encoder:
     """Encodes batches of texts; remembers words up to a bound."""
 
-    MEMO = 200_000  # words after which a worker sets its memo aside; it keeps the last two, so that frequent words stay
+    MEMO = 80_000  # words after which a worker sets its memo aside; it keeps the last two, so that frequent words stay
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -257,7 +257,7 @@ def with_tokens(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(text)
-        for batch in slices(batches, hidden, 1 << 20):
+        for batch in slices(batches, hidden, 1 << 18):
             split = [encoder.words(t) for t in _strings(batch, hidden)]
             encoder.learn(set().union(*split))
             rows = []
