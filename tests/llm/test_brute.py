@@ -27,10 +27,7 @@ def plain_grams(text):
 
 
 def top(counts):
-    key = lambda g: tuple([*map(ord, g), 0, 0][:3])
-    order = lambda g: (len(g) > 1, len(g) > 2)
     number = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))  # noqa: E731  as the operator writes them
-    assert key and order
     return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))][: languages.PROFILE]
 
 

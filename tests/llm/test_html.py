@@ -62,10 +62,9 @@ def site(rng, host, n):
     for _ in range(n):
         title, parts = said(), [said(30) for _ in range(rng.randrange(1, 5))]
         marked = [p.replace(" ", " <b>", 1) + "</b>" if " " in p else p for p in parts]
-        inside = f"<div class='box'><p>{note[15:40]}</p></div>" if rng.random() < 0 else note
         page = (
             f"<html><head><title>{said()}</title><script>x('</p>')</script></head><body><div><ul>{bar}</ul></div><div class='ad'>{said()}</div><article><h1>{title}</h1>"
-            + "".join(f"<p>{m}</p>\n" for m in marked) + inside + f"<aside>{said()}</aside></article><div class='comments'><p>{said()}</p></div><footer>{said()}</footer></body></html>"
+            + "".join(f"<p>{m}</p>\n" for m in marked) + note + f"<aside>{said()}</aside></article><div class='comments'><p>{said()}</p></div><footer>{said()}</footer></body></html>"
         )
         yield f"https://{host}/{word()}", page, "\n".join([title, *parts])
 
