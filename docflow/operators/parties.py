@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.values import filled
+from ..functions.values import filled, let
 from .items import every, first
 
 #: Names of companies, captions, addresses, and how far from a caption its party may stand (characters).
@@ -43,10 +43,10 @@ def _shippers(head: Column) -> Column:
 
     Lines count up to the first that is longer than the consignee's caption is far from the start.
     """
-    lines = F.split(head, "\n", -1)
     far = F.coalesce(F.length(F.when(head.rlike(CONSIGNEE), F.regexp_extract(head, f"(?s)^(.*?)(?:{CONSIGNEE})", 1))), F.length(head))
-    long = F.array_position(F.transform(lines, lambda line: F.length(line) > far), True)
-    kept = F.when(long > 0, F.slice(lines, F.lit(1), (long - 1).cast("int"))).otherwise(lines)
+    # What all lines share is bound by let; in the lambda it would be searched for again at each line.
+    long = lambda lines: let(far, lambda reach: F.array_position(F.transform(lines, lambda line: F.length(line) > reach), True))
+    kept = let(F.split(head, "\n", -1), lambda lines: let(long(lines), lambda at: F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)))
     sound = lambda n: ~n.rlike(CARRIERS) & (T.letters(n) >= F.length(n) * 0.5)
     names = F.transform(F.filter(kept, lambda line: ~line.rlike(CAPTIONS)), lambda line: F.get(F.filter(_named(T.stripped(line), 8), sound), F.lit(0)))
     return F.array_compact(names)

@@ -20,7 +20,7 @@ BILLS, HEADERS, ITEMS, PACK = (sql(v) for v in ("v_bills", "v_header_values", "v
  SELECT doc_id, label, value, CAST(sure AS DOUBLE) AS confidence FROM f"""
 )
 def bill_parties(spark, d) -> DataFrame:
-    return P.bill_parties(view(spark, d, "v_bills").select("doc_id", "text"))
+    return P.bill_parties(view(spark, d, "v_bills", by="doc_id").select("doc_id", "text"))
 
 
 _ORDER = " ".join(f"WHEN label = '{label}' AND doc_type = '{t}' THEN {k}" for label, types in P.SOURCES.items() for k, t in enumerate(types))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -279,9 +281,24 @@ VIEWS |= {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of a part at most, and at least where there are fewer parts than twice the cores.
+MOST_ROWS, LEAST_ROWS = 200_000, 2_000
+
+
+def dealt(rows: DataFrame, *keys: Column) -> DataFrame:
+    """rows in parts by their keys, as many as their number asks for, so that a part doesn't grow with the table. A file of one row group is one task otherwise, whatever is made of its rows."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(-(-n // MOST_ROWS), min(2 * cores, -(-n // LEAST_ROWS)), 1), *keys)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """A view of the tables. Where by names a column, the base rows are dealt by it before texts are made of them, and what is done by that column needs no other shuffle."""
     base, columns = VIEWS[name]
-    return load(spark, sf_dir, base).select(*[F.expr(e).alias(c) for c, e in columns.items()])
+    rows = load(spark, sf_dir, base)
+    if by:
+        used = [c for c in rows.columns if any(re.search(rf"\b{c}\b", e) for e in columns.values())]
+        rows = dealt(rows.select(*used), F.expr(columns[by]))
+    return rows.select(*[F.expr(e).alias(c) for c, e in columns.items()])
 
 
 def sql(*names: str) -> str:
