@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import extraction as X
 from ..operators import parties as P
 from ..sources import workbooks as B
-from ..sources.views import sql, view
+from ..sources.views import load, parts, sql, view
 from .registry import query
 
 BILLS, HEADERS, ITEMS, PACK = (sql(v) for v in ("v_bills", "v_header_values", "v_items", "v_packing"))
@@ -42,7 +42,7 @@ def header_merge(spark, d) -> DataFrame:
 def weights_kept(spark, d) -> DataFrame:
     """Items that have a weight keep it, and the join with a packing list makes no item twice."""
     items = view(spark, d, "v_items").select("doc_id", "item_code", F.nullif("net", F.lit("n/a")).alias("net_weight"), F.lit(None).cast("string").alias("gross_weight"), F.nullif("net", F.lit("n/a")).alias("before"))
-    weights = X.packing_weights(view(spark, d, "v_packing"))
+    weights = X.packing_weights(view(spark, d, "v_packing", by="doc_id"))
     met = P.with_weights(items, weights)
     return met.groupBy("doc_id", (F.col("before").isNotNull() & (F.col("before") == F.col("net_weight"))).alias("kept")).agg(F.count("*").alias("n"))
 
@@ -58,7 +58,7 @@ _LAYOUT = {"HEADER": ["KODE VALUTA", "FOB", "NETTO"], "ENTITAS": ["KODE ENTITAS"
 )
 def workbook_round_trip(spark, d) -> DataFrame:
     """Workbooks of all orders are written and read, and their values looked up."""
-    o, items = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/lineitem.parquet")
+    o, items = load(spark, d, "orders"), load(spark, d, "lineitem")
     text = lambda c: F.col(c).cast("string")
     cells = lambda **v: F.map_from_entries(F.array(*[F.struct(F.lit(k.replace("_", " ")), c) for k, c in v.items()]))
     one = lambda sheet, n, c: o.select(F.col("o_orderkey").alias("id"), F.lit(sheet).alias("sheet"), F.lit(n).cast("bigint").alias("row"), c.alias("cells"))
@@ -68,4 +68,4 @@ def workbook_round_trip(spark, d) -> DataFrame:
     place = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1").cast("bigint")
     goods = items.select(F.col("l_orderkey").alias("id"), F.lit("BARANG").alias("sheet"), place.alias("row"), cells(URAIAN=F.concat(F.lit("Part "), text("l_partkey")), JUMLAH_SATUAN=text("l_linenumber")).alias("cells"))
     orders = goods.join(o.select(F.col("o_orderkey").alias("id")), "id", "left_semi")
-    return B.workbook_values(B.sheet_rows(B.written(rows.unionByName(orders), _LAYOUT)))
+    return B.workbook_values(B.sheet_rows(B.written(rows.unionByName(orders), _LAYOUT, parts=parts(o))))

@@ -285,10 +285,15 @@ VIEWS |= {
 MOST_ROWS, LEAST_ROWS = 200_000, 2_000
 
 
-def dealt(rows: DataFrame, *keys: Column) -> DataFrame:
-    """rows in parts by their keys, as many as their number asks for, so that a part doesn't grow with the table. A file of one row group is one task otherwise, whatever is made of its rows."""
+def parts(rows: DataFrame) -> int:
+    """In how many parts rows are dealt, so that a part doesn't grow with the table."""
     n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(-(-n // MOST_ROWS), min(2 * cores, -(-n // LEAST_ROWS)), 1), *keys)
+    return max(-(-n // MOST_ROWS), min(2 * cores, -(-n // LEAST_ROWS)), 1)
+
+
+def dealt(rows: DataFrame, *keys: Column) -> DataFrame:
+    """rows in parts by their keys. A file of one row group is one task otherwise, whatever is made of its rows."""
+    return rows.repartition(parts(rows), *keys)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:

@@ -80,3 +80,19 @@ def test_nothing(spark, rows):
     assert B.written(rows.limit(0), LAYOUT).count() == 0
     empty = spark.createDataFrame([("a", None)], "file string, content binary")
     assert [r["error"] is not None for r in B.sheet_rows(empty).collect()] == [True] and B.workbook_values(B.sheet_rows(empty)).count() == 0
+
+
+def test_workbooks_are_handed_on_together_and_dealt_by_their_keys(spark):
+    rows = spark.range(300).selectExpr("id", "'G' as sheet", "0L as row", "map('A', string(id)) as cells")
+    files = B.written(rows, {"G": ["A"]}, parts=7)
+    assert files.selectExpr("spark_partition_id() as p").distinct().count() == 7
+    said = B.sheet_rows(files).selectExpr("file", "cells['A'].text as a").collect()
+    assert len(said) == 300 and all(r.file == r.a for r in said)
+
+
+def test_small_and_large_sheets_read_alike(monkeypatch):
+    layout, rows = {"G": ["A", "B"]}, {"G": [{"A": "1", "B": "x"}, {"B": "y & z"}]}
+    content = B._workbook(B._frame(layout), layout, rows)
+    small = list(B._records("f", content))
+    monkeypatch.setattr(B, "SMALL", 0)
+    assert small == list(B._records("f", content)) and len(small) == 2
