@@ -399,7 +399,7 @@ def bio_decode(spark, d) -> DataFrame:
  s AS (SELECT *, tp::DOUBLE / greatest(n_pred, 1) AS a, tp::DOUBLE / greatest(n_gold, 1) AS b FROM n) SELECT tp, n_pred, n_gold, with_prediction, round_even(100 * a, 2) AS precision, round_even(100 * b, 2) AS recall, round_even(100 * 2 * a * b / greatest(a + b, 1e-8), 2) AS f1 FROM s"""
 )
 def chunk_prf(spark, d) -> DataFrame:
-    return documents.chunk_scores(view(spark, d, "v_tags"))
+    return documents.chunk_scores(view(spark, d, "v_tags", by="seq_id"))
 
 
 @query(

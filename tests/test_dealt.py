@@ -1,7 +1,9 @@
 """Rows are dealt by their number before texts are made of them."""
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from docflow.operators.parties import bill_parties
 from docflow.sources import views
 
@@ -26,3 +28,13 @@ def test_lines_of_a_shipper_count_up_to_the_first_longer_than_the_caption_is_far
     rows = spark.createDataFrame([(1, text), (2, short), (3, "X" * 9 + "\nConsignee"), (4, "")], "doc_id bigint, text string")
     found = {(r.doc_id, r.value) for r in bill_parties(rows).where("label = 'shipper_name'").collect()}
     assert found == {(1, "GOOD WORKS CO"), (1, "OTHER WORKS LTD"), (2, "GOOD WORKS CO"), (2, "OTHER WORKS LTD")}
+
+
+#: Queries that make texts or windows of many rows, and deal them first.
+DEALT = ["chunk_prf"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_rows_are_dealt_by_their_number(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
