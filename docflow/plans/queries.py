@@ -425,7 +425,7 @@ def metrics_report(spark, d) -> DataFrame:
  SELECT entity, spans, row_number() OVER (ORDER BY spans DESC, entity) AS place, (SELECT count(DISTINCT seq_id) FROM v_tags) AS pages, (SELECT count(*) FROM v_tags) AS words, (SELECT count(*) FILTER (gold <> 'O') FROM v_tags) AS labelled, round_even((SELECT count(*) FILTER (gold <> 'O') FROM v_tags)::DOUBLE / (SELECT count(*) FROM v_tags), 6) AS coverage FROM n"""
 )
 def dataset_counts(spark, d) -> DataFrame:
-    return documents.dataset_counts(view(spark, d, "v_tags"))
+    return documents.dataset_counts(view(spark, d, "v_tags", by="seq_id"))
 
 
 @query(
