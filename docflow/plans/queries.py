@@ -391,7 +391,7 @@ _STRICT = """SELECT seq_id, t AS type, min(pos) AS start, max(pos) AS "end" FROM
 
 @query(f"{TAG} {_STRICT}")
 def bio_decode(spark, d) -> DataFrame:
-    return documents.bio_spans(view(spark, d, "v_tags"), "pred", False).select("seq_id", "type", "start", "end")
+    return documents.bio_spans(view(spark, d, "v_tags", by="seq_id"), "pred", False).select("seq_id", "type", "start", "end")
 
 
 @query(
