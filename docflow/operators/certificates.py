@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import stripped
 from ..functions.values import filled
 from .lookup import tariff_by_prefix
+from .stored import folded
 
 
 def _by_pos(*more: str):
@@ -84,18 +85,31 @@ CURRENCIES = ("USD", "CNY", "EUR", "SGD")
 LEAST_QUANTITY, MOST_QUANTITY, MOST_NUMBER = 1, 999_999, 100
 
 
-def _numbered(frame: pd.DataFrame) -> pd.DataFrame:
-    """The goods of one document with a number each: their own, where it is new, else the next free one."""
-    frame, used, numbers = frame.sort_values(["pos", "hs_code"]), set(), []
-    for own in frame["number"]:
-        n = len(used) + 1 if pd.isna(own) else int(own)
-        while pd.isna(own) and n in used:
+def _numbers(own: list[int | None]) -> list[int | None]:
+    """The numbers of a document's goods in order: their own, where it is new (none where it isn't), else the next free one."""
+    used, numbers = set(), []
+    for given in own:
+        n = len(used) + 1 if given is None else given
+        while given is None and n in used:
             n += 1
         numbers.append(None if n in used else n)
         used.add(n)
+    return numbers
+
+
+def _numbered(frame: pd.DataFrame) -> pd.DataFrame:
+    """The goods of one document, as a frame, with a number each."""
+    frame = frame.sort_values(["pos", "hs_code"])
+    numbers = _numbers([None if pd.isna(n) else int(n) for n in frame["number"]])
     return frame.assign(number=pd.array(numbers, dtype="Int64")).dropna(subset=["number"])
 
 
+def _goods(row: dict) -> list[dict]:
+    """The goods of one document, as a row, with a number each."""
+    numbers = _numbers([g["number"] for g in row["goods"]])
+    return [{"doc_id": row["doc_id"], **g, "number": n} for g, n in zip(row["goods"], numbers, strict=True) if n is not None]
+
+
 def line_goods(lines: DataFrame) -> DataFrame:
     """(doc_id, number, hs_code, quantity, unit, description, bm, ppn, pph, found) of rows (doc_id, pos, line) that hold a tariff code.
 
@@ -122,4 +136,6 @@ def line_goods(lines: DataFrame) -> DataFrame:
         "doc_id", "pos", number.alias("number"), F.substring(code, 1, 6).alias("hs_code"), F.when(fits(beside), beside).otherwise(F.coalesce(F.try_element_at(every, F.lit(-1)), F.lit(""))).alias("quantity"),
         unit.alias("unit"), F.when((own != "") & (F.length(named) >= 3), F.substring(named, 1, 100)).otherwise("").alias("description"),
     ).where(F.when(F.col("number").isNull(), F.col("unit") != "").otherwise(F.col("number") <= MOST_NUMBER))
-    return _with_rates(goods.groupBy("doc_id").applyInPandas(_numbered, goods.schema).drop("pos"))
+    rest = [c for c in goods.columns if c not in ("doc_id", "pos", "hs_code")]
+    rows = goods.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "hs_code", *rest))).alias("goods"))
+    return _with_rates(folded(rows, _goods, ", ".join(f"`{c}` {t}" for c, t in goods.dtypes if c != "pos")))

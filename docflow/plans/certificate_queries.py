@@ -58,4 +58,4 @@ _NAMED = _cut(f"trim(regexp_replace(trim(before), {_q('(?i)^N/M')}, ''))", [(r"[
  {_RATES}"""
 )
 def certificate_lines(spark, d) -> DataFrame:
-    return C.line_goods(view(spark, d, "v_origins"))
+    return C.line_goods(view(spark, d, "v_origins", by="doc_id"))

@@ -54,3 +54,10 @@ def test_odd(spark):
     assert C.section_goods(two).count() == 2 and C.line_goods(two).count() == 2  # other columns don't matter
     long = _lines(spark, ["HS CODE: 8471", "1 " + "desk " * 200_000])
     assert C.section_goods(long).first()["description"] == ("desk " * 40)[:200]
+
+
+def test_lines_of_a_document_are_numbered_in_one_batch_of_documents(spark):
+    rows = [(d, k, line) for d in range(50) for k, line in enumerate(("3 Chair 940360 PC 2.5", "3 Table 940360 PC 3.5", "Desk 940310 PC 4.5"))]
+    goods = C.line_goods(spark.createDataFrame(rows, "doc_id bigint, pos bigint, line string"))
+    assert "FlatMapGroupsInPandas" not in goods._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.number) for r in goods.collect()) == [(d, n) for d in range(50) for n in (2, 3)]
