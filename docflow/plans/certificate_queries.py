@@ -37,7 +37,7 @@ _TEXT = _cut("CASE WHEN more = '' THEN above ELSE more END", C.TEXT_CUTS)
  {_RATES}"""
 )
 def certificate_sections(spark, d) -> DataFrame:
-    return C.section_goods(view(spark, d, "v_certificates"))
+    return C.section_goods(view(spark, d, "v_certificates", by="doc_id"))
 
 
 _AREA = "CASE WHEN contains(text, 'USD') AND contains(text, 'CNY') AND contains(text, 'EUR') AND contains(text, 'SGD') THEN substr(text, 1, least(strpos(text, 'USD'), strpos(text, 'CNY'), strpos(text, 'EUR'), strpos(text, 'SGD')) - 1) ELSE text END"
