@@ -80,7 +80,7 @@ def header_fallback(spark, d) -> DataFrame:
  SELECT page_id, CAST(pos AS BIGINT) AS pos, CASE pos WHEN 3 THEN 'B-vessel_name' WHEN 4 THEN 'I-vessel_name' WHEN 6 THEN 'B-port_of_loading' ELSE 'O' END AS label FROM w"""
 )
 def span_labels(spark, d) -> DataFrame:
-    words = view(spark, d, "v_spans").select("page_id", F.split("text", " ").alias("words"))
+    words = view(spark, d, "v_spans", by="page_id").select("page_id", F.split("text", " ").alias("words"))
     sought = {"vessel_name": ("ever;  Given", None), "port_of_loading": ("Ningbo,",), "remark": ("finis", "zzz zzz")}
     pages = [words.select("page_id", F.lit(e).alias("entity"), F.lit(k).cast("bigint").alias("rank"), "words", F.array(*[F.lit(x) for x in v]).cast("array<string>").alias("values")) for k, (e, v) in enumerate(sought.items())]
     return X.span_labels(X.page_spans(pages[0].unionByName(pages[1]).unionByName(pages[2])), ("vessel_name", "port_of_loading"))
