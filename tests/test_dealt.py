@@ -31,7 +31,7 @@ def test_lines_of_a_shipper_count_up_to_the_first_longer_than_the_caption_is_far
 
 
 #: Queries that make texts or windows of many rows, and deal them first.
-DEALT = ["chunk_prf", "dataset_counts", "bio_decode", "scored_codes", "certificate_sections", "span_labels", "customs_codes", "amount_items"]
+DEALT = ["chunk_prf", "dataset_counts", "bio_decode", "scored_codes", "certificate_sections", "span_labels", "customs_codes", "amount_items", "item_cascade"]
 
 
 @pytest.mark.parametrize("name", DEALT)
