@@ -213,7 +213,7 @@ class Encoder:
 class Counter(Encoder):
     """An encoder that remembers only the number of tokens of a word."""
 
-    MEMO = 40_000
+    MEMO = 200_000  # numbers take little memory
 
     def value(self, ids: tuple[int, ...]) -> int:
         return len(ids)

@@ -182,7 +182,7 @@ def apply(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens (of the text), n_edited (after the edits of edits_of), n_encoded (pre-tokens encoded for the edits) and n_leaves of each document.
 
-    Trees are built and edited in one pass. A null text is empty; rows that repeat or have no id are counted each; an
+    Trees are built and edited in one pass; a worker keeps its counts of words, which are bounded, from task to task. A null text is empty; rows that repeat or have no id are counted each; an
     empty table gives no rows; other columns are left out.
     """
     vocabulary = vocabulary_text(path)
@@ -197,7 +197,6 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                     tree.replace(start, end, new)
                 rows.append((before, tree.total, tree.encoded, len(tree.chars[0])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]], ["doc_id", "n_tokens", "n_edited", "n_encoded", "n_leaves"])
-        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("_text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_edited bigint, n_encoded bigint, n_leaves bigint")
