@@ -68,4 +68,4 @@ def workbook_round_trip(spark, d) -> DataFrame:
     place = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1").cast("bigint")
     goods = items.select(F.col("l_orderkey").alias("id"), F.lit("BARANG").alias("sheet"), place.alias("row"), cells(URAIAN=F.concat(F.lit("Part "), text("l_partkey")), JUMLAH_SATUAN=text("l_linenumber")).alias("cells"))
     orders = goods.join(o.select(F.col("o_orderkey").alias("id")), "id", "left_semi")
-    return B.workbook_values(B.sheet_rows(B.written(rows.unionByName(orders), _LAYOUT, parts=parts(o))))
+    return B.file_values(B.written(rows.unionByName(orders), _LAYOUT, parts=parts(o)))

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from docflow.sources import workbooks as B
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -96,3 +97,68 @@ def test_small_and_large_sheets_read_alike(monkeypatch):
     small = list(B._records("f", content))
     monkeypatch.setattr(B, "SMALL", 0)
     assert small == list(B._records("f", content)) and len(small) == 2
+
+
+ODD = ["9", "+9", "009", "9\n", " 9 ", "9 1", "x9", "-9", "0", "1", "99999999999", "", None, "١", "4"]
+
+
+def test_values_are_the_same_while_files_are_read(spark):
+    """Looking up a file's values as it is read gives what the rows of all files give, also where they are odd or end in a fault."""
+    layout = {
+        "HEADER": ["KODE VALUTA", "FOB", "FREIGHT"], "ENTITAS": ["KODE ENTITAS", "NAMA ENTITAS", "ALAMAT ENTITAS"], "DOKUMEN": ["KODE DOKUMEN", "NOMOR DOKUMEN", "TANGGAL DOKUMEN"], "PENGANGKUT": ["NAMA PENGANGKUT", "NOMOR PENGANGKUT"],
+        "KEMASAN": ["JUMLAH KEMASAN", "KODE KEMASAN"], "KONTAINER": ["NOMOR KONTINER", "NOMOR SEGEL"], "BARANG": ["HS", "URAIAN", "NETTO"], "VERSI": ["VERSI"],
+    }
+    texts, rows = ["a", " b ", "", "\t", None, "2026-01-05 00:00:00", "ü\n"], []
+    for k in range(40):
+        for sheet, columns in layout.items():
+            for n in range((k * 7 + len(sheet)) % 6):
+                code = lambda c, n=n, k=k: ODD[(k + 5 * n) % len(ODD)] if c == "KODE ENTITAS" else ["380", " 860 ", "860", "x", None][(k + n) % 5]
+                rows.append((k, sheet, n, {c: code(c) if c in ("KODE ENTITAS", "KODE DOKUMEN") else texts[(k * 3 + n * 5 + j) % len(texts)] for j, c in enumerate(columns)}))
+    files = B.written(spark.createDataFrame(rows, "id long, sheet string, row long, cells map<string, string>"), layout)
+    cell = lambda r, t, v, s="": f'<c r="{r}"{s} t="{t}"><v>{v}</v></c>'
+    zeros = f'<row r="1">{cell("A1", "str", "FOB")}{cell("B1", "str", "FOB")}{cell("C1", "str", "KODE VALUTA")}</row><row r="2"><c r="A2"><v>0</v></c>{cell("C2", "str", "USD")}</row><row r="3"><c r="A3"><v>0</v></c><c r="B3"><v>7</v></c></row>'
+    fault = zeros + '<row r="4"><c r="A4" t="s"><v>5</v></c></row>'
+    others = spark.createDataFrame([("zeros", made(zeros)), ("fault", made(fault)), ("none", None), ("text", b"no workbook")], "file string, content binary")
+    every = files.unionByName(others)
+    wanted, got = (sorted(map(tuple, found.collect())) for found in (B.workbook_values(B.sheet_rows(every)), B.file_values(every)))
+    assert got == wanted and len(wanted) > 200 and {"zeros", "fault"} <= {r[0] for r in wanted} and len({r[1] for r in wanted}) > 20
+
+
+def test_round_trip_sorts_no_rows_of_files(spark):
+    plan = entry.queries()["workbook_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map<string,struct" not in plan and "kind" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_sheets_of_equal_bytes_are_parsed_once():
+    layout = {"G": ["A"], "H": ["B"]}
+    contents = [B._workbook(B._frame(layout), layout, {"G": [{"A": str(k)}]}) for k in range(5)]
+    B._BARE.clear()
+    assert [rows_of(c) for c in contents] == [[{"A": (str(k), False)}] for k in range(5)]
+    assert len(B._BARE) == 1 and all(p.file is None for p in [B._Part(B._File(contents[0]), "xl/workbook.xml")] if p.root() is not None)
+    # another check sum with the same packed bytes is no equal part
+    broken = bytearray(contents[0])
+    at = broken.index(b"xl/worksheets/sheet1.xml") - 16
+    broken[at] ^= 1
+    end = broken.rindex(b"xl/worksheets/sheet1.xml") - 30
+    broken[end] ^= 1
+    assert [r["error"] is not None for r in B._records("f", bytes(broken))] == [True]
+
+
+def test_files_are_as_zipfile_reads_and_writes_them():
+    layout, rows = {"G": ["A", "Ü & <"], "H": ["B"]}, {"G": [{"A": "1" * 3000, "Ü & <": "x"}, {"A": None}]}
+    content = B._workbook(B._frame(layout), layout, rows)
+    other = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(other, "w") as o:
+        assert z.testzip() is None and len(z.namelist()) == 7 and {i.date_time for i in z.infolist()} == {(1980, 1, 1, 0, 0, 0)}
+        for n in z.namelist():
+            o.writestr(n, z.read(n))
+        o.comment = b"of another program"
+    assert B._directory(content) is not None and B._directory(other.getvalue()) is None
+    assert list(B._records("f", content)) == list(B._records("f", other.getvalue())) and len(list(B._records("f", content))) == 1
+    for cut in (b"", b"PK", content[:-1], content[:50] + content[60:], b"x" + content):
+        plain = None
+        try:
+            plain = zipfile.ZipFile(io.BytesIO(cut)).read("xl/worksheets/sheet1.xml")
+        except Exception:
+            pass
+        assert (plain is None) == (list(B._records("f", cut))[-1]["error"] is not None)
