@@ -82,8 +82,9 @@ def header_fallback(spark, d) -> DataFrame:
 def span_labels(spark, d) -> DataFrame:
     words = view(spark, d, "v_spans", by="page_id").select("page_id", F.split("text", " ").alias("words"))
     sought = {"vessel_name": ("ever;  Given", None), "port_of_loading": ("Ningbo,",), "remark": ("finis", "zzz zzz")}
-    pages = [words.select("page_id", F.lit(e).alias("entity"), F.lit(k).cast("bigint").alias("rank"), "words", F.array(*[F.lit(x) for x in v]).cast("array<string>").alias("values")) for k, (e, v) in enumerate(sought.items())]
-    return X.span_labels(X.page_spans(pages[0].unionByName(pages[1]).unionByName(pages[2])), ("vessel_name", "port_of_loading"))
+    entities = F.array(*[F.struct(F.lit(e).alias("entity"), F.lit(k).cast("bigint").alias("rank"), F.array(*[F.lit(x) for x in v]).cast("array<string>").alias("values")) for k, (e, v) in enumerate(sought.items())])
+    pages = words.select("page_id", "words", F.inline(entities))
+    return X.span_labels(X.page_spans(pages), ("vessel_name", "port_of_loading"))
 
 
 @query(
